@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitmask_langid, line_quality, subword_quality
+from . import bitmask_langid, chunked_bpe, license_scan, line_quality, poisson_mix, semicrf_pii, subword_quality, tool_calls
 from .common import documents
 
 
@@ -15,12 +15,41 @@ def _crc(mod: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
+def tokenizer_path() -> str:
+    """Place of the vocabulary file, which is never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tool_calls.link(calls, results, tool_calls.ASK)
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = line_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return line_quality.score(docs, model)
 
 
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return bpe_digests(chunked_bpe.encode(documents(spark, sf_dir), path or tokenizer_path()))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.mix(documents(spark, sf_dir))
+
+
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = subword_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _crc(4) != 2)
@@ -33,15 +62,36 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = semicrf_pii.find(documents(spark, sf_dir))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in semicrf_pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown(F.concat("base", "added")).alias("spans"))
+
+
 def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = bitmask_langid.fit(docs, _crc(5) != 0)
     return bitmask_langid.predict(docs, model).select("doc_id", F.coalesce(_crc(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_calls": op1_tool_calls,
+    "op4_chunked_bpe": op4_chunked_bpe,
+    "op5_poisson_mix": op5_poisson_mix,
+    "op7_semicrf_pii": op7_semicrf_pii,
+    "op10_license_scan": op10_license_scan,
     "op3_line_crf": op3_line_crf,
     "op6_subword_quality": op6_subword_quality,
     "op8_bitmask_langid": op8_bitmask_langid,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_tool_calls": tool_calls.ORACLE,
+    "op5_poisson_mix": poisson_mix.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
+}

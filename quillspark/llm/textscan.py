@@ -108,11 +108,12 @@ def groups(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, gap: np.ndarray = SPACE) -> Iterator[Block]:
+    """Blocks of a column; ``gap`` tells which bytes stand between words."""
     buffer, off = text_buffers(column)
     for i, j in groups(off, limit):
         data, bounds = buffer[off[i] : off[j]], off[i : j + 1] - off[i]
-        inside = ~SPACE[data]
+        inside = ~gap[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[bounds] = True
         before = np.empty(len(data), bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitmask_langid, chunked_bpe, license_scan, line_quality, poisson_mix, semicrf_pii, subword_quality, tool_calls
+from . import bitmask_langid, chunked_bpe, license_scan, line_quality, ngram_jaccard, poisson_mix, semicrf_pii, subword_quality, tool_calls
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(calls, results, tool_calls.ASK)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link(documents(spark, sf_dir)).drop("set_key")
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = line_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -86,12 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_poisson_mix": op5_poisson_mix,
     "op7_semicrf_pii": op7_semicrf_pii,
     "op10_license_scan": op10_license_scan,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_crf": op3_line_crf,
     "op6_subword_quality": op6_subword_quality,
     "op8_bitmask_langid": op8_bitmask_langid,
 }
 ORACLES: dict[str, str] = {
     "op1_tool_calls": tool_calls.ORACLE,
+    "op2_ngram_jaccard": ngram_jaccard.ORACLE,
     "op5_poisson_mix": poisson_mix.ORACLE,
     "op10_license_scan": license_scan.oracle(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitmask_langid, chunked_bpe, license_scan, line_quality, ngram_jaccard, poisson_mix, semicrf_pii, subword_quality, tool_calls
+from . import bitmask_langid, chunked_bpe, license_scan, line_quality, ngram_jaccard, poisson_mix, projection_dedup, semicrf_pii, subword_quality, tool_calls
 from .common import documents
 
 
@@ -80,6 +80,10 @@ def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmask_langid.predict(docs, model).select("doc_id", F.coalesce(_crc(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_poisson_mix": op5_poisson_mix,
     "op7_semicrf_pii": op7_semicrf_pii,
+    "op9_projection_dedup": op9_projection_dedup,
     "op10_license_scan": op10_license_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_crf": op3_line_crf,

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import partenum as pe
@@ -203,7 +203,7 @@ def _slot(k1: np.ndarray) -> np.ndarray:
     return (ts.mix(k1.astype(np.int64).view(np.uint64)) >> ts.U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """Packed bitmap of fixed size of the values of a long column."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +224,12 @@ def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return np.packbits(out)
 
 
+def in_bitmap(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in a bitmap; one that is in it always may."""
+    s = _slot(values)
+    return (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(k1, k2, features) of the sets whose key may be wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -293,7 +299,8 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     keys = rows.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("node"), F.min("own_id").alias("least_id"))
     keys = stored(keys, "keys")
     often = max(100, size[0] // HEAVY_MOST + 1)
-    heavy = {r.k1: r.least_id for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "least_id").collect()}
+    plain = lambda x: x.asDict(True) if isinstance(x, Row) else x  # noqa: E731  # as Arrow gives it
+    heavy = {r.k1: plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "least_id").collect()}
     n = partitions(spark)
     postings = _postings(own, _hot(profile, size[1] or 0), heavy, n)
     pairs = postings.repartitionById(n, "bucket").mapInArrow(_pairs_of_bucket, "a long, b long, n int, need int")
@@ -310,7 +317,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
         .select("root", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")).distinct()
     )
     ends = blocks.select("root", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("part"))
-    members = _sets(own, _bitmap(parted, "k1")).dropDuplicates(["k1", "k2"]).join(parted, "k1").join(ends, ["root", "part"])
+    members = _sets(own, bitmap(parted, "k1")).dropDuplicates(["k1", "k2"]).join(parted, "k1").join(ends, ["root", "part"])
     links = members.groupBy("root", "lo", "hi").applyInArrow(_check_block, "a1 long, a2 long, b1 long, b2 long")
     links = stored(links, "links")
     side = lambda x: keys.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("node").alias(x), F.col("copies").alias(f"{x}_copies"))

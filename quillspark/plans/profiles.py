@@ -138,7 +138,7 @@ def profile_of(path: Column, config: Config) -> Column:
     """Profile of a path: the last glob that fits decides."""
     out = F.lit(canonical(config.profile))
     for pattern, name in config.globs():
-        out = F.when(path.rlike(java_glob(pattern)), name).otherwise(out)
+        out = F.when(path.rlike(java_glob(pattern)), canonical(name)).otherwise(out)
     return out
 
 

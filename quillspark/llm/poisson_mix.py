@@ -17,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
+BROADCAST_SOURCES = 10_000  # rates of so many sources (about 1 kB each) may be broadcast
+SALTS = 32
 SPREAD = 40  # rates above this are split into a fixed part and a Poisson part
 
 
@@ -59,8 +63,14 @@ def mix(docs: DataFrame, seed: str = "mix-1", shares: dict[str | None, float] |
     # whole repetitions above SPREAD are certain; the rest is drawn, so the mean stays the rate
     by_source = by_source.withColumn("_sure", F.greatest(F.lit(0.0), F.floor(F.col("_rate")) - SPREAD).cast("int"))
     by_source = by_source.select("_source", "_sure", steps(F.col("_rate") - F.col("_sure")).alias("_steps"))
+    by_source = stored(by_source, "rates")
     u = hashed(seed, F.col(id_col))
-    drawn = docs.join(by_source, F.col(source).eqNullSafe(F.col("_source")))
+    if by_source.count() <= BROADCAST_SOURCES:
+        drawn = docs.join(F.broadcast(by_source), F.col(source).eqNullSafe(F.col("_source")))
+    else:  # salted, as a source may hold a large share of the rows
+        by_source = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+        drawn = docs.withColumn("_at", salt).join(by_source, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
     count = F.col("_sure") + F.size(F.filter("_steps", lambda c: c <= u))
     out = drawn.withColumn("_n", count).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
     out = out.withColumn("shuffle_key", hashed(seed + ":order", F.col(id_col), F.col("copy")))

@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 
 from . import partenum as pe
 from . import textscan as ts
-from .common import partitions, stored
+from .common import partitions, release, stored
 from .components import components
 
 PAGES = 64
-HOT_EXTRA = 64  # a shingle is hot this far (and 8 standard deviations) above the mean of a slot
+HOT_EXTRA = 16  # a shingle is hot this far (and 4 standard deviations) above the mean of a slot
 HEAVY_MOST = 10_000  # most sets that can have over 1/HEAVY_MOST of all rows; bounds what is broadcast
 SLOT_BITS = 23  # bitmap of candidate sets: 1 MB
-BLOCK = 256
+BLOCK = 1024
+NO_SIZE = 65535
 _FLUSH = 3_000_000
-_COUNT = np.dtype("<i8")
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def _profile(docs: DataFrame) -> DataFrame:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
         if kind is not None:
-            pages = [(p, x) for p, x in enumerate(counts.reshape(PAGES, -1)) if x.any()]
+            small = np.minimum(counts, 255).astype(np.uint8)  # of one task; sums over tasks are whole
+            pages = [(p, x) for p, x in enumerate(small.reshape(PAGES, -1)) if x.any()]
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
 
@@ -70,10 +71,10 @@ def _profile(docs: DataFrame) -> DataFrame:
 def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
     """Packed bitmap of hot slots."""
     mean = shingles / (1 << pe.HOT_BITS)
-    least = mean + 8 * mean**0.5 + HOT_EXTRA
+    least = mean + 4 * mean**0.5 + HOT_EXTRA
 
     def total(key, table):  # no hints: Spark reads them
-        parts = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in table["counts"].to_pylist())
+        parts = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in table["counts"].to_pylist())
         return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(parts > least).tobytes()], pa.binary())})
 
     bits = np.zeros(1 << pe.HOT_BITS, bool).reshape(PAGES, -1)
@@ -92,6 +93,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
         sigs: list[np.ndarray] = []
         names: list[int] = []
         needs: list[int] = []
+        sizes: list[int] = []
         seen: set[int] = set()
         held = 0
 
@@ -101,16 +103,18 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
             to = (((s & ts.U(0xFFFFFF)) * ts.U(buckets)) >> ts.U(24)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             s, doc, to = s[order], doc[order], to[order]
-            k1, need = np.array(names, np.int64), np.array(needs, np.uint8)
+            short, need = short_ids(np.array(names, np.int64)).astype("<u4"), np.array(needs, np.uint8)
+            size = np.minimum(np.array(sizes, np.int64), NO_SIZE).astype("<u2")
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, int)
             blobs = []
             for x, y in zip(cut, cut[1:], strict=False):
                 own = doc[x:y]
                 first = np.concatenate([[True], own[1:] != own[:-1]])
                 ids = own[first]
-                runs = np.diff(np.append(np.flatnonzero(first), y - x)).astype("<u4")
-                high = (s[x:y] >> ts.U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                blobs.append(np.array([len(ids), y - x], "<u4").tobytes() + k1[ids].tobytes() + need[ids].tobytes() + runs.tobytes() + np.ascontiguousarray(high).tobytes())
+                runs = np.diff(np.append(np.flatnonzero(first), y - x))
+                width = 2 if runs.max() < 65536 else 4
+                parts = (np.array([len(ids), y - x, width], "<u4"), short[ids], need[ids], size[ids], runs.astype(f"<u{width}"), (s[x:y] >> ts.U(32)).astype("<u4"))
+                blobs.append(b"".join(p.tobytes() for p in parts))
             return pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -130,28 +134,34 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
                     sigs.append(np.concatenate([m[0] for m in made]))
                     names.append(key)
                     needs.append(min(m[1] for m in made))
+                    sizes.append(int(y - x))
                     held += len(sigs[-1])
                     if held > _FLUSH:
                         yield flush()
-                        sigs, names, needs, seen, held = [], [], [], set(), 0
+                        sigs, names, needs, sizes, seen, held = [], [], [], [], set(), 0
         if sigs:
             yield flush()
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    docs, n = np.frombuffer(blob, "<u4", 2)
-    at = 8
-    k1 = np.frombuffer(blob, "<i8", docs, at)
-    at += 8 * docs
-    need = np.frombuffer(blob, np.uint8, docs, at)
-    at += docs
-    runs = np.frombuffer(blob, "<u4", docs, at)
-    at += 4 * docs
-    high = np.zeros((n, 8), np.uint8)
-    high[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(-1, 5)
-    return np.repeat(k1, runs), np.repeat(need, runs), high.view("<u8").reshape(-1)
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Of each posting in a blob: short id, need, size and the high half of the signature. The low
+    half chose the bucket, so within a bucket about 32 bits and the bucket's own tell signatures
+    apart; a chance match only adds to a count."""
+    docs, n, width = np.frombuffer(blob, "<u4", 3)
+    at, out = 12, []
+    for kind in ("<u4", "u1", "<u2", f"<u{width}"):
+        out.append(np.frombuffer(blob, kind, docs, at))
+        at += docs * np.dtype(kind).itemsize
+    runs = out.pop()
+    return (*(np.repeat(x, runs) for x in out), np.frombuffer(blob, "<u4", n, at))
+
+
+def short_ids(k1: np.ndarray) -> np.ndarray:
+    """32 bits that stand for a set among candidates, as small longs. Sets that share them are
+    candidates of each other, so nothing is lost by their shortness."""
+    return k1.astype(np.int64) >> np.int64(32) & np.int64(0xFFFFFFFF)
 
 
 def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,48 +169,93 @@ def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     parts = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
     if not parts:
         return
-    names, needs, sig = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    names, needs, sizes, sig = (np.concatenate([p[k] for p in parts]) for k in range(4))
     del parts
     order = np.argsort(sig)
     sig = sig[order]
     alone = np.concatenate([[True], sig[1:] != sig[:-1], [True]])
     keep = ~(alone[1:] & alone[:-1])
     sig, order = sig[keep], order[keep]
-    names, needs = names[order], needs[order]
-    ids, local = np.unique(names, return_inverse=True)
+    names, needs, sizes = names[order], needs[order], sizes[order].astype(np.int64)
+    # sets that share a short id but not a size are told apart here
+    ids, local = np.unique(names.astype(np.int64) << 16 | sizes, return_inverse=True)
     need_of = np.zeros(len(ids), np.uint8)
     need_of[local] = needs
+    size_of, short_of = ids & 0xFFFF, ids >> 16
     cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, int)
     made: list[np.ndarray] = []
     held = 0
 
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes that similar sets can have; the largest code stands for all larger sizes."""
+        x, y = size_of[a], size_of[b]
+        return (pe.DEN * np.minimum(x, y) >= pe.NUM * np.maximum(x, y)) | (np.maximum(x, y) == NO_SIZE)
+
     def out() -> pa.RecordBatch:
         pair, n = np.unique(np.concatenate(made), return_counts=True)
         a, b = pair // len(ids), pair % len(ids)
         need = np.minimum(need_of[a], need_of[b])
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "n", "need"])
-
-    for x, y in zip(cut, cut[1:], strict=False):
-        if y - x == 2:
-            group = local[x:y] if local[x] < local[x + 1] else local[x:y][::-1]
-            if group[0] == group[1]:
-                continue
-            made.append(group[:1] * len(ids) + group[1:])
-            held += 1
-        else:
-            group = np.unique(local[x:y])
-            for i in range(len(group) - 1):
-                made.append(group[i] * len(ids) + group[i + 1 :])
-                held += len(group) - 1 - i
-                if held > 4_000_000:
-                    yield out()
-                    made, held = [], 0
+        x, y = short_of[a], short_of[b]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order].astype("<u4")
+        n, need = np.minimum(n, 65535).astype("<u2")[order], need[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        ends = np.append(first[1:], len(x))
+        blobs = [y[i:j].tobytes() + n[i:j].tobytes() + need[i:j].tobytes() for i, j in zip(first, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(blobs, pa.binary())], names=["a", "blob"])
+
+    twos = np.flatnonzero(np.diff(cut) == 2)
+    a, b = local[cut[twos]], local[cut[twos] + 1]
+    ok = (a != b) & fits(a, b)
+    if ok.any():
+        made.append(np.minimum(a, b)[ok] * len(ids) + np.maximum(a, b)[ok])
+    for k in np.flatnonzero(np.diff(cut) > 2).tolist():
+        group = np.unique(local[cut[k] : cut[k + 1]])
+        for i in range(len(group) - 1):
+            rest = group[i + 1 :]
+            rest = rest[fits(np.full(len(rest), group[i]), rest)]
+            made.append(group[i] * len(ids) + rest)
+            held += len(rest)
+            if held > 4_000_000:
+                yield out()
+                made, held = [], 0
     if made:
         yield out()
 
 
-def _slot(k1: np.ndarray) -> np.ndarray:
-    return (ts.mix(k1.astype(np.int64).view(np.uint64)) >> ts.U(64 - SLOT_BITS)).astype(np.int64)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a partition's counts, sorted by ``a``; pairs that share as many signatures as they must."""
+    now: int | None = None
+    held: list[tuple[np.ndarray, ...]] = []
+    found_a: list[np.ndarray] = []
+    found_b: list[np.ndarray] = []
+
+    def close() -> None:
+        b, n, need = (np.concatenate([h[k] for h in held]) for k in range(3))
+        ids, at = np.unique(b, return_inverse=True)
+        least = np.full(len(ids), 255, np.int64)
+        np.minimum.at(least, at, need)
+        ok = np.bincount(at, n) >= least
+        found_a.append(np.full(ok.sum(), now, np.int64))
+        found_b.append(ids[ok].astype(np.int64))
+
+    for batch in batches:
+        for a, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if a != now:
+                if held:
+                    close()
+                now, held = a, []
+            k = len(blob) // 7
+            held.append((np.frombuffer(blob, "<u4", k), np.frombuffer(blob, "<u2", k, 4 * k), np.frombuffer(blob, np.uint8, k, 6 * k)))
+    if held:
+        close()
+    if found_a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (ts.mix(values.astype(np.int64).view(np.uint64)) >> ts.U(64 - SLOT_BITS)).astype(np.int64)
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
@@ -244,11 +299,12 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     x = s[bounds[i] : bounds[i + 1]]
                     if len(x):
                         key = pe.set_key(x)
-                        if key not in found and bits[_slot(np.array(key[:1]))[0]]:
+                        if key not in found and bits[_slot(short_ids(np.array(key[:1])))[0]]:
                             found[key] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["k1", "k2", "features"])
+            k1 = np.array([k[0] for k in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(short_ids(k1)), pa.array(k1), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "k1", "k2", "features"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, features binary")
+    return docs.mapInArrow(run, "id long, k1 long, k2 long, features binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -303,23 +359,32 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     heavy = {r.k1: plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "least_id").collect()}
     n = partitions(spark)
     postings = _postings(own, _hot(profile, size[1] or 0), heavy, n)
-    pairs = postings.repartitionById(n, "bucket").mapInArrow(_pairs_of_bucket, "a long, b long, n int, need int")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    pairs = postings.repartitionById(n, "bucket").mapInArrow(_pairs_of_bucket, "a long, blob binary")
+    pairs = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b long")
     pairs = stored(pairs, "candidates")
+    del postings
+    release(spark)
+    alike = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     grouped = components(pairs)
+    grouped = grouped.unionByName(alike.join(grouped, "node", "left_anti"))
     per_root = grouped.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("parts"))
     parted = grouped.join(per_root, "root").withColumn("part", F.when(F.col("parts") <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
-    parted = stored(parted.select(F.col("node").alias("k1"), "root", "part"), "parted")
+    parted = stored(parted.select(F.col("node").alias("id"), "root", "part"), "parted")
     # blocks that hold a candidate pair; a component of up to BLOCK sets is one block
     blocks = (
-        pairs.join(parted.select(F.col("k1").alias("a"), "root", F.col("part").alias("pa")), "a")
-        .join(parted.select(F.col("k1").alias("b"), F.col("part").alias("pb")), "b")
+        pairs.join(parted.select(F.col("id").alias("a"), "root", F.col("part").alias("pa")), "a")
+        .join(parted.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
         .select("root", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")).distinct()
     )
     ends = blocks.select("root", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("part"))
-    members = _sets(own, bitmap(parted, "k1")).dropDuplicates(["k1", "k2"]).join(parted, "k1").join(ends, ["root", "part"])
+    places = stored(parted.join(ends, ["root", "part"]).select("id", "root", "part", "lo", "hi"), "places")
+    # features move twice: to the places of their set, and from there to its blocks
+    sets = _sets(own, bitmap(parted, "id")).repartition(n, "id").groupBy("id", "k1", "k2").agg(F.first("features").alias("features"))
+    members = sets.join(places, "id")
     links = members.groupBy("root", "lo", "hi").applyInArrow(_check_block, "a1 long, a2 long, b1 long, b2 long")
     links = stored(links, "links")
+    del sets, members
+    release(spark)
     side = lambda x: keys.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("node").alias(x), F.col("copies").alias(f"{x}_copies"))
     joined = stored(links.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "a_copies", "b_copies"), "joined")
     degree = joined.select(F.col("a").alias("node"), F.col("b_copies").alias("n")).unionByName(joined.select(F.col("b").alias("node"), F.col("a_copies").alias("n"))).groupBy("node").agg(F.sum("n").alias("others"))

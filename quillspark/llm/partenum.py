@@ -5,9 +5,9 @@ the least size that can be similar to one of them, so two similar sets share a b
 feature domain is cut into 2^L partitions by the high bits of the hash. Two sets of a band within
 Hamming distance k differ in at most k partitions, so of the partitions with a feature, put in one fixed
 order, the i-th that is equal in both is among the first k + i of each. Each set therefore shows its
-first k + SHARED partitions as signatures, and similar sets have SHARED of them in common: that is
-the same as one common subset out of the enumeration of all subsets of SHARED partitions, counted
-instead of listed. The order puts partitions of common features last ("hot", by one corpus-wide
+first k + m partitions as signatures, and similar sets have m of them in common: that is the same
+as one common subset out of the enumeration of all subsets of m partitions, counted instead of
+listed. m grows with the size (``shared``), so that a passage in common doesn't make a candidate. The order puts partitions of common features last ("hot", by one corpus-wide
 bitmap), which keeps signatures selective without losing a pair. A set with at most k partitions
 filled adds its first features themselves, by the prefix bound, and needs one in common.
 """
@@ -19,8 +19,7 @@ import numpy as np
 from . import textscan as ts
 
 NUM, DEN = 70, 100  # Jaccard threshold
-HOT_BITS = 22
-SHARED = 3
+HOT_BITS = 23
 _U32 = ts.U(32)
 
 
@@ -35,6 +34,11 @@ def farthest(n: int, band: int) -> int:
     return max(n + s - 2 * least_shared(n + s) for s in (top, max(top - 1, 1)))
 
 
+def shared(n: int) -> int:
+    """Signatures beyond the first k that a set of size n shows."""
+    return max(3, n // 16)
+
+
 def bands(n: int) -> list[int]:
     own = n.bit_length() - 1
     return [own, own + 1] if n * DEN >= NUM * (2 << own) else [own]
@@ -77,7 +81,7 @@ def signatures(s: np.ndarray, hot: np.ndarray, band: int) -> tuple[np.ndarray, i
     band has too (of the two sets' numbers, the least holds)."""
     n = len(s)
     far = farthest(n, band)
-    want = far + SHARED
+    want = far + shared(n)
     out, have = [], 0
     for flag in (False, True):
         part = s[hot == flag]
@@ -93,4 +97,4 @@ def signatures(s: np.ndarray, hot: np.ndarray, band: int) -> tuple[np.ndarray, i
         salt = ts.U((1000 + band) * 0x9E3779B97F4A7C15 & (2**64 - 1))
         out.append(ts.mix(s[: n - (-(-NUM * n // DEN)) + 1] * ts.M2 + salt))
         return np.concatenate(out), 1
-    return np.concatenate(out), min(SHARED, have - far)
+    return np.concatenate(out), min(shared(n), have - far, 255)

@@ -9,7 +9,8 @@ rows again.
 Cases: a null source is a source of its own; null and empty texts have length 0 and are drawn by the
 rate of their source (1 if a source has no character); rows without an id share one number, so they
 are kept or dropped together, as are repeated rows; a rate of 0 drops a source; an empty table gives
-an empty result. Added column names must not be in the input (``copy``, ``shuffle_key``).
+an empty result. Input columns named ``copy`` or ``shuffle_key`` give way to those added; any other
+name may occur.
 """
 
 from __future__ import annotations
@@ -64,16 +65,19 @@ def mix(docs: DataFrame, seed: str = "mix-1", shares: dict[str | None, float] |
     by_source = by_source.withColumn("_sure", F.greatest(F.lit(0.0), F.floor(F.col("_rate")) - SPREAD).cast("int"))
     by_source = by_source.select("_source", "_sure", steps(F.col("_rate") - F.col("_sure")).alias("_steps"))
     by_source = stored(by_source, "rates")
-    u = hashed(seed, F.col(id_col))
+    rows = docs.select(F.struct("*").alias("_row"))  # so that no column name can clash
+    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    own, ident = F.col("_row").getField(source), F.col("_row").getField(id_col)
     if by_source.count() <= BROADCAST_SOURCES:
-        drawn = docs.join(F.broadcast(by_source), F.col(source).eqNullSafe(F.col("_source")))
+        drawn = rows.join(F.broadcast(by_source), own.eqNullSafe(F.col("_source")))
     else:  # salted, as a source may hold a large share of the rows
         by_source = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
-        drawn = docs.withColumn("_at", salt).join(by_source, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
+        rows = rows.withColumn("_at", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
+        drawn = rows.join(by_source, F.col("_row").getField(source).eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
+    u = hashed(seed, ident)
     count = F.col("_sure") + F.size(F.filter("_steps", lambda c: c <= u))
-    out = drawn.withColumn("_n", count).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    out = out.withColumn("shuffle_key", hashed(seed + ":order", F.col(id_col), F.col("copy")))
+    out = drawn.withColumn("_n", count).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    out = out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "copy", hashed(seed + ":order", ident, F.col("copy")).alias("shuffle_key"))
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
 
 

@@ -7,6 +7,8 @@ them to spaces of the same length first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def around(text: Column, start: Column, stop: Column, width: int = 45) -> Column
     return F.substr(text, first + 1, stop + width - first)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda would compute it again per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(lengths: Column) -> Column:
     """Sums of the elements before each, for an array of ints."""
     return F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
@@ -63,8 +70,7 @@ def unit_pairs(tokens: Column) -> Column:
 
 def count_words(sentence: Column) -> Column:
     """Words of a text as the controlled-language standard counts them."""
-    # the array feeds two expressions; a one-element transform binds it once
-    return F.element_at(F.transform(F.array(ste_words(sentence)), lambda t: F.size(t) - unit_pairs(t)), 1).cast("int")
+    return bind(ste_words(sentence), lambda t: F.size(t) - unit_pairs(t)).cast("int")
 
 
 def register(sentence: Column, default: Column) -> Column:
@@ -83,7 +89,7 @@ def register(sentence: Column, default: Column) -> Column:
         )
 
     parts = F.filter(F.split(F.lower(sentence), r"(?U)[^\w'-]+"), lambda x: x != "")
-    return F.element_at(F.transform(F.array(parts), decide), 1)
+    return bind(parts, decide)
 
 
 def pieces(text: Column) -> Column:
@@ -97,12 +103,11 @@ def sentences(text: Column, default: Column | None = None, count: bool = True) -
     """Sentences with their start, register and counted words."""
     fallback = F.lit("descriptive") if default is None else F.coalesce(default, F.lit("descriptive"))
 
-    def build(raw: Column) -> Column:
-        starts = running(F.transform(raw, lambda p: F.length(p)))
+    def place(raw: Column, starts: Column) -> Column:
         made = F.transform(raw, lambda p, i: F.struct(F.translate(trim(p), DOT, ".").alias("text"), (F.get(starts, i) + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).alias("start")))
         return F.filter(made, lambda s: s["text"] != "")
 
-    found = F.element_at(F.transform(F.array(pieces(text)), build), 1)
+    found = bind(pieces(text), lambda raw: bind(running(F.transform(raw, lambda p: F.length(p))), lambda starts: place(raw, starts)))
     return F.transform(found, lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), register(s["text"], fallback).alias("register"), (count_words(s["text"]) if count else F.lit(0)).alias("n_words")))
 
 
@@ -112,10 +117,12 @@ def n_sentences(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, with their start; each separator counts as two characters."""
-    blocks = F.split(text, r"(?U)\n\s*\n")
-    starts = running(F.transform(blocks, lambda p: F.length(p) + 2))
-    made = F.transform(blocks, lambda p, i: F.struct(p.alias("text"), F.get(starts, i).alias("start")))
-    return F.filter(made, lambda s: trim(s["text"]) != "")
+
+    def place(blocks: Column, starts: Column) -> Column:
+        made = F.transform(blocks, lambda p, i: F.struct(p.alias("text"), F.get(starts, i).alias("start")))
+        return F.filter(made, lambda s: trim(s["text"]) != "")
+
+    return bind(F.split(text, r"(?U)\n\s*\n"), lambda blocks: bind(running(F.transform(blocks, lambda p: F.length(p) + 2)), lambda starts: place(blocks, starts)))
 
 
 def strip_code(text: Column) -> Column:

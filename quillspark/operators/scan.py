@@ -35,12 +35,12 @@ def _marked(rule: Rule, text: Column) -> list[Column]:
 def hits(marked: Column) -> Column:
     """Array of (start, hit) of a text whose hits stand between OPEN and CLOSE."""
 
-    def build(parts: Column) -> Column:
-        starts = tx.running(F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0)))
+    def build(parts: Column, starts: Column) -> Column:
         made = F.transform(parts, lambda p, i: F.struct(F.get(starts, i).alias("start"), F.substring_index(p, tx.CLOSE, 1).alias("hit")))
         return F.slice(made, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
-    return F.element_at(F.transform(F.array(F.split(marked, tx.OPEN)), build), 1)
+    lengths = lambda parts: F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+    return tx.bind(F.split(marked, tx.OPEN), lambda parts: tx.bind(tx.running(lengths(parts)), lambda starts: build(parts, starts)))
 
 
 def pattern_hits(segments: DataFrame, wanted: Iterable[str] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def pattern_hits(segments: DataFrame, wanted: Iterable[str] | None = None) -> Da
     found = F.filter(F.array(*entries), lambda e: F.coalesce(F.instr(e["marked"], tx.OPEN) > 0, F.lit(False)))
     rows = segments.select("*", F.explode(found).alias("_e"))
     rows = rows.select(*segments.columns, F.col("_e.key").alias("key"), hits(F.col("_e.marked")).alias("_h"))
-    first_only = F.filter("_h", lambda h, i: F.array_position(F.transform("_h", lambda x: F.lower(x["hit"])), F.lower(h["hit"])) == i + 1)
+    first_only = tx.bind(F.transform("_h", lambda x: F.lower(x["hit"])), lambda names: F.filter("_h", lambda h, i: F.array_position(names, F.lower(h["hit"])) == i + 1))
     rows = rows.withColumn("_n", F.size("_h")).withColumn("_h", F.when(F.col("key") == "1.1", first_only).when(F.col("key") == "A-8", F.when(F.col("_n") >= 3, F.slice("_h", 1, 1))).otherwise(F.col("_h")))
     rows = rows.select(*segments.columns, "key", F.explode("_h").alias("_x"), F.col("_n").alias("n"))
     rows = rows.select(*segments.columns, "key", F.col("_x.start").alias("start"), F.col("_x.hit").alias("hit"), "n")

@@ -174,6 +174,11 @@ FROM labels JOIN documents USING (doc_id) LEFT JOIN hits ON seg_id = 'doc-' || d
     "path_profiles": """
 SELECT CASE WHEN regexp_full_match(p, '.*/1.\\.md') THEN 'code' WHEN regexp_full_match(p, 'src.*/.*7\\.md') THEN 'comms-internal' WHEN p LIKE 'src1/%' THEN 'ste' ELSE 'code' END AS profile, count(*) AS n
 FROM (SELECT source || '/' || doc_id || '.md' AS p FROM documents) GROUP BY ALL""",
+    "profile_sizes": """SELECT profile, n_hard::BIGINT AS n_hard, n_quiet::BIGINT AS n_quiet, n_judged::BIGINT AS n_judged FROM (VALUES
+('ste', 7, 0, 42), ('code', 16, 14, 6), ('prose-technical', 16, 14, 6), ('changelog', 15, 18, 3), ('prose-corporate', 15, 15, 6),
+('comms-external', 14, 14, 6), ('comms-internal', 13, 15, 6), ('minimal', 0, 0, 42)) AS p(profile, n_hard, n_quiet, n_judged)""",
+    "judged_mock": f"""WITH {sql.SEG} SELECT 'C-6' AS rule_id, 'soft' AS severity, seg_id, substr(text, 1, 140) AS excerpt
+FROM seg WHERE kind NOT IN ('identifier', 'commit') AND regexp_matches(text, '(?i)^\\s*(it|they)\\b')""",
     "rules_by_section": "SELECT section, decidability, deprecated, count(*) AS n FROM (VALUES "
     + ", ".join(f"({sql.q(r[2])}, {sql.q(r[3])}, {str(r[4]).lower()})" for r in rule_rows())
     + ") AS r(section, decidability, deprecated) GROUP BY ALL",

@@ -200,3 +200,15 @@ def test_queries_have_rows(spark):
 
 def test_fixture_is_whole():
     assert len(fixture.values().splitlines()) >= len(fixture.ROWS)
+
+
+def test_dictionary_pages(spark):
+    from quillspark.sources import dictionary
+
+    page = "Page 3\nABOUT (prep) Meaning here\nabandon (v) STOP (v) Stop the work.\n   LEAVE (v) Leave it.\n  STOP (v)\nplain text\nACCESS (n) x\n   LATE (adj) belongs to nothing\nABOUT (adv) again"
+    words = dictionary.parse(spark.createDataFrame([("d", 1, page)], "document string, page int, text string"))
+    got = {r.word: (r.approved, list(r.parts), list(r.alternatives)) for r in words.collect()}
+    assert got == {"about": (True, ["adv", "prep"], []), "access": (True, ["n"], []), "abandon": (False, ["v"], ["stop (v)", "leave (v)"])}
+    assert not dictionary.usable(words)
+    hits = dictionary.rejected_words(segs(spark, ("comment", "To Abandon, abandon it.", None)), words.where("not approved")).collect()
+    assert [(r.word, r.start, r.suggestion) for r in hits] == [("abandon", 3, "Use stop, leave.")]

@@ -40,9 +40,10 @@ def rates(docs: DataFrame, shares: dict[str | None, float] | None = None, power:
         sizes = sizes.join(F.broadcast(wanted), F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "_chars", F.coalesce("_want", F.lit(0.0)).alias("_want"))
     else:
         sizes = sizes.withColumn("_want", F.sqrt(F.col("_chars").cast("double")) if power == 0.5 else F.pow(F.col("_chars").cast("double"), F.lit(power)))
-    total = sizes.agg(F.sum("_chars").alias("_all"), F.sum("_want").alias("_sum"))
-    rate = F.when(F.col("_chars") == 0, F.lit(1.0)).otherwise(F.col("_want") / F.col("_sum") * F.col("_all") / F.col("_chars"))
-    return sizes.crossJoin(F.broadcast(total)).select("_source", rate.alias("_rate"))  # one row: the totals
+    sizes = stored(sizes, "sizes")
+    total = sizes.agg(F.sum("_chars"), F.sum("_want")).first()  # two numbers
+    share = F.col("_want") / F.lit(float(total[1] or 0.0)) * F.lit(float(total[0] or 0)) / F.col("_chars")
+    return sizes.select("_source", F.when(F.col("_chars") == 0, F.lit(1.0)).otherwise(share).alias("_rate"))
 
 
 def steps(rate: Column) -> Column:

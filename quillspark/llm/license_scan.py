@@ -6,6 +6,14 @@ case; a segment's set is its distinct word bigrams. A template is compared only
 both sets let Dice reach the threshold, and only where they share a bigram. The best template of a
 segment (highest Dice, ties: first by name) counts.
 
+Licences that no segment shows (over several paragraphs, a few lines of a paragraph, part of a line)
+are found as windows of words: for each template all windows that begin and end with one of its
+bigrams and reach the threshold, of which those of highest Dice are kept that don't overlap (another
+end can't raise Dice). Of overlapping windows of several templates that with most shared bigrams
+counts. A window adds nothing where it overlaps a segment that matches the same template or shares as
+many bigrams with its own; else it counts, in place of the segments' matches that it overlaps and that
+share fewer. ``oracle`` states the segments only, so texts with such licences differ from it.
+
 Cases: null and empty texts, and segments of one word, match nothing; equal segments each count;
 repeated rows get equal results; every input row gives one output row, matches or not.
 """
@@ -13,6 +21,7 @@ repeated rows get equal results; every input row gives one output row, matches o
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,9 +70,11 @@ class Matcher:
         self.p, self.q = threshold
         self.sets = sorted((name, bigrams(t.encode())) for name, t in templates.items())
         self.sets = [(n, s) for n, s in self.sets if s]
-        joined = b"\n".join(t.encode() for t in templates.values())
-        keys = [k for b in ts.blocks(pa.array([joined.decode()]), gap=_GAP) for k in self.keys(b)]
-        self.table = np.unique(np.array(keys, np.uint64)) if keys else np.zeros(0, np.uint64)
+        own = [np.concatenate([self.keys(b) for b in ts.blocks(pa.array([templates[n]]), gap=_GAP)]) for n, _ in self.sets]
+        self.table = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        self.holds = np.array([np.isin(self.table, k) for k in own]).reshape(len(own), -1).T.astype(np.int32)
+        # shared bigrams without which no window can reach the threshold
+        self.need = np.array([max(1, -(-self.p * len(s) // (2 * self.q - self.p))) for _, s in self.sets], np.int32)
 
     @staticmethod
     def keys(b: ts.Block) -> np.ndarray:
@@ -84,20 +95,93 @@ class Matcher:
                 found = (name, shared, n + m)
         return found
 
-    def scan(self, data: bytes) -> list[tuple[str, int, int]]:
-        lines = data.split(b"\n")
+    def near(self, doc: np.ndarray, key: np.ndarray) -> dict[int, list[int]]:
+        """Of each document that has enough bigrams of a template for a window, those templates;
+        ``doc`` and ``key`` (places in the table) are those of the hits."""
+        if not len(doc):
+            return {}
+        pairs = np.unique(doc * len(self.table) + key)
+        docs, first = np.unique(pairs // len(self.table), return_index=True)
+        enough = np.add.reduceat(self.holds[pairs % len(self.table)], first) >= self.need
+        return {int(docs[k]): np.flatnonzero(enough[k]).tolist() for k in np.flatnonzero(enough.any(axis=1))}
+
+    def windows(self, data: bytes, among: list[int]) -> list[tuple[int, int, str, int, int]]:
+        """Windows that count, as (first byte, end, template, shared, total); of ``among`` only."""
+        spans = [m.span() for m in _WORD.finditer(data.lower())]
+        w = [data[x:y].lower() for x, y in spans]
+        grams = list(zip(w, w[1:], strict=False))
+        last: dict[tuple[bytes, bytes], int] = {}
+        before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
+        for k, g in enumerate(grams):
+            if g in last:
+                before[k] = last[g]
+                after[last[g]] = k
+            last[g] = k
+        kept = []
+        for t in among:
+            name, other = self.sets[t]
+            m = len(other)
+            most = m * (2 * self.q - self.p) // self.p  # distinct bigrams of a window
+            hit = np.fromiter((g in other for g in grams), bool, len(grams))
+            found = []
+            for x in np.flatnonzero(hit).tolist():
+                # a window past the next place of its first bigram could begin later, with no less Dice
+                size, stop = 2 * most, int(after[x])
+                while True:
+                    new = before[x : min(x + size, stop)] < x
+                    n = np.cumsum(new)
+                    if n[-1] > most or x + size >= stop:
+                        break
+                    size *= 2
+                shared = np.cumsum(fresh := new & hit[x : x + len(new)])
+                for y in np.flatnonzero(fresh & (2 * shared * self.q >= self.p * (n + m))).tolist():
+                    found.append((x, x + y, int(shared[y]), int(n[y]) + m))
+            kept += [(*f, name) for f in apart(found, lambda f: (-f[2] / f[3], f[0], f[1]))]
+        kept = apart(kept, lambda f: (-f[2], -f[2] / f[3], f[4], f[0]))
+        return [(spans[x][0], spans[y + 1][1], name, s, t) for x, y, s, t, name in kept]
+
+    def scan(self, data: bytes, among: list[int] | None = None) -> list[tuple[str, int, int]]:
+        lines, at = [], 0
+        for line in data.split(b"\n"):
+            lines.append((at, at + len(line)))
+            at += len(line) + 1
         segments = list(lines)
-        paragraphs: list[list[bytes]] = [[]]
-        for line in lines:
-            if words(line):
-                paragraphs[-1].append(line)
+        paragraphs: list[list[tuple[int, int]]] = [[]]
+        for x, y in lines:
+            if words(data[x:y]):
+                paragraphs[-1].append((x, y))
             elif paragraphs[-1]:
                 paragraphs.append([])
         paragraphs = [p for p in paragraphs if p]
-        segments += [b"\n".join(p) for p in paragraphs if len(p) > 1]
+        segments += [(p[0][0], p[-1][1]) for p in paragraphs if len(p) > 1]
         if len(paragraphs) > 1:
-            segments.append(data)
-        return [m for m in map(self.best, segments) if m]
+            segments.append((0, len(data)))
+        found = [(x, y, *m) for x, y in segments if (m := self.best(data[x:y]))]
+        more = self.windows(data, among if among is not None else list(range(len(self.sets)))) if among != [] else []
+        meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+        more = [w for w in more if not any(meets(w, f) and (f[2] == w[2] or f[3] >= w[3]) for f in found)]
+        found = [f for f in found if not any(meets(w, f) for w in more)]
+        return [f[2:] for f in found + more]
+
+
+def apart(found: list[tuple], rank) -> list[tuple]:
+    """Of (first, last, ...) those that overlap none of a lower rank, by rank within a run of overlaps."""
+    kept: list[tuple] = []
+    run: list[tuple] = []
+    end = -1
+    for f in [*sorted(found), (float("inf"),)]:
+        if f[0] > end and run:
+            taken: list[tuple] = []  # by place
+            for c in sorted(run, key=rank):
+                k = bisect(taken, c[1], key=lambda t: t[0])  # only the last that begins before its end can overlap
+                if not k or taken[k - 1][1] < c[0]:
+                    taken.insert(k, c)
+            kept += taken
+            run = []
+        if len(f) > 1:
+            run.append(f)
+            end = max(end, f[1])
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: tuple[int, int] = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -116,8 +200,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: tu
                 hit = np.flatnonzero(m.table[np.minimum(at, len(m.table) - 1)] == keys) if len(m.table) else at[:0]
                 doc = np.searchsorted(b.word_bounds, hit, "right") - 1
                 hot = set(np.unique(doc).tolist())
+                near = m.near(doc, at[hit])
                 for i in range(b.n_docs):
-                    found = m.scan(b.data[b.bounds[i] : b.bounds[i + 1]].tobytes()) if i in hot else []
+                    found = m.scan(b.data[b.bounds[i] : b.bounds[i + 1]].tobytes(), near.get(i, [])) if i in hot else []
                     counts = Counter(name for name, _, _ in found)
                     n.append(len(found))
                     listed.append(",".join(f"{k}:{v}" for k, v in sorted(counts.items())))

@@ -367,6 +367,45 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_windows(spark):
+    t = license_scan.TEMPLATES
+    code = "\n".join(f"def f{k}(x{k}): return x{k} + {k}" for k in range(400))
+    prose = " ".join(f"word{k}" for k in range(300))
+    bsd = "Copyright (c) 2001 A. Body\nAll rights reserved.\n\n" + t["bsd-2-clause"].replace(": 1.", ":\n\n1.").replace(". 2.", ".\n\n2.") + "\n\nTHIS SOFTWARE IS PROVIDED AS IS AND WITHOUT ANY WARRANTY OF ANY KIND.\n\n" + code
+    apache = "\n".join(f"# {x}" for x in re.findall(r"(?:\S+\s*){1,9}", t["apache-2.0-header"])) + "\n" + code
+    gpl = "Some words\nbefore it. This work is licensed under the GNU General\nPublic License, version 3. And some words\nafter it " + prose
+    inline = f"{prose} {t['mit']} {prose} {t['cc-by-4.0-notice']} {prose}"
+    twice = f"{prose} {t['isc']} {t['isc']} {prose}"
+    texts = ["x", bsd, apache, gpl, inline, twice, prose + " all rights and reserved", f"{prose}\n\nReleased under the MIT License.\n\n{prose}"]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, texts).where("doc_id > 0")).collect()}
+    assert [got[k].licenses for k in range(1, 8)] == ["all-rights-reserved:1,bsd-2-clause:1", "apache-2.0-header:1", "gpl-3.0-notice:1", "cc-by-4.0-notice:1,mit:1", "isc:2", "", "mit-notice:1"]
+    assert got[4].best_dice == 1.0 and got[2].best_license == "apache-2.0-header"
+
+
+def test_license_windows_against_all_windows():
+    """The best window of a template is the best of all windows, tried one by one."""
+    rng = np.random.default_rng(5)
+    name = "gpl-2.0-notice"
+    m = license_scan.Matcher({name: license_scan.TEMPLATES[name]}, (4, 5))
+    body, own = license_scan.TEMPLATES[name].split(), m.sets[0][1]
+    hits = 0
+    for _ in range(150):
+        w = [str(x) for x in rng.choice(["a", "b", "the", "work", "license", "gnu"], 25)]
+        part = [x for x in body for _ in range(int(rng.choice([0, 1, 1, 1, 1, 1, 1, 2])))]
+        w[9:9] = part
+        if rng.random() < 0.3:
+            w[3:3] = body[:6]
+        data = " ".join(w).encode()
+        dice = [2 * len(g & own) / (len(g) + len(own)) for i in range(len(w)) for j in range(i + 2, len(w) + 1) if (g := license_scan.bigrams(" ".join(w[i:j]).encode()))]
+        found = m.windows(data, [0])
+        assert max((2 * s / t for *_, s, t in found), default=0) == (max(dice) if max(dice) >= 0.8 else 0)
+        for x, y, _, s, t in found:
+            g = license_scan.bigrams(data[x:y])
+            assert (s, t) == (len(g & own), len(g) + len(own))
+        hits += bool(found)
+    assert 20 < hits < 150
+
+
 def test_size_bounds_lose_nothing():
     m = license_scan.Matcher(license_scan.TEMPLATES, (4, 5))
     rng = np.random.default_rng(4)

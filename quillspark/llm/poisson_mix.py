@@ -15,14 +15,16 @@ name may occur.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-BROADCAST_SOURCES = 10_000  # rates of so many sources (about 1 kB each) may be broadcast
+BROADCAST_SOURCES = 10_000  # rates of so many sources (about 1 kB each at low rates) may be broadcast
 SALTS = 32
-SPREAD = 40  # rates above this are split into a fixed part and a Poisson part
+PLAIN = 700  # up to this rate exp(-rate) is a normal double and the distribution is summed from 0
 
 
 def hashed(seed: str, *parts: Column) -> Column:
@@ -46,10 +48,20 @@ def rates(docs: DataFrame, shares: dict[str | None, float] | None = None, power:
     return sizes.select("_source", F.when(F.col("_chars") == 0, F.lit(1.0)).otherwise(share).alias("_rate"))
 
 
-def steps(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, ... far into its tail, for a rate up to SPREAD."""
-    tail = F.sequence(F.lit(1), (F.ceil(rate) * 2 + 40).cast("int"))
-    first = F.exp(-rate)
+def least(rate: Column) -> Column:
+    """A count that is certain: 0 up to PLAIN, else 12 standard deviations under the rate (less is
+    drawn with a probability under 1e-30, and the hashed numbers are multiples of 2**-48)."""
+    return F.when(rate <= PLAIN, F.lit(0)).otherwise(F.floor(rate - F.sqrt(rate) * 12)).cast("int")
+
+
+def steps(rate: Column, lo: Column) -> Column:
+    """The Poisson distribution function at ``lo``, ``lo`` + 1, ... far into its tail; ``lo`` as by ``least``."""
+    reach = F.when(rate <= PLAIN, F.ceil(rate) * 2 + 40).otherwise(F.ceil(F.sqrt(rate) * 24))
+    tail = F.sequence(lo + 1, (lo + reach).cast("int"))
+    n = F.greatest(lo, F.lit(1)).cast("double")
+    # exp(-rate) * rate**n / n! with Stirling's series, as the factors alone leave the range of doubles
+    far = F.exp(n * F.log1p((rate - n) / n) - (rate - n) - F.log(n * (2 * math.pi)) / 2 - F.lit(1.0) / (n * 12) + F.lit(1.0) / (n * n * n * 360))
+    first = F.when(rate <= PLAIN, F.exp(-rate)).otherwise(far)
     walk = F.aggregate(
         tail,
         F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all")),
@@ -62,9 +74,8 @@ def mix(docs: DataFrame, seed: str = "mix-1", shares: dict[str | None, float] |
     """All columns of the drawn rows, with ``copy`` (from 0) and ``shuffle_key``; globally ordered by
     ``shuffle_key`` across partitions if ``shuffle``."""
     by_source = rates(docs, shares, power, text, source)
-    # whole repetitions above SPREAD are certain; the rest is drawn, so the mean stays the rate
-    by_source = by_source.withColumn("_sure", F.greatest(F.lit(0.0), F.floor(F.col("_rate")) - SPREAD).cast("int"))
-    by_source = by_source.select("_source", "_sure", steps(F.col("_rate") - F.col("_sure")).alias("_steps"))
+    by_source = by_source.withColumn("_sure", least(F.col("_rate")))
+    by_source = by_source.select("_source", "_sure", steps(F.col("_rate"), F.col("_sure")).alias("_steps"))
     by_source = stored(by_source, "rates")
     rows = docs.select(F.struct("*").alias("_row"))  # so that no column name can clash
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]

@@ -227,6 +227,35 @@ def test_poisson_high_rates(spark):
     assert 40 < poisson_mix.mix(one, shares={"a": 1.0, "b": 1.0}).where("source = 'a'").count() < 170
 
 
+def test_poisson_full_distribution(spark):
+    """Counts are the inverse of the whole Poisson distribution at every rate, as in the SQL."""
+    import math
+
+    import duckdb
+
+    n = 300
+    for big, low, high in ((8_000, 41, 100), (40_000, 100, 700), (600_000, 700, 5000)):
+        d = spark.createDataFrame([(k, "x" * (k == 0), "en", "a", 1) for k in range(n)] + [(n, "y" * big, "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+        got = collections.Counter({r.doc_id: r["count"] for r in poisson_mix.mix(d, shuffle=False).groupBy("doc_id").count().collect()})
+        chars = {"a": 1, "b": big}
+        rate = math.sqrt(chars["a"]) / (math.sqrt(chars["a"]) + math.sqrt(chars["b"])) * sum(chars.values()) / chars["a"]
+        assert low < rate < high
+        table, total, k = [], 0.0, 0
+        while k < rate + 15 * math.sqrt(rate):
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            table.append(total)
+            k += 1
+        for i in range(n):
+            u = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:12], 16) / 2**48
+            assert got[i] == int(np.searchsorted(table, u, "right")), (rate, i)
+        spread = np.std([got[i] for i in range(n)])
+        assert 0.85 < spread / math.sqrt(rate) < 1.15
+        if rate < poisson_mix.PLAIN:
+            con = duckdb.connect()
+            con.register("documents", d.toArrow())
+            assert got == collections.Counter(dict(con.execute(f"SELECT doc_id, count(*) FROM ({poisson_mix.ORACLE}) q GROUP BY doc_id").fetchall()))
+
+
 # ---- classifiers
 
 

@@ -13,13 +13,14 @@ before it. So the spliced ids are those of the whole text.
 Cases: null and empty texts encode to no id and decode to an empty text; special tokens in a text
 are found as the tokenizers library does, and such texts are encoded whole; repeated rows and
 repeated or null ids keep their rows, as rows are told apart by a number of their own; a text
-without an anchor is re-encoded whole; other columns may have any name.
+without an anchor is re-encoded whole; white-space runs of any length encode; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,9 @@ CUT_BITS = 10
 MIN_CHUNK, MAX_CHUNK = 256, 16_384
 SLOT_BITS = 23  # of the bitmap of repeated chunks: 1 MB at any size of the corpus
 HEAVY_MOST = 4096  # digests that can be heavy, hence bound of what is broadcast about them
+LONG_SPACE = 100_000  # runs of more white-space characters are matched here, not by the engine
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # \s of the pattern; Python's has more
+_LONG_RUN = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{{LONG_SPACE},}}")
 _GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -71,7 +75,19 @@ class Codec:
         return any(s.encode() in data for s in self.special)
 
     def encode(self, data: bytes) -> np.ndarray:
-        return self.engine.encode_to_numpy(data.decode(), allowed_special="all")
+        if len(data) <= LONG_SPACE:
+            return self.engine.encode_to_numpy(data.decode(), allowed_special="all")
+        # the engine's regular expressions fail on a million white-space characters, so long runs go around them
+        text, done, out = data.decode(), 0, []
+        for run in _LONG_RUN.finditer(text):
+            stop = run.end()
+            if stop < len(text) and not text.startswith(tuple(self.special), stop):
+                stop -= 1  # \s+(?!\S) leaves the last character to what follows
+            out.append(self.engine.encode_to_numpy(text[done : run.start()], allowed_special="all"))
+            out.append(np.array(self.engine._core_bpe.encode_single_piece(text[run.start() : stop].encode()), np.uint32))
+            done = stop
+        out.append(self.engine.encode_to_numpy(text[done:], allowed_special="all"))
+        return np.concatenate(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))

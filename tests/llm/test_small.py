@@ -184,6 +184,20 @@ def test_every_cut_splices_exactly():
         assert chunked_bpe.splice(c, [(*p, bool(p[0] or p[2])) for p in parts]).tolist() == whole, cut
 
 
+def test_long_white_space(spark):
+    """Runs of over a million white-space characters, within a text, at its ends and before a special token."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t, c = Tokenizer.from_file(path), chunked_bpe.codec(path)
+    for n in (chunked_bpe.LONG_SPACE - 1, chunked_bpe.LONG_SPACE, 1_000_010):
+        for text in (f"one two{' ' * n}three 4", f"a b{' ' * n}", f"{' ' * (n - 1)}\nx", "\n" * n, f"a{' ' * n}<|endoftext|>b", f"a{' ' * n}\x1cb\u3000 c"):
+            assert c.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids, (n, text[:9], text[-9:])
+    d = spark.createDataFrame([(1, "some text" + " " * 1_000_010 + "and more of it"), (2, "short"), (3, "\n" * 1_000_010)], "doc_id long, text string")
+    got = {r.doc_id: (np.frombuffer(bytes(r.ids), "<u4").tolist(), r.decoded) for r in chunked_bpe.encode(d, path).collect()}
+    assert got == {r.doc_id: (t.encode(r.text, add_special_tokens=False).ids, r.text) for r in d.collect()}
+
+
 # ---- mixing
 
 

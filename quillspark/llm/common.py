@@ -8,22 +8,30 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HEAVY_MOST = 10_000  # most keys that can have over 1/HEAVY_MOST of all rows; bounds what is broadcast
+WAYS_MOST = 256
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary one is made and set.
+    Only a session with a local master (tests on one machine) may leave it unset: a temporary folder
+    is made and set there. On a cluster a missing setting is an error, as a folder of one machine
+    would lose rows.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            own = tempfile.mkdtemp(prefix="quillspark-")
-            atexit.register(shutil.rmtree, own, True)
-            named = f"file://{own}"
-            spark.sparkContext.setCheckpointDir(named)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, own, True)
+        named = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -32,7 +40,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[id(back)] = (back, path)
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Free the disk of stored tables that nothing reads any more: an empty table takes their place."""
+    for t in tables:
+        kept = _paths.pop(id(t), None)
+        if kept is not None:
+            spark = t.sparkSession
+            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(kept[1])
 
 
 def release(spark: SparkSession) -> None:
@@ -41,6 +60,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], copies: str, total: int, spread: Column) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has each key once and in ``copies`` how many rows of
+    ``big`` (``total`` in all) have it. Keys with over 1/HEAVY_MOST of all rows are split by
+    ``spread``; there are at most HEAVY_MOST of them, and only those are broadcast."""
+    limit = max(1000, total // HEAVY_MOST + 1)
+    ways = F.when(F.col(copies) > limit, F.least(F.lit(WAYS_MOST), F.ceil(F.col(copies) / F.lit(limit)))).otherwise(1).cast("int")
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    heavy = small.where(F.col(copies) > limit).select(*on, ways.alias("_ways"))
+    rows = big.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_ways")), F.lit(0)).cast("int"))
+    return rows.join(parts, [*on, "_salt"]).drop("_salt", "_ways")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, max_docs: int, label: str = "quality") -> DataFrame:
+    """At most ``max_docs`` rows (key, text, label) of documents with a label, those with the smallest
+    hash of their id (then of their text); of several labels of an id the least counts."""
+    best = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).alias("_label"))
+    picked = best.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
+    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id"))  # small, so Spark broadcasts it
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_docs).select(F.col("doc_id").cast("string").alias("key"), "text", F.col("_label").cast("int").alias(label))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,24 +1,34 @@
 """Quality rules: a linear-chain CRF labels the lines of a text as content or boilerplate.
 
+The share of a text's words that stand in content lines decides whether it stays. The CRF learns from
+labelled lines: boilerplate are all lines of texts labelled bad, lines that several unlike texts of the
+sample have in common (``known`` lines, kept in the model by their hash), and lines that a text repeats;
+all others are content. Beside the texts themselves it sees mixtures, bad lines set between good ones,
+so that it learns where one kind turns into the other.
+
 Cases: a null or empty text has no line, no word and fails the base rules; lines without a word
 carry no weight in the content share; rows are scored one by one, so repeated rows get equal
-results; only the named text column is read, other columns pass through untouched; an empty table
-gives an empty result. A share that ties with the threshold is kept.
+results; texts of any length are scored whole; only the named text column is read, other columns pass
+through untouched, whatever their names; an empty table gives an empty result. A share that ties with
+the threshold is kept. Of several labels of an id the least counts; without labels of both classes the
+fixed weights ``DEFAULT`` are used.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .common import labelled
 
-N_FEATURES = 9
+N_FEATURES = 13
+KNOWN_DOCS = 3  # unlike texts of the sample that make a line known boilerplate
 MIN_WORDS = 50
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
@@ -39,6 +49,10 @@ class LineModel:
     emit: np.ndarray  # (N_FEATURES,)
     step: np.ndarray  # (2, 2) from, to
     min_share: float = 0.5
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of boilerplate lines
+
+
+DEFAULT = LineModel(np.array([-2.0, 4, 3, 4, 4, 1, 0, 2, 4, 0, 0, 0, 4]), np.array([[1.0, 0], [0, 1.0]]))
 
 
 def _per(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -69,9 +83,10 @@ class Lines:
     features: np.ndarray  # (lines with a word, N_FEATURES)
     words: np.ndarray  # of each such line
     bounds: np.ndarray  # docs + 1
+    hashes: np.ndarray  # of each such line
 
 
-def analyse(b: ts.Block) -> Lines:
+def analyse(b: ts.Block, known: np.ndarray = DEFAULT.known) -> Lines:
     data, docs = b.data, b.n_docs
     hashes = b.word_hashes(False)
     salt = ts.mix(np.arange(docs, dtype=np.uint64) + ts.U(1))
@@ -104,7 +119,8 @@ def analyse(b: ts.Block) -> Lines:
     keep = line_words > 0
     starts, ends, line_words, first = starts[keep], ends[keep], line_words[keep], first[keep]
     doc = np.searchsorted(b.bounds, starts, "right") - 1
-    _, earlier = _repeats(ts.span_hashes(data, starts, ends) + salt[doc])
+    line_hashes = ts.span_hashes(data, starts, ends)
+    _, earlier = _repeats(line_hashes + salt[doc])
     stats[:, 3] = np.bincount(doc[earlier], minlength=docs)
     f = np.zeros((len(starts), N_FEATURES))
 
@@ -127,7 +143,18 @@ def analyse(b: ts.Block) -> Lines:
         f[:, 6] = line_words <= 3
         f[:, 7] = share(_DIGIT[data], ends - starts)
         f[:, 8] = share(data == 124, line_words)
-    return Lines(stats, f, line_words, np.searchsorted(doc, np.arange(docs + 1)))
+        f[:, 9] = np.concatenate([[True], doc[1:] != doc[:-1]])
+        f[:, 10] = np.concatenate([doc[1:] != doc[:-1], [True]])
+        f[:, 11] = line_words <= 15
+        f[:, 12] = among(line_hashes, known)
+    return Lines(stats, f, line_words, np.searchsorted(doc, np.arange(docs + 1)), line_hashes)
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def viterbi(scores: np.ndarray, step: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -160,52 +187,113 @@ def viterbi(scores: np.ndarray, step: np.ndarray, bounds: np.ndarray) -> np.ndar
     return state
 
 
-def train(features: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.5, l2: float = 1e-3, window: int = 64) -> LineModel:
-    """Maximum likelihood by gradient ascent; every line carries its text's label.
+def likelihood(x: np.ndarray, on: np.ndarray, y: np.ndarray, emit: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of the lines' labels and its gradients by ``emit`` and ``step``.
+
+    ``x`` (lines, sequences, features), ``on`` which lines there are, ``y`` their labels; sequences
+    advance together."""
+    longest = len(x)
+    s = x @ emit
+    e = np.stack([np.zeros_like(s), s], -1)
+    fwd = np.zeros_like(e)
+    fwd[0] = e[0]
+    for t in range(1, longest):
+        new = np.logaddexp(fwd[t - 1, :, :1] + step[0], fwd[t - 1, :, 1:] + step[1]) + e[t]
+        fwd[t] = np.where(on[t, :, None], new, fwd[t - 1])
+    z = np.logaddexp(fwd[-1, :, 0], fwd[-1, :, 1])
+    bwd = np.zeros_like(e)
+    pair = np.zeros((2, 2))
+    for t in range(longest - 1, 0, -1):
+        w = e[t] + bwd[t]
+        pair += (np.exp(fwd[t - 1, :, :, None] + step + w[:, None, :] - z[:, None, None]) * on[t, :, None, None]).sum(0)
+        new = np.logaddexp(step[:, 0] + w[:, None, 0], step[:, 1] + w[:, None, 1])
+        bwd[t - 1] = np.where(on[t, :, None], new, 0.0)
+    p1 = np.exp(fwd[..., 1] + bwd[..., 1] - z) * on
+    moves = on[1:]
+    gold = np.array([[((y[:-1] == i) & (y[1:] == j) & moves).sum() for j in (0, 1)] for i in (0, 1)])
+    value = (s * (y == 1) * on).sum() + (gold * step).sum() - z.sum()
+    return float(value), np.einsum("tnf,tn->f", x, on * (y == 1) - p1), gold - pair
+
+
+def train(features: list[np.ndarray], labels: list[np.ndarray], rounds: int = 120, rate: float = 0.5, l2: float = 1e-3, window: int = 64) -> LineModel:
+    """Maximum likelihood by gradient ascent; ``labels`` has one per line.
 
     Long texts are cut into windows of ``window`` lines, which all count.
     """
-    parts = [(x[i : i + window], y) for x, y in zip(features, labels, strict=True) for i in range(0, len(x), window)]
+    parts = [(x[i : i + window], y[i : i + window]) for x, y in zip(features, labels, strict=True) for i in range(0, len(x), window)]
+    if not parts or len(set(np.concatenate([y for _, y in parts]).tolist())) < 2:
+        return DEFAULT
     emit, step = np.zeros(N_FEATURES), np.zeros((2, 2))
-    if not parts or len(set(labels)) < 2:
-        return LineModel(np.array([-2.0, 4, 3, 4, 4, 1, 0, 2, 4]), np.array([[1.0, 0], [0, 1.0]]))
     longest = max(len(x) for x, _ in parts)
     x = np.zeros((longest, len(parts), N_FEATURES))
-    on = np.zeros((longest, len(parts)), bool)
-    y = np.array([p[1] for p in parts])
-    for i, (p, _) in enumerate(parts):
-        x[: len(p), i], on[: len(p), i] = p, True
+    on, y = np.zeros((longest, len(parts)), bool), np.zeros((longest, len(parts)), np.int8)
+    for i, (p, own) in enumerate(parts):
+        x[: len(p), i], on[: len(p), i], y[: len(p), i] = p, True, own
     total = on.sum()
-    gold = np.zeros((2, 2))
-    moves = on[1:].sum(0)
-    gold[0, 0], gold[1, 1] = moves[y == 0].sum(), moves[y == 1].sum()
-    seen = np.einsum("tnf,tn->f", x, on * (y == 1))
     for _ in range(rounds):
-        s = x @ emit
-        e = np.stack([np.zeros_like(s), s], -1)
-        fwd = np.zeros_like(e)
-        fwd[0] = e[0]
-        for t in range(1, longest):
-            new = np.logaddexp(fwd[t - 1, :, :1] + step[0], fwd[t - 1, :, 1:] + step[1]) + e[t]
-            fwd[t] = np.where(on[t, :, None], new, fwd[t - 1])
-        z = np.logaddexp(fwd[-1, :, 0], fwd[-1, :, 1])
-        bwd = np.zeros_like(e)
-        pair = np.zeros((2, 2))
-        for t in range(longest - 1, 0, -1):
-            w = e[t] + bwd[t]
-            pair += (np.exp(fwd[t - 1, :, :, None] + step + w[:, None, :] - z[:, None, None]) * on[t, :, None, None]).sum(0)
-            new = np.logaddexp(step[:, 0] + w[:, None, 0], step[:, 1] + w[:, None, 1])
-            bwd[t - 1] = np.where(on[t, :, None], new, 0.0)
-        p1 = np.exp(fwd[..., 1] + bwd[..., 1] - z) * on
-        emit += rate * ((seen - np.einsum("tnf,tn->f", x, p1)) / total * 8 - l2 * emit)
-        step += rate * ((gold - pair) / total * 8 - l2 * step)
+        _, to_emit, to_step = likelihood(x, on, y, emit, step)
+        emit += rate * (to_emit / total * 8 - l2 * emit)
+        step += rate * (to_step / total * 8 - l2 * step)
     return LineModel(emit, step)
 
 
+def common_lines(texts: list[np.ndarray]) -> np.ndarray:
+    """Sorted hashes of the lines that ``KNOWN_DOCS`` unlike texts hold; texts that share over half of
+    the lines of the shorter one are copies and count once."""
+    sets = [set(t.tolist()) for t in texts]
+    holders: dict[int, list[int]] = defaultdict(list)
+    for i, own in enumerate(sets):
+        for h in own:
+            holders[h].append(i)
+    known = []
+    for h, docs in holders.items():
+        unlike: list[int] = []
+        for i in docs if len(docs) >= KNOWN_DOCS else ():
+            if all(2 * len(sets[i] & sets[j]) <= min(len(sets[i]), len(sets[j])) for j in unlike):
+                unlike.append(i)
+            if len(unlike) == KNOWN_DOCS:
+                known.append(h)
+                break
+    return np.sort(np.array(known, np.uint64))
+
+
+def mixtures(good: list[tuple[np.ndarray, np.ndarray]], bad: list[np.ndarray], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Good texts with a run of up to eight bad lines in them, as (features, labels); each good and each
+    bad text is used at least once."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    out = []
+    for k in range(max(len(good), len(bad)) if good and bad else 0):
+        (x, y), b = good[k % len(good)], bad[k % len(bad)]
+        at, n = int(rng.integers(0, len(x) + 1)), int(rng.integers(1, 9))
+        lo = int(rng.integers(0, max(1, len(b) - n + 1)))
+        mixed = np.concatenate([x[:at], b[lo : lo + n], x[at:]])
+        mixed[:, 9:11] = 0
+        mixed[0, 9] = mixed[-1, 10] = 1
+        out.append((mixed, np.concatenate([y[:at], np.ones(len(b[lo : lo + n]), np.int8), y[at:]])))
+    return out
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> LineModel:
+    """A model from texts as (features, line hashes, class; 0 is bad)."""
+    rows = [r for r in rows if len(r[1])]
+    known = common_lines([h for _, h, _ in rows])
+    made = []
+    for x, h, good in rows:
+        x = x.copy()
+        x[:, 12] = among(h, known)
+        made.append((x, np.where(x[:, 12] + x[:, 5] > 0, 1, 0).astype(np.int8) if good else np.ones(len(x), np.int8), good))
+    whole = [(x, y) for x, y, _ in made]
+    whole += mixtures([(x, y) for x, y, good in made if good], [x for x, _, good in made if not good])
+    if len({good for *_, good in made}) < 2:
+        return DEFAULT
+    found = train([x for x, _ in whole], [y for _, y in whole])
+    return LineModel(found.emit, found.step, known=known)
+
+
 def _scored(batch_text: pa.Array, model: LineModel) -> dict[str, np.ndarray]:
     out = {k: [] for k in [*STATS, "n_lines", "n_content_lines", "content_share", "base_failed", "kept"]}
     for b in ts.blocks(batch_text):
-        a = analyse(b)
+        a = analyse(b, model.known)
         state = viterbi(a.features @ model.emit, model.step, a.bounds)
         content = _per((state == 0) * a.words, a.bounds)
         words = a.stats[:, 0]
@@ -251,21 +339,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 600) -> LineModel:
 
     Line features are made by the executors; texts never reach the driver.
     """
-    picked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ys, blobs = [], [], []
+            lines, hashes = [], []
             for b in ts.blocks(batch.column(1)):
                 a = analyse(b)
                 for i in range(b.n_docs):
-                    blobs.append(a.features[a.bounds[i] : a.bounds[i + 1]].astype(np.float16).tobytes())
-                ids += batch.column(0)[b.first : b.last].to_pylist()
-                ys += batch.column(2)[b.first : b.last].to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "blob"])
-
-    rows = sample.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, blob binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.blob)))
-    return train([np.frombuffer(r.blob, np.float16).reshape(-1, N_FEATURES).astype(float) for r in rows], [1 - int(r.quality > 0) for r in rows])
+                    lines.append(a.features[a.bounds[i] : a.bounds[i + 1]].astype(np.float16).tobytes())
+                    hashes.append(a.hashes[a.bounds[i] : a.bounds[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lines, pa.binary()), pa.array(hashes, pa.binary())], names=["key", "quality", "lines", "hashes"])
+
+    rows = labelled(docs, labels, max_docs).mapInArrow(run, "key string, quality int, lines binary, hashes binary").collect()
+    rows.sort(key=lambda r: (r.key, bytes(r.hashes)))
+    return learn([(np.frombuffer(r.lines, np.float16).reshape(-1, N_FEATURES).astype(float), np.frombuffer(r.hashes, np.uint64), int(r.quality > 0)) for r in rows])

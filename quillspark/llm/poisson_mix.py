@@ -8,8 +8,8 @@ rows again.
 
 Cases: a null source is a source of its own; null and empty texts have length 0 and are drawn by the
 rate of their source (1 if a source has no character); rows without an id share one number, so they
-are kept or dropped together, as are repeated rows; a rate of 0 drops a source; an empty table gives
-an empty result. Input columns named ``copy`` or ``shuffle_key`` give way to those added; any other
+are kept or dropped together, as are repeated rows; a rate of 0 drops a source; texts of any length are
+drawn whole; an empty table gives an empty result. Input columns named ``copy`` or ``shuffle_key`` give way to those added; any other
 name may occur.
 """
 
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
 BROADCAST_SOURCES = 10_000  # rates of so many sources (about 1 kB each at low rates) may be broadcast
 SALTS = 32
@@ -39,7 +39,7 @@ def rates(docs: DataFrame, shares: dict[str | None, float] | None = None, power:
     sizes = docs.groupBy(F.col(source).alias("_source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("_chars"))
     if shares is not None:
         wanted = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "_s string, _want double")
-        sizes = sizes.join(F.broadcast(wanted), F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "_chars", F.coalesce("_want", F.lit(0.0)).alias("_want"))
+        sizes = sizes.join(wanted, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "_chars", F.coalesce("_want", F.lit(0.0)).alias("_want"))
     else:
         sizes = sizes.withColumn("_want", F.sqrt(F.col("_chars").cast("double")) if power == 0.5 else F.pow(F.col("_chars").cast("double"), F.lit(power)))
     sizes = stored(sizes, "sizes")
@@ -90,7 +90,11 @@ def mix(docs: DataFrame, seed: str = "mix-1", shares: dict[str | None, float] |
     count = F.col("_sure") + F.size(F.filter("_steps", lambda c: c <= u))
     out = drawn.withColumn("_n", count).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
     out = out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "copy", hashed(seed + ":order", ident, F.col("copy")).alias("shuffle_key"))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
+    if not shuffle:
+        return out
+    # keys are even on [0, 1), so equal ranges need no sample of the rows
+    n = partitions(docs.sparkSession)
+    return out.repartitionById(n, F.least(F.floor(F.col("shuffle_key") * n), F.lit(n - 1)).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 ORACLE = """

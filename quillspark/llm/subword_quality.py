@@ -5,8 +5,10 @@ hashed into one table of learned vectors. The average vector goes through a soft
 layer is linear, a trained model scores a text by the mean of one number per bucket.
 
 Cases: a null or empty text has no feature and gets the score of the bias alone; rows are scored
-one by one, so repeated rows agree; only the text column is an input of a score; with no labelled
-row, or one class only, every text gets the share of the class seen (0.5 without any).
+one by one, so repeated rows agree; texts of any length are scored whole; only the text column is an
+input of a score, other columns may have any name; with no labelled row, or one class only, every
+text gets the share of the class seen (0.5 without any); of several labels of an id the least counts;
+a score of exactly ``THRESHOLD`` is class 1; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .common import labelled
 
-BITS = 14
+BITS = 16
 BUCKETS = 1 << BITS
-DIM = 8
+DIM = 16
 TRAIN_DOCS = 1500  # bound on labelled rows that the model is fitted on
 THRESHOLD = 0.7
 _REPEAT = ts.mix(np.array([7], np.uint64))[0]
@@ -112,11 +115,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = TRAIN_DOCS) -> SubwordModel:
     """Train on at most ``max_docs`` rows of ``labels`` where ``usable`` holds, those with the
-    smallest hash of their id. Executors make the counts by bucket; the driver gets at most
-    ``BUCKETS`` counts a row."""
-    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable)
-    picked = picked.select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    smallest hash of their id; the bound holds for rows of ``docs`` too, where an id repeats. Executors
+    make the counts by bucket; the driver gets at most ``BUCKETS`` counts a row."""
+    sample = labelled(docs, labels.where(usable), max_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,14 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = TRAI
                 kinds = list(features(b))
                 for i in range(b.n_docs):
                     ids, n = np.unique(np.concatenate([x[bd[i] : bd[i + 1]] for x, bd in kinds]), return_counts=True)
-                    blobs.append(ids.astype(np.uint16).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "blob"])
+                    blobs.append(ids.astype(np.uint32).tobytes() + n.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["key", "quality", "blob"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, blob binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.blob)))
+    rows = sample.mapInArrow(run, "key string, quality int, blob binary").collect()
+    rows.sort(key=lambda r: (r.key, bytes(r.blob)))
     made = []
     for r in rows:
-        x = np.frombuffer(r.blob, np.uint16).reshape(2, -1)
+        x = np.frombuffer(r.blob, np.uint32).reshape(2, -1)
         made.append((x[0].astype(np.int64), x[1].astype(float), int(r.quality > 0)))
     return train(made)
 

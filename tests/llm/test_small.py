@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bitmask_langid, chunked_bpe, license_scan, line_quality, ngram_jaccard, partenum, poisson_mix, projection_dedup, queries, semicrf_pii, subword_quality, tool_calls
+from quillspark.llm import bitmask_langid, chunked_bpe, common, license_scan, line_quality, ngram_jaccard, partenum, poisson_mix, projection_dedup, queries, semicrf_pii, subword_quality, tool_calls
 from quillspark.llm.components import components, roots
 
 SF = "/root/testdata/sf0.001"
@@ -47,7 +47,7 @@ def base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
 
-MODEL = line_quality.LineModel(np.array([-2.0, 4, 3, 4, 4, 1, 0, 2, 4]), np.array([[1.0, 0], [0, 1.0]]))
+MODEL = line_quality.DEFAULT
 
 
 def test_line_quality(spark):
@@ -82,6 +82,80 @@ def test_line_quality_against_labels(spark):
     assert got.where("quality = 0 and kept").count() <= 0.2 * got.where("quality = 0").count() + 1
 
 
+def test_line_gradient():
+    """The slopes of the likelihood are those of small steps, and the likelihood that of all labellings."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5, 3, line_quality.N_FEATURES))
+    on = np.arange(5)[:, None] < np.array([5, 2, 1])
+    x *= on[..., None]
+    y = rng.integers(0, 2, (5, 3)) * on
+    emit, step = rng.normal(size=line_quality.N_FEATURES), rng.normal(size=(2, 2))
+    value, to_emit, to_step = line_quality.likelihood(x, on, y, emit, step)
+    brute = 0.0
+    for k in range(3):
+        n = on[:, k].sum()
+
+        def score(path):
+            return sum(x[t, k] @ emit * path[t] for t in range(n)) + sum(step[a, b] for a, b in itertools.pairwise(path))
+
+        brute += score(y[:n, k]) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=n)))
+    assert value == pytest.approx(brute)
+    for k in range(line_quality.N_FEATURES):
+        d = np.eye(line_quality.N_FEATURES)[k] * 1e-6
+        assert (line_quality.likelihood(x, on, y, emit + d, step)[0] - value) / 1e-6 == pytest.approx(to_emit[k], abs=1e-3)
+    for i, j in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[i, j] = 1e-6
+        assert (line_quality.likelihood(x, on, y, emit, step + d)[0] - value) / 1e-6 == pytest.approx(to_step[i, j], abs=1e-3)
+
+
+def mixed_texts():
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(rng.integers(12, 20))) + "."
+    junk = lambda: " | ".join(word().upper() if rng.random() < 0.5 else word() for _ in range(rng.integers(4, 12)))
+    good = [[prose() for _ in range(rng.integers(4, 9))] for _ in range(40)]
+    bad = [[junk() for _ in range(rng.integers(3, 9))] for _ in range(40)]
+    return good, bad, prose, junk
+
+
+def test_lines_of_mixed_texts(spark):
+    """Runs of boilerplate within texts are labelled line by line, and the share decides."""
+    good, bad, prose, junk = mixed_texts()
+    for k in range(0, 40, 4):
+        good[k][0] = "Home of the common header line"
+    texts = ["\n".join(t) for t in good + bad]
+    d = docs(spark, texts).where("doc_id is not null and text not like '%repeats'")
+    labels = spark.createDataFrame([(k, 1 if k < 40 else 0, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    model = line_quality.fit(d, labels)
+    assert len(model.known) == 1 and model.step[0, 0] + model.step[1, 1] > model.step[0, 1] + model.step[1, 0] + 1
+    some = [prose() for _ in range(4)]
+    mixed = [some[:2] + [junk() for _ in range(4)] + some[2:], ["Home of the common header line", *some, junk()], some[:1] + [junk() for _ in range(9)], some]
+    rows = sorted(line_quality.score(docs(spark, ["\n".join(t) for t in mixed]).where("doc_id is not null and text not like '%repeats'"), model).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_lines, r.n_content_lines) for r in rows] == [(8, 4), (6, 4), (10, 1), (4, 4)]
+    assert 0 < rows[2].content_share < 0.5 < rows[0].content_share < 1 and not rows[2].kept and rows[0].kept and rows[3].content_share == 1
+    # a line in doubt goes with its neighbours: without steps between labels it falls the other way
+    scores = np.array([3.0, -0.4, 3.0, -3.0, 0.4, -3.0])
+    assert line_quality.viterbi(scores, model.step * 2, np.array([0, 6])).tolist() == [1, 1, 1, 0, 0, 0]
+    assert line_quality.viterbi(scores, model.step * 0, np.array([0, 6])).tolist() == [1, 0, 1, 0, 1, 0]
+
+
+def test_line_labels_odd(spark):
+    """No label, one class, two labels of one id, ids that are strings, an empty table."""
+    d = docs(spark, ["some words of text\nand a line"] * 4)
+    schema = "doc_id long, quality int, toxic int"
+    for rows in ([], [(1, 1, 0), (2, 1, 0)], [(None, 0, 0), (1, None, 0)]):
+        assert line_quality.fit(d, spark.createDataFrame(rows, schema)) is line_quality.DEFAULT
+    both = [(1, 1, 0), (1, 0, 0), (2, 1, 0)]
+    rows = common.labelled(d, spark.createDataFrame(both, schema), 9).collect()
+    assert {r.key: r.quality for r in rows} == {"1": 0, "2": 1}
+    named = d.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    got = line_quality.fit(named, spark.createDataFrame([("x1", 1, 0), ("x2", 0, 0)], "doc_id string, quality int, toxic int"))
+    assert len(got.emit) == line_quality.N_FEATURES and line_quality.fit(empty(spark), spark.createDataFrame(both, schema)) is line_quality.DEFAULT
+    many = docs(spark, ["a b c"] * 3).union(docs(spark, ["a b c"] * 3)).union(docs(spark, ["a b c"] * 3))
+    assert common.labelled(many, spark.createDataFrame([(0, 1, 0)], schema), 2).count() == 2
+
+
 # ---- n-gram Jaccard join
 
 
@@ -299,12 +373,58 @@ def test_language_id(spark):
     odd = [(r.lang_pred, r.score) for r in bitmask_langid.predict(docs(spark, [None, "", "12 ?!", "Ж", *ODD]), model).collect()]
     assert odd[:4] == [("und", 0.0), ("und", 0.0), ("und", 0.0), (odd[3][0], 0.0)] and odd[3][0] in model.langs
     assert bitmask_langid.predict(empty(spark), model).count() == 0
-    many = bitmask_langid.build([f"l{k}" for k in range(70)], [np.array([k], np.int64) for k in range(70)])
+    many = bitmask_langid.build([f"l{k}" for k in range(70)], [np.eye(1 << 16, dtype=bool)[0]] * 70, [1] * 70, 16)
     assert many.table.shape[1] == 2
-    none = bitmask_langid.build([], [])
+    none = bitmask_langid.build([], [], [], 16)
     assert [r.lang_pred for r in bitmask_langid.predict(docs(spark, ["abc"]), none).collect()] == ["und"] * 3
 
 
+def test_language_counts_against_sets(spark):
+    """Without false positives the popcounts are those of plain sets, and rare languages are learned."""
+    texts = ["the cat sat on the mat", "le chat dort sur le lit", "zqab"] * 3 + ["the bird on the lit", "zq zqx the", "été lit"]
+    rows = [(k, t, ("en", "fr", "xx")[k % 3] if k < 9 else None) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = bitmask_langid.fit(d, F.lit(True))
+    assert model.langs == ["en", "fr", "xx"]  # "xx" has one text of one n-gram
+
+    def grams(t):
+        data = "".join(c if c.isalpha() else " " for c in t.lower()).encode()
+        return [data[i : i + 4] for i in range(len(data) - 3) if data[i : i + 4].strip()]
+
+    rate = {x: collections.Counter(g for _, t, y in rows if x == y for g in grams(t)) for x in model.langs}
+    own = {x: {g for g, n in c.items() if n / c.total() >= bitmask_langid.SHARE * max(o[g] / max(o.total(), 1) for o in rate.values())} for x, c in rate.items()}
+    got = {r.doc_id: r for r in bitmask_langid.predict(d, model).collect()}
+    for k, t, _ in rows:
+        count = {x: sum(g in own[x] for g in grams(t)) for x in model.langs}
+        if sum(count.values()):
+            best = max(model.langs, key=lambda x: (count[x], -model.langs.index(x)))
+            assert got[k].lang_pred == best and got[k].score == pytest.approx(count[best] / sum(count.values()), abs=0.01), (t, count)
+    assert bitmask_langid.table_bits(10**6) > bitmask_langid.table_bits(1000) >= bitmask_langid.BITS
+
+
+def test_quality_scores_against_plain_averages(spark):
+    """A score is the softmax of the averaged vectors, worked out word by word."""
+    rng = np.random.default_rng(1)
+    model = subword_quality.SubwordModel(rng.normal(size=(subword_quality.BUCKETS, subword_quality.DIM)), rng.normal(size=(subword_quality.DIM, 2)), rng.normal(size=2))
+    texts = ["one two two three", "x", "", None, "é a\nb c " * 30, "same same same"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in subword_quality.score(d, model).collect()}
+    from quillspark.llm import textscan as ts
+    import pyarrow as pa
+
+    shift = np.uint64(64 - subword_quality.BITS)
+    for k, t in enumerate(texts):
+        words = WORD.findall(t or "")
+        h = [next(ts.blocks(pa.array([w]))).word_hashes(False)[0] for w in words]
+        ids = [int(x >> shift) for x in h]
+        with np.errstate(over="ignore"):
+            ids += [int((subword_quality._REPEAT if a == b else a * ts.M1 + b * ts.M2) >> shift) for a, b in itertools.pairwise(h)]
+            data = (t or "").encode()
+            ids += [int(np.uint32(data[i] | data[i + 1] << 8 | data[i + 2] << 16) * np.uint32(0x9E3779B1) >> np.uint32(32 - subword_quality.BITS)) for i in range(len(data) - 2)]
+        z = (model.vectors[ids].mean(0) if ids else np.zeros(subword_quality.DIM)) @ model.out + model.bias
+        assert got[k] == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), rel=1e-4), t
+
+
 # ---- personal data
 
 
@@ -330,6 +450,12 @@ def test_personal_data(spark):
     known = d.where("doc_id is not null and coalesce(text, '') not like '%repeats'")
     for r in semicrf_pii.find(known).join(known.select("doc_id", "text"), "doc_id").collect():
         assert [tuple(s) for s in r.base] == brute_base(r.text or ""), r.text
+    for t in ("x@", "@@a.b@c.d@e", "a@b.c.@d.e", "." * 9, "1..2.3.4.5.6", "1.2.3.4.5.6.7.8", "256.1.1.1.1", "0" * 50 + "1.2.3.4", "+1 2 3", "5 5-5  5", "4111 1111 1111 1111 1111", "a%@x-.y"):
+        assert semicrf_pii.base_spans(t) == brute_base(t), t
+    rng = np.random.default_rng(6)
+    for _ in range(1500):
+        t = "".join(rng.choice(list("ab@.-+ 0129é%")) for _ in range(rng.integers(1, 40)))
+        assert semicrf_pii.base_spans(t) == brute_base(t), t
     w = semicrf_pii.model()
     assert [PII[4][a:b] for _, a, b in semicrf_pii.spans(PII[4], w)[1]] == ["ffc3105535f423f352535e4ac53b5fefe076ac6d", "(415) 555-0132"]
     assert all(semicrf_pii.spans(t, w) == ([], []) for t in PII[5:])
@@ -341,31 +467,77 @@ def test_personal_data(spark):
     assert semicrf_pii.find(empty(spark)).count() == 0
 
 
+def segmentations(win, at=0):
+    """All segmentations of a window's tokens from a place on, as (first, last + 1, label)."""
+    sp = semicrf_pii
+    if at == len(win.tokens):
+        yield []
+        return
+    for rest in segmentations(win, at + 1):
+        yield [(at, at + 1, sp.CERTAIN if win.certain[at] else sp.PLAIN), *rest]
+    for end in range(at + 1, min(len(win.tokens), at + sp.MAX_TOKENS) + 1):
+        if win.features(at, end):
+            for k in range(1, len(sp.ADDED) + 1):
+                for rest in segmentations(win, end):
+                    yield [(at, end, k), *rest]
+
+
+def worth(win, m, cuts):
+    labels = [semicrf_pii.PLAIN, *(k for *_, k in cuts)]
+    own = sum(m.scores(win.features(a, b))[k - 1] for a, b, k in cuts if semicrf_pii.PLAIN < k < semicrf_pii.CERTAIN)
+    return own + sum(m.steps[a, b] for a, b in itertools.pairwise(labels))
+
+
 def test_segmentation_is_the_best():
     """The programme's value is that of the best of all segmentations, enumerated."""
-    w = semicrf_pii.model()
-    text = 'token = "9f8e7d6c5b4a39281706fedc11223344" (415) 555-0132 x'
-    tokens = next(iter(semicrf_pii.windows(text)))
-
-    def value(cuts):
-        return sum(w[k, semicrf_pii.segment_features(text, tokens, a, b)].sum() for a, b, k in cuts)
-
-    def every(at):
-        if at == len(tokens):
-            yield []
-            return
-        for rest in every(at + 1):
-            yield rest
-        for end in range(at + 1, min(len(tokens), at + semicrf_pii.MAX_TOKENS) + 1):
-            if any(c.isdigit() for c in text[tokens[at][0] : tokens[end - 1][1]]):
-                for k in range(len(semicrf_pii.ADDED)):
-                    for rest in every(end):
-                        yield [(at, end, k), *rest]
-
-    best = max(map(value, every(0)))
-    starts, ends = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
-    got = [(starts[a], ends[b], semicrf_pii.ADDED.index(k)) for k, a, b in semicrf_pii.decode(text, tokens, w)]
-    assert value(got) == pytest.approx(best) and got
+    m = semicrf_pii.model()
+    for text in ('key = "9f8e7d6c5b4a39281706fedc11223344" (415) 555-0132', "a@b.co pwd: AbcdefGhijkl 1.2.3.4 12"):
+        (win,) = semicrf_pii.windows(text, semicrf_pii.base_spans(text))
+        best = max(worth(win, m, c) for c in segmentations(win))
+        starts, ends = {a: i for i, (a, _) in enumerate(win.tokens)}, {b: i + 1 for i, (_, b) in enumerate(win.tokens)}
+        got = {starts[a]: (starts[a], ends[b], semicrf_pii.ADDED.index(k) + 1) for k, a, b in semicrf_pii.decode(win, m)}
+        cuts, at = [], 0
+        while at < len(win.tokens):
+            cuts.append(got.get(at, (at, at + 1, semicrf_pii.CERTAIN if win.certain[at] else semicrf_pii.PLAIN)))
+            at = cuts[-1][1]
+        assert worth(win, m, cuts) == pytest.approx(best) and got
+
+
+def test_segment_likelihood():
+    """The likelihood is that over all segmentations, and its slopes are those of small steps."""
+    sp = semicrf_pii
+    rng = np.random.default_rng(4)
+    text = 'a@b.co key="Abcdefgh12" 7 (415)'
+    (win,) = sp.windows(text, sp.base_spans(text))
+    at = text.index("Abc")
+    lattice = sp.Lattice([(win, [("secret", at, at + 10)]), (win, [])])
+    m = sp.Model(rng.normal(size=(len(sp.ADDED), len(sp.FEATURES))), rng.normal(size=(sp.LABELS, sp.LABELS)))
+    value, to_weights, to_steps = lattice.likelihood(m.weights, m.steps)
+    every = [worth(win, m, c) for c in segmentations(win)]
+    gold = [c for c in segmentations(win) if [x for x in c if sp.PLAIN < x[2] < sp.CERTAIN] in ([], [next((i, i + 1, 1) for i, t in enumerate(win.tokens) if t[0] == at)])]
+    assert value == pytest.approx(sum(worth(win, m, c) for c in gold) - 2 * np.log(np.exp(every).sum()))
+    for x, slope in ((m.weights, to_weights), (m.steps, to_steps)):
+        for i, j in itertools.product(*map(range, x.shape)):
+            d = np.zeros_like(x)
+            d[i, j] = 1e-6
+            moved = lattice.likelihood(m.weights + d, m.steps) if x is m.weights else lattice.likelihood(m.weights, m.steps + d)
+            assert (moved[0] - value) / 1e-6 == pytest.approx(slope[i, j], abs=1e-3)
+
+
+def test_secrets_without_digits():
+    m = semicrf_pii.model()
+    for text, want in (('password = "correcthorsebattery" x', ["correcthorsebattery"]), ("a key: value of it", []), ("the password is here", []), ("token = null", []), ("api_key: AbcdEfghIjklMnopQrst", ["AbcdEfghIjklMnopQrst"])):
+        assert [text[a:b] for _, a, b in semicrf_pii.spans(text, m)[1]] == want, text
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    m = semicrf_pii.model()
+    began = time.time()
+    for text in ("7" * 1_000_000, "@" * 200_000, "a" * 500_000 + "@", "a@" * 100_000, "0" * 6000 + ".1.1.1", "x@" + "a." * 200_000, "+" * 200_000 + "1"):
+        semicrf_pii.spans(text, m)
+    assert time.time() - began < 30
 
 
 # ---- embeddings
@@ -474,18 +646,43 @@ def test_tool_calls(spark):
     ]
     results = [(1, "a", 'said "é"\n'), (1, "a", "zz"), (1, "o", None), (2, "p", "x"), (None, "a", "y")]
     c = spark.createDataFrame(calls, "conv_id long, call_id string, name string, arguments string, after string").withColumn("depth", F.lit("clash"))
-    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(c, spark.createDataFrame(results, "conv_id long, call_id string, content string"), schema).collect()}
+    rows = tool_calls.link(c, spark.createDataFrame(results, "conv_id long, call_id string, content string"), schema).collect()
+    lone, got = [r for r in rows if r.conv_id is None], {(r.conv_id, r.call_id): r for r in rows if r.conv_id is not None}
     assert {k: (r.depth, r.status, r.n_same, r.problem) for k, r in got.items()} == {
         (1, "a"): (0, "linked", 1, None), (1, "b"): (1, "unanswered", 1, "n: not integer"), (1, "c"): (2, "unanswered", 1, "n: out of range"), (1, "d"): (0, "unanswered", 1, "not object"),
         (1, "e"): (3, "unanswered", 2, "no schema"), (1, "o"): (None, "orphan", 0, None), (2, "p"): (None, "linked", 1, "not JSON"), (2, "q"): (None, "unanswered", 1, "not JSON"),
         (2, "r"): (None, "unanswered", 1, "z: unknown"), (3, "t"): (None, "unanswered", 1, "tags: not in enum"),
+        (3, None): (None, "unlinked", 1, "n: missing"),
     }
+    assert got[1, "a"].n_answers == 2 and got[1, "b"].n_answers == 0
+    assert sorted((r.status, r.n_same, r.n_answers, r.problem or "", r.message) for r in lone) == [
+        ("unlinked", 0, 1, "", '{"arguments":null,"content":"y","id":"a","name":null}'), ("unlinked", 1, 0, "n: missing", '{"arguments":{},"content":null,"id":"n","name":"f"}'),
+    ]
     assert json.loads(got[1, "a"].message) == {"arguments": {"n": 1, "tags": ["x"]}, "content": 'said "é"\n', "id": "a", "name": "f"}
     assert got[1, "a"].message.startswith('{"arguments":{"n":1,"tags":["x"]},"content":')
     none = tool_calls.link(c.limit(0), spark.createDataFrame([], "conv_id long, call_id string, content string"), schema)
     assert none.count() == 0
 
 
+def test_canonical_json():
+    one = lambda t: tool_calls.one("f", t, {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}})
+    assert one('{"n": 1.0, "a": [1e21, 1e-7, 0.00001, -0.0, 1e16, 2.50]}') == ('{"a":[1e+21,1e-7,0.00001,0,10000000000000000,2.5],"n":1}', None)
+    for bad in ('{"n": Infinity}', '{"n": NaN}', '{"n": -Infinity}', '{"n": 1e999}', '{"n": ' + "9" * 5000 + "}", "", None, "{"):
+        assert one(bad) == (None, "not JSON")
+    assert one('{"n": "\\ud800 \\ud83d\\ude00"}')[0] == '{"n":"\\ud800 \U0001f600"}'
+    assert one("[" * 150 + "]" * 150)[1] == "not object" and one("[" * 250 + "]" * 250)[1] == "too deep" and one("[" * 200_000 + "]" * 200_000) == (None, "too deep")
+    assert one('{"b":1,"a":2,"a":3}')[0] == '{"a":3,"b":1}' and one('{"n":1.5}')[1] == "n: not integer"
+
+
+def test_odd_arguments_through_spark(spark):
+    texts = ['{"n": Infinity}', '{"s": "\\ud800"}', "[" * 5000 + "]" * 5000, "{}", None, '{"s": "' + "x" * 2_000_000 + '"}']
+    calls = spark.createDataFrame([(1, str(k), "f", t, None) for k, t in enumerate(texts)], "conv_id long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, "0", "y" * 2_000_000)], "conv_id long, call_id string, content string")
+    got = {r.call_id: r for r in tool_calls.link(calls, results, {"f": {"type": "object"}}).collect()}
+    assert [got[str(k)].problem for k in range(6)] == ["not JSON", None, "too deep", None, "not JSON", None]
+    assert len(got["0"].message) > 2_000_000 and len(got["5"].message) > 2_000_000 and "\\ud800" in got["1"].message
+
+
 def test_long_chain(spark):
     calls = spark.createDataFrame([(1, str(k), "f", "{}", str(k - 1)) for k in range(300)], "conv_id long, call_id string, name string, arguments string, after string")
     got = tool_calls.depths(calls).collect()

@@ -46,11 +46,26 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def running(lengths: Column) -> Column:
-    """Sums of the elements before each, for an array of ints."""
+def _running(lengths: Column) -> Column:
+    """As ``running``, copying the sums so far for each element: for short arrays."""
     return F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
 
 
+def running(lengths: Column) -> Column:
+    """Sums of the elements before each, and of all, for an array of ints. Long arrays are cut into
+    pieces of the square root of their length, so that no array copied is long."""
+
+    def cut(values: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")), lambda c: F.slice(values, c * width + 1, width))
+
+    def joined(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+        place = lambda starts: F.concat(F.flatten(F.transform(pieces, lambda p, i: F.transform(F.slice(_running(p), 1, F.size(p)), lambda x: x + F.get(starts, i)))), F.slice(starts, -1, 1))
+        return bind(_running(totals), place)
+
+    return bind(lengths, lambda values: F.when(F.size(values) <= 64, _running(values)).otherwise(bind(cut(values, F.ceil(F.sqrt(F.size(values))).cast("int")), joined)))
+
+
 def ste_words(sentence: Column) -> Column:
     """Counted words before a number is merged with its unit: brackets and quotes count as one."""
     masked = F.regexp_replace(sentence, r"\([^()]*\)", " paren ")
@@ -99,16 +114,27 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(masked, r"(?U)([.!?]+[*_`~]*)(?=\s|\z)", "$1" + OPEN), OPEN)
 
 
-def sentences(text: Column, default: Column | None = None, count: bool = True) -> Column:
-    """Sentences with their start, register and counted words."""
+def sentences(text: Column, default: Column | None = None, count: bool = True, breaks: bool = False) -> Column:
+    """Sentences with their start, register and counted words, and the line breaks before them if asked."""
     fallback = F.lit("descriptive") if default is None else F.coalesce(default, F.lit("descriptive"))
 
-    def place(raw: Column, starts: Column) -> Column:
-        made = F.transform(raw, lambda p, i: F.struct(F.translate(trim(p), DOT, ".").alias("text"), (F.get(starts, i) + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).alias("start")))
+    def lead(p: Column) -> Column:
+        return F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))
+
+    def lines(p: Column) -> Column:
+        return F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+
+    def place(raw: Column, starts: Column, before: Column | None) -> Column:
+        own = lambda p, i: [] if before is None else [(F.get(before, i) + lines(F.substr(p, F.lit(1), lead(p)))).alias("breaks")]
+        made = F.transform(raw, lambda p, i: F.struct(F.translate(trim(p), DOT, ".").alias("text"), (F.get(starts, i) + lead(p)).alias("start"), *own(p, i)))
         return F.filter(made, lambda s: s["text"] != "")
 
-    found = bind(pieces(text), lambda raw: bind(running(F.transform(raw, lambda p: F.length(p))), lambda starts: place(raw, starts)))
-    return F.transform(found, lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), register(s["text"], fallback).alias("register"), (count_words(s["text"]) if count else F.lit(0)).alias("n_words")))
+    def placed(raw: Column) -> Column:
+        return bind(running(F.transform(raw, F.length)), lambda starts: bind(running(F.transform(raw, lines)), lambda n: place(raw, starts, n)) if breaks else place(raw, starts, None))
+
+    found = bind(pieces(text), placed)
+    more = lambda s: [s["breaks"].alias("breaks")] if breaks else []
+    return F.transform(found, lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), register(s["text"], fallback).alias("register"), (count_words(s["text"]) if count else F.lit(0)).alias("n_words"), *more(s)))
 
 
 def n_sentences(text: Column) -> Column:
@@ -144,11 +170,3 @@ def content_words(text: Column) -> Column:
     parts = F.split(text, r"(?U)[_\-\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
     lower = F.transform(F.filter(parts, lambda p: p.rlike(r"^\p{L}+$")), F.lower)
     return F.array_distinct(F.filter(lower, lambda p: (F.length(p) > 2) & ~p.isin(words("weak"))))
-
-
-def line_of(text: Column, start: Column, line: Column, offsets: Column) -> Column:
-    """Line of a position: from the segment's own line numbers where it has them."""
-    before = F.substr(text, F.lit(1), start)
-    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    listed = F.element_at(offsets, F.least(breaks, F.size(offsets) - 1) + 1)
-    return F.when(F.coalesce(F.size(offsets), F.lit(0)) > 0, listed).otherwise(line + breaks)

@@ -126,7 +126,7 @@ def rules() -> dict[str, Rule]:
         Rule("A-2", (Pattern(_bounded(words("praise"))),), '"{}" praises instead of describing.', "Say what it does, or what was measured."),
         Rule("A-3", (Pattern(r"\b(?:primary|main|key|these|the following|a number of|multiple|several)\s+(?:takeaways|caveats|properties|characteristics|improvements|features|reasons|considerations|advantages|benefits)\b\s*[:.]"),), '"{}" announces a list.', "Give the list without the announcement.", kinds=PROSE),
         Rule("A-4", (Pattern(r"\b(?:can|should|could|may|might)\s+(?:often|usually|typically|generally|occasionally|sometimes|perhaps|possibly|potentially)\b|\b(?:usually|generally|typically)\s+(?:may|might|would|tends? to)\b|\bit(?: is|'s)\s+(?:typically|usually|generally)\s+(?:best|considered|advisable|recommended)\b|\bthere(?: is|'s) no (?:single right|one right|single|correct|one[- ]size[- ]fits[- ]all|one)\s+(?:way|approach|solution|answer)\b|\bit depends,? but\b"),), '"{}" hedges twice.', "Say what happens, or name the condition."),
-        Rule("A-5", (Pattern(r"\b(?:left as an exercise|for (?:the sake of )?brevity|in a real(?:-world)? (?:system|scenario|application|implementation)|in production(?:, you'd|, this would|, you would|,)|this is a (?:toy|dummy|mock|placeholder|naive|minimal|basic|simplified)|(?:placeholder|simplified) (?:version|implementation|for)|(?:skipped|omitted) for (?:simplicity|clarity|brevity)|adjust as (?:appropriate|necessary|needed)|replace (?:it |this )?with your|(?:you (?:might|should|would) )?(?:need to |want to )?(?:handle|implement|add) (?:real |actual |proper )(?:authentication|logging|validation|error handling))\b"),), '"{}" says the code is incomplete.', "Finish it, or track the gap as a task."),
+        Rule("A-5", (Pattern(r"\b(?:left as an exercise|for (?:the sake of )?brevity|in a real(?:-world)? (?:system|scenario|application|implementation)|in production(?:,| you would| this would| you'd)|this is a (?:toy|dummy|mock|placeholder|naive|minimal|basic|simplified)|(?:placeholder|simplified) (?:version|implementation|for)|(?:skipped|omitted) for (?:simplicity|clarity|brevity)|adjust as (?:appropriate|necessary|needed)|replace (?:it |this )?with your|(?:you (?:might|should|would) )?(?:need to |want to )?(?:handle|implement|add) (?:real |actual |proper )(?:authentication|logging|validation|error handling))\b"),), '"{}" says the code is incomplete.', "Finish it, or track the gap as a task."),
         Rule("A-6", (Pattern(r"(?s)\A(.*?)([\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F300}-\x{1FAFF}])", 2, fold=False),), "Decorative emoji in technical text.", "Drop it, unless your team has agreed to it.", kinds=PROSE),
         Rule("A-7", (Pattern(r"\b(?:changeme|replace[-_]me|xxx+|<your[- _][^>]{2,30}>|(?:secret|token|api[-_]key)[-_]here|your[-_](?:project|domain|username|password|secret|token|api[-_]key))\b"),), '"{}" is a placeholder value.', "Put the real value, or say where it comes from."),
         Rule("A-8", (Pattern(r"(?m)^\s*(?:step\s*)?\d+[.):]\s*\w"),), "This comment narrates numbered steps.", "Keep only the steps that the code doesn't show.", kinds=NEAR_CODE),
@@ -157,3 +157,50 @@ def filled(rule: Rule) -> dict[str, str]:
     if rule.terms == "not_approved":
         return {w: ", ".join(a.split(" (")[0] for a in alts[:3]) for w, alts in vocabulary()["not_approved"].items()}
     return mapping(rule.terms)
+
+
+@lru_cache(1)
+def _needles() -> dict[str, list[tuple[str, ...]]]:
+    listed = lambda name, *left_out: tuple(w for w in words(name) if w not in left_out)
+    late = ("for the purpose of", "a large number of", "a small number of")
+    return {
+        "4.2": [("'", "cannot")],
+        "3.2": [("ing",)],
+        "3.2#1": [("had", "has", "have")] * 2,
+        "3.4": [("might", "may", "must", "can", "could", "shall", "should", "will", "would")],
+        "3.5": [("ing",)],
+        "3.7": [("give", "provide", "do", "did", "make", "made", "conduct", "perform", "carr")],
+        "1.14": [listed("spelling")],
+        "1.14#1": [("isation", "ising", "ise", "ysing", "yse")],
+        "1.1": [listed("not_approved")],
+        "C-5": [listed("slang", "gross"), ("gross",)],
+        "9.3": [listed("phrasal", "back up"), ("back up",)],
+        "GR-6": [listed("latin")],
+        "C-7": [listed("inclusive")],
+        "GR-4": [("this",)],
+        "GR-8": [("'s", "'S")],
+        "V-2": [("basically", "essentially", "fundamentally", "simply put", "generally speaking", "note that", "noting that", "in mind that", "noted that", "as mentioned", "as you can see", "in other words", "in short", "in summary", "in general", "in essence", "in particular", "at the core", "at its core")],
+        "V-3": [("finally", "then", "next", "first", "now", "here we", "we will", "we'll", "we are", "we're", "let us", "let's", "i will", "i'll", "i am", "i'm")],
+        "V-4": [("this ",)],
+        "V-5": [listed("padding", *late), late],
+        "A-1": [("about", "simply", "merely", "only", "just")],
+        "A-2": [listed("praise")],
+        "A-3": [("takeaways", "caveats", "properties", "characteristics", "improvements", "features", "reasons", "considerations", "advantages", "benefits")],
+        "A-4": [("often", "usually", "typically", "generally", "occasionally", "sometimes", "perhaps", "possibly", "potentially", "there is no", "there's no", "it depend")],
+        "A-5": [("left as an", "brevity", "in a real", "in production", "this is a", "placeholder", "simplified", "skipped for", "omitted for", "adjust as", "replace ", "real ", "actual ", "proper ", "handle ", "implement ", "add ")],
+        "A-7": [("changeme", "replace-me", "replace_me", "xxx", "<your", "-here", "_here", "your-", "your_")],
+        "A-11": [("not",)],
+        "A-12": [("happy to", "glad to", "of course", "sure thing", "absolutely", "certainly", "question")],
+        "A-13": [("overall", "in short", "in closing", "in summary", "in conclusion", "all in all", "to sum up", "to summari", "at the end of")],
+        "A-14": [("walk ", "jump in", "unpack", "explore", "get started", "take a look", "dive in", "break ")],
+        "S-1": [("as agreed", "as discussed", "sync", "standup", "meeting", "discussion", "conversation", "review", "feedback", "changed", "added", "updated", "fixed")],
+        "S-2": [("renamed", "changed ", "instead of the", "removed the old", "the old ", "used to ")],
+        "S-4": [("currently", "coming soon", "for now", "as of", "soon")],
+        "S-4#1": [("the legacy ",)],
+    }
+
+
+def needles(key: str) -> list[tuple[str, ...] | None]:
+    """Of each pattern of a rule, literals in lower case of which any text that it hits holds one; None
+    where none are known."""
+    return _needles().get(key) or [None] * len(rules()[key].patterns)

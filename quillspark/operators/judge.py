@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans import profiles
 from .catalogue import rule_rows
+from .scan import SHOWN
 
 VERDICTS = "rule_id string, violates boolean, message string, suggestion string, confidence double"
 CACHE = f"key string, verdicts array<struct<{', '.join(x.replace(' ', ':', 1) for x in VERDICTS.split(', ')).replace(': ', ':')}>>"
@@ -89,4 +90,4 @@ def judge(segments: DataFrame, model: Model, config: profiles.Config | None = No
     verdicts = known.unionByName(fresh)
     found = rows.join(verdicts, "key").select("*", F.explode("verdicts").alias("v")).where("v.violates")
     shown = F.substring("text", 1, 140)
-    return found.select(F.col("v.rule_id").alias("rule_id"), F.lit("soft").alias("severity"), "path", "line", "kind", F.col("v.message").alias("message"), shown.alias("excerpt"), F.col("v.suggestion").alias("suggestion"), F.col("text").alias("segment_text"), "seg_id", F.lit(0).alias("start")), fresh
+    return found.select(F.col("v.rule_id").alias("rule_id"), F.lit("soft").alias("severity"), "path", "line", "kind", F.col("v.message").alias("message"), shown.alias("excerpt"), F.col("v.suggestion").alias("suggestion"), F.when(F.length("text") <= SHOWN, F.col("text")).alias("shown"), "seg_id", F.lit(0).alias("start")), fresh

@@ -1,83 +1,132 @@
-"""One scan of segments by any set of rules: native expressions, no shuffle, no Python worker.
+"""One scan of segments by any set of rules: native expressions, one pass, no shuffle, no Python worker.
 
-Every pattern marks its hits in a copy of the text (one regular expression pass each); only copies
-that got a mark are exploded, and positions come from the lengths between marks.
+All rules of a run make one array of findings per segment, which is exploded once; the text itself
+stays behind. A pattern is tried only where one of the literals that it cannot do without stands in the
+text in lower case, and its hits are marked in a copy of the text only where it matches; positions,
+lines and excerpts come from the pieces between marks, in time linear in the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .catalogue import KINDS, NEAR_CODE, PROSE, Rule, filled, rules
+from ..functions.vocabulary import words
+from .catalogue import KINDS, NEAR_CODE, PROSE, Rule, filled, needles, rules
 
-HIT = "rule_id", "start", "stop", "hit", "message", "suggestion", "excerpt"
 FOLD_RULES = ("C-1", "C-2", "V-1", "V-6")
 ALL_RULES = tuple(dict.fromkeys([r.rule_id for r in rules().values()] + list(FOLD_RULES)))
 SEGMENT = "seg_id string, path string, line int, kind string, text string, line_offsets array<int>, register string, follows_code string"
+FOUND = "array<struct<key:string,start:int,hit:string,n:int,note:string,over_fail:boolean,breaks:int,excerpt:string>>"
+SHOWN = 400  # longest text that a report shows whole
 _CODE_LINE = r"(?U)&\w+;|&#\d+;|[){\]]\s*;|;\s*\z|^\s*;|:\s*\w+\s*;"
 _STANDARD = r"(?iU)\b(?:IEEE|ISO|PEP|RFC)[- ]?\d+\b|/licenses?/"
 _DATED = r"(?iU)\bv?\d+\.\d+|\bversion \d|\b(?:19|20)\d{2}\b"
+_FOLDS = ("\u017f", "\u0130", "\u0131")  # characters that match s or i though their lower case is another
+Limits = Callable[[Column], Column]
 
 
 def _marked(rule: Rule, text: Column) -> list[Column]:
+    """Of each pattern, the text with its hits between OPEN and CLOSE; null where there is none."""
     out = []
     for p in rule.patterns:
         to = {0: f"{tx.OPEN}$0{tx.CLOSE}", 2: f"$1{tx.OPEN}$2{tx.CLOSE}", 3: f"$1{tx.OPEN}$2{tx.CLOSE}$3"}[p.groups]
-        flags = "(?iU)" if p.fold else "(?U)"
-        out.append(F.regexp_replace(text, flags + p.regex, to))
+        regex = ("(?iU)" if p.fold else "(?U)") + p.regex
+        out.append(F.when(text.rlike(regex), F.regexp_replace(text, regex, to)))
     return out
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def hits(marked: Column) -> Column:
     """Array of (start, hit) of a text whose hits stand between OPEN and CLOSE."""
 
     def build(parts: Column, starts: Column) -> Column:
-        made = F.transform(parts, lambda p, i: F.struct(F.get(starts, i).alias("start"), F.substring_index(p, tx.CLOSE, 1).alias("hit")))
-        return F.slice(made, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        one = lambda i: F.struct(F.get(starts, i).alias("start"), F.substring_index(F.get(parts, i), tx.CLOSE, 1).alias("hit"))
+        return F.transform(F.slice(F.sequence(F.lit(0), F.size(parts) - 1), 2, F.size(parts)), one)
 
     lengths = lambda parts: F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
     return tx.bind(F.split(marked, tx.OPEN), lambda parts: tx.bind(tx.running(lengths(parts)), lambda starts: build(parts, starts)))
 
 
-def pattern_hits(segments: DataFrame, wanted: Iterable[str] | None = None) -> DataFrame:
-    """Rows (segment columns, key, start, hit, n): hits of pattern rules after their exemptions."""
-    chosen = {k: r for k, r in rules().items() if wanted is None or r.rule_id in set(wanted)}
-    if not chosen:
-        return segments.select("*", F.lit("").alias("key"), F.lit(0).alias("start"), F.lit("").alias("hit"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("fill")).where("false")
+def _placed(rows: DataFrame) -> DataFrame:
+    """``_h`` of rows with ``_m``, a text with marked hits: array of (start, hit, breaks, around): where
+    each begins, line breaks before it, and the text about it. A step each, so that nothing is worked
+    out twice."""
+    width = 45
+    rows = rows.withColumn("_parts", F.split("_m", tx.OPEN)).withColumn("_plain", F.transform("_parts", lambda p: F.replace(p, F.lit(tx.CLOSE), F.lit(""))))
+    rows = rows.withColumn("_starts", tx.running(F.transform("_plain", F.length))).withColumn("_breaks", tx.running(F.transform("_plain", _breaks)))
+    rows = rows.withColumn("_tails", F.transform("_plain", lambda p: F.right(p, F.lit(width)))).withColumn("_heads", F.transform("_plain", lambda p: F.left(p, F.lit(width))))
+
+    def one(i: Column) -> Column:
+        hit = F.substring_index(F.get("_parts", i), tx.CLOSE, 1)
+        rest = F.substr(F.get("_plain", i), F.length(hit) + 1, F.lit(width))
+        lo = F.greatest(i - width, F.lit(0))
+        before = F.right(F.array_join(F.slice("_tails", lo + 1, i - lo), ""), F.lit(width))
+        after = F.left(F.concat(rest, F.array_join(F.slice("_heads", i + 2, width), "")), F.lit(width))
+        return F.struct(F.get("_starts", i).alias("start"), hit.alias("hit"), F.get("_breaks", i).alias("breaks"), F.concat(before, hit, after).alias("around"))
+
+    rows = rows.withColumn("_h", F.transform(F.slice(F.sequence(F.lit(0), F.size("_parts") - 1), 2, F.size("_parts")), one))
+    return rows.drop("_parts", "_starts", "_breaks", "_tails", "_heads")
+
+
+def _entry(key: Column | str, start: Column, hit: Column, excerpt: Column, breaks: Column | None = None, n: Column | None = None, note: Column | None = None, over: Column | None = None) -> Column:
+    return F.struct(
+        (F.lit(key) if isinstance(key, str) else key).alias("key"), start.cast("int").alias("start"), hit.alias("hit"), (F.lit(0) if n is None else n).cast("int").alias("n"),
+        (F.lit(None) if note is None else note).cast("string").alias("note"), (F.lit(False) if over is None else over).alias("over_fail"), (F.lit(0) if breaks is None else breaks).cast("int").alias("breaks"), tx.shorten(excerpt).alias("excerpt"),
+    )
+
+
+def _semicolons(text: Column) -> Column:
+    """8.1, by lines: a line with a sign of code has no finding."""
+
+    def of_line(line: Column, start: Column, k: Column) -> Column:
+        parts = F.split(line, ";")
+        at = lambda lengths: F.transform(F.sequence(F.lit(1), F.size(lengths) - 2), lambda i: _entry("8.1", start + F.get(lengths, i) + i - 1, F.lit(";"), line, k))
+        return tx.bind(tx.running(F.transform(parts, F.length)), at)
+
+    def of_text(lines: Column, starts: Column) -> Column:
+        made = F.transform(lines, lambda x, k: F.when(x.contains(";") & ~x.rlike(_CODE_LINE), of_line(x, F.get(starts, k), k)))
+        return F.flatten(F.filter(made, lambda a: a.isNotNull()))
+
+    return tx.bind(F.split(text, "\n"), lambda lines: tx.bind(tx.running(F.transform(lines, lambda x: F.length(x) + 1)), lambda starts: of_text(lines, starts)))
+
+
+def _tried(wanted: set[str]) -> list[Column]:
+    """Structs (key, m) of the wanted rules in a row with text and kind: m is the text with its hits
+    marked, or for rules without a pattern the text; null where the rule has nothing to find."""
     text, kind = F.col("text"), F.col("kind")
-    entries = []
-    for key, rule in chosen.items():
-        for m in _marked(rule, text):
-            m = m if rule.kinds is None else F.when(kind.isin(*rule.kinds), m)
-            entries.append(F.struct(F.lit(key).alias("key"), m.alias("marked")))
-    found = F.filter(F.array(*entries), lambda e: F.coalesce(F.instr(e["marked"], tx.OPEN) > 0, F.lit(False)))
-    rows = segments.select("*", F.explode(found).alias("_e"))
-    rows = rows.select(*segments.columns, F.col("_e.key").alias("key"), hits(F.col("_e.marked")).alias("_h"))
-    first_only = tx.bind(F.transform("_h", lambda x: F.lower(x["hit"])), lambda names: F.filter("_h", lambda h, i: F.array_position(names, F.lower(h["hit"])) == i + 1))
-    rows = rows.withColumn("_n", F.size("_h")).withColumn("_h", F.when(F.col("key") == "1.1", first_only).when(F.col("key") == "A-8", F.when(F.col("_n") >= 3, F.slice("_h", 1, 1))).otherwise(F.col("_h")))
-    rows = rows.select(*segments.columns, "key", F.explode("_h").alias("_x"), F.col("_n").alias("n"))
-    rows = rows.select(*segments.columns, "key", F.col("_x.start").alias("start"), F.col("_x.hit").alias("hit"), "n")
-    keep = F.lit(True)
-    for key, rule in chosen.items():
-        if rule.exempt:
-            word = F.lower(F.regexp_extract("hit", f"(?U){rule.word}", 1))
-            keep = keep & ~((F.col("key") == key) & word.isin(*rule.exempt))
-    keep = keep & ~((F.col("key") == "S-3") & F.col("hit").rlike(_STANDARD)) & ~((F.col("key") == "S-4#1") & text.rlike(_DATED))
-    before, after = F.substr(text, F.lit(1), F.col("start")), F.substr(text, F.col("start") + 1, F.length("text"))
-    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1))
-    keep = keep & ~((F.col("key") == "8.1") & line.rlike(_CODE_LINE))
-    rows = rows.where(keep)
-    fills = [(k, t, v) for k, r in chosen.items() for t, v in filled(r).items()]
-    if fills:  # a few hundred words at most, fixed with the package
-        table = segments.sparkSession.createDataFrame(fills, "key string, _term string, fill string")
-        rows = rows.withColumn("_t", F.lower("hit")).join(F.broadcast(table), (rows["key"] == table["key"]) & (F.col("_t") == F.col("_term")), "left").select(*segments.columns, rows["key"], "start", "hit", "n", "fill")
-    else:
-        rows = rows.withColumn("fill", F.lit(None).cast("string"))
-    return rows
+    made = []
+    for key, rule in rules().items():
+        if rule.rule_id not in wanted:
+            continue
+        if key == "8.1":
+            made.append(F.struct(F.lit(key).alias("key"), F.when(text.contains(";"), text).alias("m")))
+            continue
+        for m, need in zip(_marked(rule, text), needles(key), strict=True):
+            if need:
+                m = F.when(reduce(lambda a, n: a | F.contains("_low", F.lit(n)), need, F.col("_folds")), m)
+            if key == "S-4#1":
+                m = F.when(~text.rlike(_DATED), m)
+            made.append(F.struct(F.lit(key).alias("key"), (m if rule.kinds is None else F.when(kind.isin(*rule.kinds), m)).alias("m")))
+    near = kind.isin(*NEAR_CODE)
+    own = {"C-1": F.lit(True), "C-2": kind.isin(*PROSE), "V-1": near & (F.coalesce("follows_code", F.lit("")) != "")}
+    made += [F.struct(F.lit(k).alias("key"), F.when(v, text).alias("m")) for k, v in own.items() if k in wanted]
+    if "V-6" in wanted:
+        made += [F.struct(F.lit(f"V-6#{k}").alias("key"), F.when(near & text.rlike(p), F.regexp_replace(text, p, f"{tx.OPEN}$1$2{tx.CLOSE}")).alias("m")) for k, (p, *_) in enumerate(_PARAMS)]
+    return made
+
+
+def _first_each() -> Column:
+    """Of hits ``_h`` the first of each word."""
+    names = F.transform("_h", lambda h: F.lower(h["hit"]))
+    return tx.bind(names, lambda ns: F.transform(F.array_distinct(ns), lambda x: F.element_at("_h", F.array_position(ns, x).cast("int"))))
 
 
 def _simple_present(word: Column) -> Column:
@@ -86,125 +135,145 @@ def _simple_present(word: Column) -> Column:
     return F.when(double, F.substr(stem, F.lit(1), F.length(stem) - 1)).when(stem.rlike("(?:ag|id|ol|ur|iv|us|iz|ut|at)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
 
 
-def pattern_findings(segments: DataFrame, wanted: Iterable[str] | None = None) -> DataFrame:
-    rows = pattern_hits(segments, wanted)
-    chosen = {k: r for k, r in rules().items() if wanted is None or r.rule_id in set(wanted)}
-    quoted = tx.flat(F.col("hit"))
-    message, suggestion, rule_id = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for key, r in chosen.items():
-        at = F.col("key") == key
-        shown = F.lower(quoted) if r.lower else quoted
-        left, _, right = r.message.partition("{}")
-        said = F.concat(F.lit(left), shown, F.lit(right)) if "{}" in r.message else F.lit(r.message)
-        if key == "C-4":
-            said = F.concat(F.lit('"'), F.regexp_replace("hit", r"[ \t]+-?[ \t]*", " "), F.lit('" is a multi-word noun of '), F.size(F.split("hit", r"[ \t]+-?[ \t]*")).cast("string"), F.lit(" words. The limit is 3."))
-        elif key == "A-8":
-            said = F.concat(F.lit("This comment narrates "), F.col("n").cast("string"), F.lit(" numbered steps."))
-        message = F.when(at, said).otherwise(message)
-        rule_id = F.when(at, r.rule_id).otherwise(rule_id)
-        if key == "3.2":
-            fill = F.concat(F.lit('Use the simple present: "'), _simple_present(F.lower(F.regexp_extract("hit", r"(?U)(\w+)$", 1))), F.lit('".'))
-        elif key == "GR-8":
-            fill = F.concat(F.lit('Write "of the '), F.lower(F.regexp_extract("hit", "^([A-Za-z]+)", 1)), F.lit('".'))
-        elif key == "V-5":
-            fill = F.when(F.col("fill") == "", F.lit("Delete it.")).otherwise(F.concat(F.lit('Write "'), F.col("fill"), F.lit('".')))
-        elif key == "1.14":
-            cased = F.when((F.col("hit") == F.upper("hit")), F.upper("fill")).when(F.col("hit").rlike("^[A-Z]"), F.concat(F.upper(F.substring("fill", 1, 1)), F.substring("fill", 2, 99))).otherwise(F.col("fill"))
-            fill = F.concat(F.lit('Write "'), cased, F.lit('".'))
-        elif key == "1.14#1":
-            fill = F.concat(F.lit('Write "'), F.regexp_replace(F.regexp_replace("hit", "(?i)is(ations?|e|ed|es|ing)$", "iz$1"), "(?i)ys(e|ed|ing)$", "yz$1"), F.lit('".'))
-        elif r.suggestion and "{}" in r.suggestion:
-            a, _, b = r.suggestion.partition("{}")
-            fill = F.concat(F.lit(a), F.col("fill"), F.lit(b))
-        else:
-            fill = F.lit(r.suggestion).cast("string")
-        suggestion = F.when(at, fill).otherwise(suggestion)
-    stop = F.col("start") + F.length("hit")
-    text = F.col("text")
-    before, after = F.substr(text, F.lit(1), F.col("start")), F.substr(text, F.col("start") + 1, F.length("text"))
-    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1))
-    excerpt = F.when(F.col("key") == "8.1", line).when(F.col("key").isin("A-8", "S-3"), text).when(F.col("key") == "C-4", F.col("hit")).otherwise(tx.around(text, F.col("start"), stop))
-    return rows.select(*segments.columns, rule_id.alias("rule_id"), "start", stop.alias("stop"), "hit", message.alias("message"), suggestion.alias("suggestion"), tx.shorten(excerpt).alias("excerpt"))
-
-
 def sentence_rows(segments: DataFrame) -> DataFrame:
     return segments.select("*", F.explode(tx.sentences(F.col("text"), F.col("register"))).alias("s"))
 
 
-def long_sentences(segments: DataFrame, limits: Column | None = None) -> DataFrame:
-    """C-1. ``limits``: struct (warn, fail) by row; default the specification's single limits."""
-    single = F.when(F.col("s.register") == "procedural", 20).otherwise(25)
-    limits = F.struct(single.alias("warn"), single.alias("fail")) if limits is None else limits
-    rows = sentence_rows(segments).withColumn("_l", limits).where(F.col("s.n_words") > F.col("_l.warn"))
-    over = F.col("s.n_words") > F.col("_l.fail")
-    limit = F.when(over, F.col("_l.fail")).otherwise(F.col("_l.warn"))
-    what = F.when(F.col("s.register") == "procedural", "instruction").otherwise("sentence")
-    return rows.select(
-        *segments.columns, F.lit("C-1").alias("rule_id"), F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.text")).alias("stop"), F.col("s.text").alias("hit"),
-        F.format_string("This %s has %d words. The limit is %d.", what, F.col("s.n_words"), limit).alias("message"),
-        F.format_string("Split it into %d shorter sentences.", (F.lit(1) + F.floor(F.col("s.n_words") / limit)).cast("int")).alias("suggestion"),
-        tx.shorten(F.col("s.text")).alias("excerpt"), over.alias("over_fail"), F.col("s.n_words").alias("n_words"),
-    )
+def single_limits(register: Column) -> Column:
+    """The specification's limits: struct (warn, fail)."""
+    one = F.when(register == "procedural", 20).otherwise(25)
+    return F.struct(one.alias("warn"), one.alias("fail"))
 
 
-def long_paragraphs(segments: DataFrame) -> DataFrame:
-    """C-2: more than six sentences in a paragraph."""
-    rows = segments.where(F.col("kind").isin(*PROSE)).select("*", F.explode(tx.paragraphs(F.col("text"))).alias("p")).withColumn("_n", tx.n_sentences(F.col("p.text"))).where("_n > 6")
-    return rows.select(
-        *segments.columns, F.lit("C-2").alias("rule_id"), F.col("p.start").alias("start"), (F.col("p.start") + F.length("p.text")).alias("stop"), F.col("p.text").alias("hit"),
-        F.format_string("This paragraph has %d sentences. The limit is 6.", "_n").alias("message"), F.lit("Give each topic a paragraph of its own.").alias("suggestion"), tx.shorten(F.col("p.text")).alias("excerpt"),
-    )
+def long_sentences(limits: Limits = single_limits) -> Column:
+    """C-1. ``limits``: struct (warn, fail) of a register, and of the row's other columns. The note is
+    what the sentence is, with the limit that it breaks; ``n`` its words."""
+    long = F.filter(tx.sentences(F.col("_m"), F.col("register"), breaks=True), lambda s: s["n_words"] > limits(s["register"])["warn"])
+
+    def one(s: Column) -> Column:
+        def told(limit: Column) -> Column:
+            over = s["n_words"] > limit["fail"]
+            what = F.when(s["register"] == "procedural", "instruction ").otherwise("sentence ")
+            return _entry("C-1", s["start"], s["text"], s["text"], s["breaks"], s["n_words"], F.concat(what, F.when(over, limit["fail"]).otherwise(limit["warn"]).cast("string")), over)
+
+        return tx.bind(limits(s["register"]), told)
+
+    return F.transform(long, one)
 
 
-def restating(segments: DataFrame) -> DataFrame:
+def long_paragraphs() -> Column:
+    """C-2: more than six sentences in a paragraph; ``n`` tells how many."""
+    text = F.col("_m")
+    counted = F.transform(tx.paragraphs(text), lambda p: F.struct(p["text"].alias("text"), p["start"].alias("start"), tx.n_sentences(p["text"]).alias("n")))
+    return F.transform(F.filter(counted, lambda p: p["n"] > 6), lambda p: _entry("C-2", p["start"], p["text"], p["text"], _breaks(F.substr(text, F.lit(1), p["start"])), p["n"]))
+
+
+def restating() -> Column:
     """V-1: at least 0.8 of two or more content words stand in the code below."""
-    rows = segments.where(F.col("kind").isin(*NEAR_CODE) & (F.coalesce("follows_code", F.lit("")) != ""))
-    rows = rows.withColumn("_w", tx.content_words(F.col("text"))).withColumn("_c", tx.content_words(F.col("follows_code")))
-    rows = rows.where((F.size("_w") >= 2) & (F.size("_c") > 0) & (F.size(F.array_intersect("_w", "_c")) / F.size("_w") >= 0.8))
-    return rows.select(
-        *segments.columns, F.lit("V-1").alias("rule_id"), F.lit(0).alias("start"), F.length("text").alias("stop"), F.col("text").alias("hit"),
-        F.lit("This comment repeats the code below it.").alias("message"), F.lit("Delete it, or say why the code is as it is.").alias("suggestion"), tx.shorten(F.col("text")).alias("excerpt"),
-    )
+    text = F.col("_m")
+
+    def told(words: Column, code: Column) -> Column:
+        return F.when((F.size(words) >= 2) & (F.size(code) > 0) & (F.size(F.array_intersect(words, code)) / F.size(words) >= 0.8), F.array(_entry("V-1", F.lit(0), text, text)))
+
+    return tx.bind(tx.content_words(text), lambda w: tx.bind(tx.content_words(F.col("follows_code")), lambda c: told(w, c)))
 
 
-def empty_params(segments: DataFrame) -> DataFrame:
-    """V-6: a parameter's description says no more than its name and type."""
-    from ..functions.vocabulary import words
-
-    styles = [  # whole line, name, type, description
-        (r"(?mU)^(\s*)(:param\s+(\w+)\s*:\s*(\S[^\n]*?|[^\n]))$", 3, None, 4),
-        (r"(?mU)^(\s*)(@param\s+(?:\{([^}]*)\}\s+)?([\w.\[\]]+)\s*(?:-\s*)?([^\n]+?))$", 4, 3, 5),
-        (r"(?mU)^(\s*)((\w+)\s*\(([^)]*)\)\s*:\s*([^\n]+?))$", 3, 4, 5),
-    ]
-    entries = [F.struct(F.lit(k).alias("style"), F.regexp_replace("text", p, f"{tx.OPEN}$1$2{tx.CLOSE}").alias("marked")) for k, (p, *_) in enumerate(styles)]
-    rows = segments.where(F.col("kind").isin(*NEAR_CODE)).select("*", F.explode(F.filter(F.array(*entries), lambda e: F.instr(e["marked"], tx.OPEN) > 0)).alias("_e"))
-    rows = rows.select(*segments.columns, F.col("_e.style").alias("_s"), F.explode(hits(F.col("_e.marked"))).alias("_h"))
-    pick = lambda part: F.coalesce(*[F.when(F.col("_s") == k, F.regexp_extract("_h.hit", s[0], s[part]) if s[part] else F.lit("")) for k, s in enumerate(styles)])
-    rows = rows.withColumn("_name", pick(1)).withColumn("_type", pick(2)).withColumn("_desc", pick(3))
-    said = F.filter(F.array_distinct(F.split(F.lower("_desc"), "[^a-z]+")), lambda w: (w != "") & ~w.isin(words("param_filler")))
+_PARAMS = [  # whole line, name, type, description
+    (r"(?mU)^(\s*)(:param\s+(\w+)\s*:\s*(\S[^\n]*?|[^\n]))$", 3, None, 4),
+    (r"(?mU)^(\s*)(@param\s+(?:\{([^}]*)\}\s+)?([\w.\[\]]+)\s*(?:-\s*)?([^\n]+?))$", 4, 3, 5),
+    (r"(?mU)^(\s*)((\w+)\s*\(([^)]*)\)\s*:\s*([^\n]+?))$", 3, 4, 5),
+]
+
+
+def empty_params(style: tuple) -> Column:
+    """V-6, of the hits ``_h`` of a style: a parameter's description says no more than its name and
+    type; the note is the name."""
     cut = r"(?U)[_\-\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-    known = F.transform(F.filter(F.concat(F.split("_name", cut), F.split("_type", cut)), lambda w: w.rlike(r"^\p{L}+$")), F.lower)
-    rows = rows.where((F.col("_name") != "") & (F.col("_desc") != "") & (F.size(F.array_except(said, known)) == 0))
-    return rows.select(
-        *segments.columns, F.lit("V-6").alias("rule_id"), F.col("_h.start").alias("start"), (F.col("_h.start") + F.length("_h.hit")).alias("stop"), F.col("_h.hit").alias("hit"),
-        F.format_string('The description of "%s" repeats its name.', "_name").alias("message"), F.lit("Give unit, range or default, or drop the line.").alias("suggestion"), tx.shorten(F.col("_h.hit")).alias("excerpt"),
+
+    def told(h: Column) -> Column:
+        part = lambda k: F.regexp_extract(h["hit"], style[0], style[k]) if style[k] else F.lit("")
+        said = F.filter(F.array_distinct(F.split(F.lower(part(3)), "[^a-z]+")), lambda w: (w != "") & ~w.isin(words("param_filler")))
+        known = F.transform(F.filter(F.concat(F.split(part(1), cut), F.split(part(2), cut)), lambda w: w.rlike(r"^\p{L}+$")), F.lower)
+        empty = (part(1) != "") & (part(3) != "") & (F.size(F.array_except(said, known)) == 0)
+        return F.when(empty, _entry("V-6", h["start"], h["hit"], h["hit"], h["breaks"], note=part(1)))
+
+    return F.filter(F.transform("_h", told), lambda e: e.isNotNull())
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Rule, message and suggestion of exploded entries ``_f``, from one small table of the keys."""
+    spark = rows.sparkSession
+    table = []
+    for key, r in rules().items():
+        left, mark, right = r.message.partition("{}")
+        a, fill, b = (r.suggestion or "").partition("{}")
+        own = key in ("3.2", "GR-8", "1.14#1", "V-5", "1.14")
+        table.append((key, r.rule_id, left, right, bool(mark), r.lower, None if r.suggestion is None and not own else a, b, bool(fill) or own))
+    for key in FOLD_RULES:
+        table.append((key, key, "", "", False, False, "", "", False))
+    known = spark.createDataFrame(table, "key string, rule_id string, _left string, _right string, _hit boolean, _lower boolean, _a string, _b string, _fill boolean")
+    fills = spark.createDataFrame([(k, t, v) for k, r in rules().items() for t, v in filled(r).items()], "key string, _term string, fill string")
+    # a row per key and a few hundred words, fixed with the package
+    rows = rows.select("*", "_f.*").drop("_f").withColumn("_term", F.lower("hit")).join(F.broadcast(known), "key").join(F.broadcast(fills), ["key", "_term"], "left")
+    key, hit, fill = F.col("key"), F.col("hit"), F.col("fill")
+    quoted = tx.flat(hit)
+    one = F.split("note", " ")
+    message = (
+        F.when(key == "C-1", F.format_string("This %s has %d words. The limit is %s.", F.get(one, F.lit(0)), "n", F.get(one, F.lit(1))))
+        .when(key == "C-2", F.format_string("This paragraph has %d sentences. The limit is 6.", "n"))
+        .when(key == "V-1", "This comment repeats the code below it.")
+        .when(key == "V-6", F.format_string('The description of "%s" repeats its name.', "note"))
+        .when(key == "C-4", F.concat(F.lit('"'), F.regexp_replace("hit", r"[ \t]+-?[ \t]*", " "), F.lit('" is a multi-word noun of '), F.size(F.split("hit", r"[ \t]+-?[ \t]*")).cast("string"), F.lit(" words. The limit is 3.")))
+        .when(key == "A-8", F.format_string("This comment narrates %d numbered steps.", "n"))
+        .otherwise(F.concat("_left", F.when(F.col("_hit"), F.when(F.col("_lower"), F.lower(quoted)).otherwise(quoted)).otherwise(""), "_right"))
+    )
+    cased = F.when((hit == F.upper("hit")), F.upper("fill")).when(hit.rlike("^[A-Z]"), F.concat(F.upper(F.substring("fill", 1, 1)), F.substring("fill", 2, 99))).otherwise(fill)
+    write = lambda c: F.concat(F.lit('Write "'), c, F.lit('".'))
+    suggestion = (
+        F.when(key == "C-1", F.format_string("Split it into %d shorter sentences.", (F.lit(1) + F.floor(F.col("n") / F.get(one, F.lit(1)).try_cast("int"))).cast("int")))
+        .when(key == "C-2", "Give each topic a paragraph of its own.").when(key == "V-1", "Delete it, or say why the code is as it is.").when(key == "V-6", "Give unit, range or default, or drop the line.")
+        .when(key == "3.2", F.concat(F.lit('Use the simple present: "'), _simple_present(F.lower(F.regexp_extract("hit", r"(?U)(\w+)$", 1))), F.lit('".')))
+        .when(key == "GR-8", F.concat(F.lit('Write "of the '), F.lower(F.regexp_extract("hit", "^([A-Za-z]+)", 1)), F.lit('".')))
+        .when(key == "V-5", F.when(fill == "", F.lit("Delete it.")).otherwise(write(fill)))
+        .when(key == "1.14", write(cased))
+        .when(key == "1.14#1", write(F.regexp_replace(F.regexp_replace("hit", "(?i)is(ations?|e|ed|es|ing)$", "iz$1"), "(?i)ys(e|ed|ing)$", "yz$1")))
+        .when(F.col("_fill"), F.concat("_a", fill, "_b")).otherwise(F.col("_a"))
     )
+    return rows.withColumn("message", message).withColumn("suggestion", suggestion)
 
 
-def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: Column | None = None) -> DataFrame:
-    """Findings of the wanted rules (all by default): segment columns, then HIT and ``over_fail``."""
+def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: Limits = single_limits) -> DataFrame:
+    """Findings of the wanted rules (all by default): the segment's columns but for its text, line
+    numbers and code, then rule_id, start, stop, hit, message, suggestion, excerpt, over_fail, n, note,
+    line and ``shown`` (the whole text where it is short, else null)."""
     wanted = set(ALL_RULES if wanted is None else wanted)
     segments = segments.withColumn("text", tx.clean(F.col("text"))).where(F.col("text").isNotNull() & F.col("kind").isin(*KINDS))
-    cols = [*segments.columns, "rule_id", "start", "stop", "hit", "message", "suggestion", "excerpt", "over_fail"]
-    parts = []
-    if wanted - set(FOLD_RULES):
-        parts.append(pattern_findings(segments, wanted - set(FOLD_RULES)).withColumn("over_fail", F.lit(False)))
-    if "C-1" in wanted:
-        parts.append(long_sentences(segments, limits))
-    for rule_id, make in (("C-2", long_paragraphs), ("V-1", restating), ("V-6", empty_params)):
-        if rule_id in wanted:
-            parts.append(make(segments).withColumn("over_fail", F.lit(False)))
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out.withColumn("line", tx.line_of(F.col("text"), F.col("start"), F.col("line"), F.col("line_offsets")))
+    text = F.col("text")
+    kept = [c for c in segments.columns if c not in ("text", "line_offsets", "follows_code")]
+    folds = reduce(lambda a, c: a | text.contains(c), _FOLDS, F.lit(False))
+    rows = segments.withColumn("_low", F.lower(text)).withColumn("_folds", folds)
+    tried = F.explode(F.filter(F.array(*_tried(wanted)), lambda e: e["m"].isNotNull()))
+    # from here on the marked copy stands for the text
+    rows = rows.select(*kept, "line_offsets", "follows_code", F.when(F.length(text) <= SHOWN, text).alias("shown"), tried.alias("_e"))
+    rows = _placed(rows.select(*kept, "line_offsets", "follows_code", "shown", F.col("_e.key").alias("_key"), F.col("_e.m").alias("_m")))
+    key, whole = F.col("_key"), F.array_join("_plain", "")
+    found = F.when(key == "1.1", _first_each()).when(key == "A-8", F.slice("_h", 1, F.when(F.size("_h") >= 3, 1).otherwise(0))).otherwise(F.col("_h"))
+    excerpt = lambda h: F.when(key.isin("A-8", "S-3"), whole).when(key == "C-4", h["hit"]).otherwise(h["around"])
+    entries = F.transform(found, lambda h: _entry(key, h["start"], h["hit"], excerpt(h), h["breaks"], F.size("_h"))).cast(FOUND)
+    special = {"8.1": lambda: _semicolons(F.col("_m")), "C-1": lambda: long_sentences(limits), "C-2": long_paragraphs, "V-1": restating, **{f"V-6#{k}": (lambda s=s: empty_params(s)) for k, s in enumerate(_PARAMS)}}
+    for name, make in special.items():
+        if name.partition("#")[0] in wanted:
+            entries = F.when(key == name, make().cast(FOUND)).otherwise(entries)
+    rows = rows.select(*kept, "line_offsets", "shown", F.explode(entries).alias("_f"))
+    keep = F.lit(True)
+    for key, rule in rules().items():
+        if rule.exempt and rule.rule_id in wanted:
+            word = F.lower(F.regexp_extract("_f.hit", f"(?U){rule.word}", 1))
+            keep = keep & ~((F.col("_f.key") == key) & word.isin(*rule.exempt))
+    if "S-3" in wanted:
+        keep = keep & ~((F.col("_f.key") == "S-3") & F.col("_f.hit").rlike(_STANDARD))
+    rows = _told(rows.where(keep))
+    listed = F.element_at("line_offsets", F.least(F.col("breaks"), F.size("line_offsets") - 1) + 1)
+    line = F.when(F.coalesce(F.size("line_offsets"), F.lit(0)) > 0, listed).otherwise(F.col("line") + F.col("breaks"))
+    rows = rows.withColumn("line", line).withColumn("stop", F.col("start") + F.length("hit"))
+    return rows.select(*kept, "rule_id", "start", "stop", "hit", "message", "suggestion", "excerpt", "over_fail", "n", "note", "shown")

@@ -12,7 +12,7 @@ from . import profiles
 from .profiles import Config
 
 MARKER = r"(?iU)quillspark:\s*ignore([\s\w.,GR-]*)"
-COLUMNS = ["rule_id", "severity", "path", "line", "kind", "message", "excerpt", "suggestion", "segment_text", "seg_id", "start"]
+COLUMNS = ["rule_id", "severity", "path", "line", "kind", "message", "excerpt", "suggestion", "shown", "seg_id", "start"]
 
 
 @dataclass
@@ -55,7 +55,7 @@ def lint(segments: DataFrame, config: Config | None = None) -> Report:
     rules = profiles.resolved_rules(spark, config)
     rows = rows.join(F.broadcast(rules), ["profile", "rule_id"])  # 104 rules by 8 profiles at most
     hushed = F.coalesce(F.array_contains("_ignored", F.col("rule_id")), F.lit(False))
-    named = rows.withColumn("severity", severity(config)).withColumn("segment_text", F.col("text"))
+    named = rows.withColumn("severity", severity(config))
     return Report(named.where(~hushed).select(*COLUMNS), scoped, scoped.where(bare).select("seg_id"), named.where(hushed).select("seg_id", "rule_id"))
 
 
@@ -95,10 +95,10 @@ def examples(findings: DataFrame, limit: int = 12, per_rule: int = 3) -> list:
     rule; no text twice. At most ``limit + per_rule`` ranked rows a rule reach the driver."""
     from pyspark.sql import Window
 
-    whole = F.trim(F.col("segment_text"))
-    shown = F.when((F.length(whole) > 0) & (F.length(whole) <= 400), whole).otherwise(F.trim("excerpt"))
+    whole = F.trim(F.col("shown"))
+    shown = F.when(F.length(whole) > 0, whole).otherwise(F.trim("excerpt"))
     rank = F.struct(F.when(family(F.col("rule_id")) == "tell", 0).when(family(F.col("rule_id")) == "value", 1).otherwise(2).alias("f"), (F.col("severity") != "hard").alias("s"), F.col("path"), F.col("line"), F.col("start"), F.col("message"))
-    one = findings.withColumn("shown", shown).withColumn("rank", rank).groupBy("rule_id", "shown").agg(F.min(F.struct("rank", *COLUMNS)).alias("r")).select("shown", "r.*")
+    one = findings.withColumn("shown", shown).withColumn("rank", rank).groupBy("rule_id", "shown").agg(F.min(F.struct("rank", *COLUMNS)).alias("r")).select(F.col("shown").alias("_s"), "r.*").withColumn("shown", F.col("_s")).drop("_s")
     top = one.withColumn("_k", F.row_number().over(Window.partitionBy("rule_id").orderBy("rank"))).where(F.col("_k") <= limit + per_rule)
     picked, per, texts = [], {}, set()
     for r in sorted(top.collect(), key=lambda r: tuple(r["rank"])):

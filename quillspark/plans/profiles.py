@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from fnmatch import translate as glob_regex
 from pathlib import Path
@@ -200,17 +201,20 @@ def resolved_rules(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame(rows, "profile string, rule_id string, hard boolean, override string")
 
 
-def limits(config: Config) -> Column:
-    """Struct (warn, fail) of a sentence row with ``profile``, ``kind`` and ``s.register``."""
+def limits(config: Config) -> Callable[[Column], Column]:
+    """Of a register, in a row with ``profile`` and ``kind``, the struct (warn, fail)."""
     tier = F.when(F.col("kind").isin(*ROOMY_KINDS), "prose").otherwise("code")
-    single = F.when(F.col("s.register") == "procedural", config.max_procedural_words or 20).otherwise(config.max_descriptive_words or 25)
-    warn = fail = single
-    for name in used_profiles(config):
-        own = PROFILES[name].tiers
-        if own is None:
-            continue
-        merged = own | config.sentence_tiers
-        for t, (w, f) in merged.items():
-            at = (F.col("profile") == name) & (tier == t)
-            warn, fail = F.when(at, w).otherwise(warn), F.when(at, f).otherwise(fail)
-    return F.struct(warn.cast("int").alias("warn"), fail.cast("int").alias("fail"))
+    merged = [(name, t, w, f) for name in used_profiles(config) if PROFILES[name].tiers is not None for t, (w, f) in (PROFILES[name].tiers | config.sentence_tiers).items()]
+
+    def of(register: Column) -> Column:
+        warn = fail = F.when(register == "procedural", config.max_procedural_words or 20).otherwise(config.max_descriptive_words or 25)
+        for pair in sorted({(w, f) for _, _, w, f in merged}):
+            at = F.lit(False)
+            for t in BASE_TIERS:
+                names = [n for n, own, w, f in merged if own == t and (w, f) == pair]
+                if names:
+                    at = at | (F.col("profile").isin(*names) & (tier == t))
+            warn, fail = F.when(at, pair[0]).otherwise(warn), F.when(at, pair[1]).otherwise(fail)
+        return F.struct(warn.cast("int").alias("warn"), fail.cast("int").alias("fail"))
+
+    return of

@@ -54,13 +54,13 @@ def _rule(rule_id: str) -> Query:
 
 
 def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.long_sentences(segments(spark, sf_dir).withColumn("text", tx.clean(F.col("text"))))
-    return found.select("seg_id", F.col("start").cast("long").alias("start"), "n_words", F.when(F.col("message").contains("instruction"), "procedural").otherwise("descriptive").alias("register"))
+    found = scan.findings(segments(spark, sf_dir), ["C-1"])
+    return found.select("seg_id", F.col("start").cast("long").alias("start"), F.col("n").alias("n_words"), F.when(F.col("note").startswith("instruction"), "procedural").otherwise("descriptive").alias("register"))
 
 
 def long_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.long_paragraphs(segments(spark, sf_dir))
-    return found.select("seg_id", F.col("start").cast("long").alias("start"), F.regexp_extract("message", r"has (\d+)", 1).cast("int").alias("n_sentences"))
+    found = scan.findings(segments(spark, sf_dir), ["C-2"])
+    return found.select("seg_id", F.col("start").cast("long").alias("start"), F.col("n").alias("n_sentences"))
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""The rules once more, as DuckDB SQL: the independent side of each comparison.
+"""The rules once more, as DuckDB SQL.
+
+What a rule must report of the fixture rows stands there as literal rows (``fixture.EXPECTED``), so a
+wrong pattern shows. On the documents the SQL runs the patterns in another engine.
 
 Text is masked to ASCII first (letters beyond it become ``_``, a word character as they are, other
 characters ``~``), since RE2 knows ASCII words only. Looking ahead and behind is done on the pieces around a hit.
@@ -10,7 +13,7 @@ import re
 
 from ..functions.vocabulary import either, vocabulary, words
 from ..operators.catalogue import NEAR_CODE, PROSE, Pattern, Rule, rules
-from .fixture import values
+from .fixture import expected, values
 
 SEG = f"""seg AS (
   SELECT 'doc-' || doc_id AS seg_id, 'markdown' AS kind, text, NULL::VARCHAR AS follows_code FROM documents WHERE text IS NOT NULL
@@ -18,6 +21,10 @@ SEG = f"""seg AS (
 masked AS (SELECT *, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{{L}}]', '~', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS m FROM seg)"""
 
 
+DOCS = SEG.replace(f"""
+  UNION ALL SELECT * FROM (VALUES {values()}) AS f(seg_id, kind, text, follows_code)""", "")
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -126,7 +133,8 @@ k AS (SELECT *, [w for w in string_split_regex(lower(said), '[^a-z]+') if w != '
 
 
 def rule_sql(rule_id: str) -> str:
-    """seg_id, start and length of each finding of a rule."""
+    """seg_id, start and length of each finding of a rule: in the documents by its patterns, in the
+    fixture as written down."""
     special = _special(rule_id)
     if special:
         ctes, picks = special
@@ -138,7 +146,9 @@ def rule_sql(rule_id: str) -> str:
                 ctes.append(_hits(f"h{k}", _re2(p), p.groups, column="text" if own else "m", fold=p.fold))
                 picks.append(f"SELECT seg_id, start, length(hit) AS length FROM h{k} WHERE {_kinds(rule)} AND {_exempt(rule)}")
                 k += 1
-    return f"WITH {SEG},\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(picks)
+    told = ", ".join(f"({q(s)}, {a}::BIGINT, {n}::BIGINT)" for s, a, n in expected(rule_id))
+    picks.append(f"SELECT * FROM (VALUES {told}) AS told(seg_id, start, length)")
+    return f"WITH {DOCS},\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(picks)
 
 
 def _pieces(source: str, column: str) -> str:

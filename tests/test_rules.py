@@ -13,8 +13,8 @@ from .conftest import SF
 
 @pytest.fixture(scope="module")
 def fixture_findings(spark):
-    rows = scan.findings(queries.fixture_segments(spark)).select("rule_id", "seg_id", "start", "stop", "hit", "message", "suggestion", "text").collect()
-    return rows
+    texts = queries.fixture_segments(spark)
+    return scan.findings(texts).join(texts.select("seg_id", "text"), "seg_id").select("rule_id", "seg_id", "start", "stop", "hit", "message", "suggestion", "text").collect()
 
 
 def test_catalogue():

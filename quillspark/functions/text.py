@@ -41,6 +41,16 @@ def around(text: Column, start: Column, stop: Column, width: int = 45) -> Column
     return F.substr(text, first + 1, stop + width - first)
 
 
+def among(value: Column, terms: list[str] | tuple[str, ...]) -> Column:
+    """Whether a string is one of fixed terms; as one literal, since a call per term takes its time."""
+    return F.array_contains(F.split(F.lit("\n".join(terms)), "\n"), value)
+
+
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: a lambda would compute it again per element."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -76,7 +86,7 @@ def ste_words(sentence: Column) -> Column:
 
 def unit_pairs(tokens: Column) -> Column:
     """How many tokens are a number whose next token is a unit (the two count as one word)."""
-    unit = lambda t: F.regexp_replace(F.lower(t), r"[.,]+\z", "").isin(words("units"))
+    unit = lambda t: among(F.regexp_replace(F.lower(t), r"[.,]+\z", ""), words("units"))
     number = lambda t: t.rlike(r"^[+-]?\d[\d,]*(\.\d+)?$")
     following = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), following, lambda a, b: number(a) & unit(b))
@@ -93,12 +103,12 @@ def register(sentence: Column, default: Column) -> Column:
 
     def decide(w: Column) -> Column:
         first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
-        later = F.exists(F.slice(w, 2, 3), lambda x: x.isin(words("followers")))
+        later = F.exists(F.slice(w, 2, 3), lambda x: among(x, words("followers")))
         return (
             F.when(F.size(w) == 0, default)
             .when((first == "don't") | ((first == "do") & F.coalesce(second == "not", F.lit(False))), "procedural")
-            .when(~first.isin(words("imperatives")), default)
-            .when(F.coalesce(second.isin(words("command_determiners")), F.lit(False)), "procedural")
+            .when(~among(first, words("imperatives")), default)
+            .when(F.coalesce(among(second, words("command_determiners")), F.lit(False)), "procedural")
             .when(later, default)
             .otherwise("procedural")
         )
@@ -114,8 +124,10 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(masked, r"(?U)([.!?]+[*_`~]*)(?=\s|\z)", "$1" + OPEN), OPEN)
 
 
-def sentences(text: Column, default: Column | None = None, count: bool = True, breaks: bool = False) -> Column:
-    """Sentences with their start, register and counted words, and the line breaks before them if asked."""
+def sentences(text: Column, default: Column | None = None, count: bool = True, breaks: bool = False, over: Column | None = None) -> Column:
+    """Sentences with their start, register and counted words, and the line breaks before them if asked.
+    With ``over``, those sentences alone that can have more counted words: a gap between words makes one
+    more, a bracket or quote up to two."""
     fallback = F.lit("descriptive") if default is None else F.coalesce(default, F.lit("descriptive"))
 
     def lead(p: Column) -> Column:
@@ -127,7 +139,8 @@ def sentences(text: Column, default: Column | None = None, count: bool = True, b
     def place(raw: Column, starts: Column, before: Column | None) -> Column:
         own = lambda p, i: [] if before is None else [(F.get(before, i) + lines(F.substr(p, F.lit(1), lead(p)))).alias("breaks")]
         made = F.transform(raw, lambda p, i: F.struct(F.translate(trim(p), DOT, ".").alias("text"), (F.get(starts, i) + lead(p)).alias("start"), *own(p, i)))
-        return F.filter(made, lambda s: s["text"] != "")
+        most = lambda s: F.regexp_count(s["text"], F.lit(r"(?U)\s+")) + F.regexp_count(s["text"], F.lit("[(\"'`]")) * 2 + 1
+        return F.filter(made, lambda s: s["text"] != "" if over is None else most(s) > over)
 
     def placed(raw: Column) -> Column:
         return bind(running(F.transform(raw, F.length)), lambda starts: bind(running(F.transform(raw, lines)), lambda n: place(raw, starts, n)) if breaks else place(raw, starts, None))
@@ -169,4 +182,4 @@ def content_words(text: Column) -> Column:
     """Distinct words of prose or code that carry meaning."""
     parts = F.split(text, r"(?U)[_\-\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
     lower = F.transform(F.filter(parts, lambda p: p.rlike(r"^\p{L}+$")), F.lower)
-    return F.array_distinct(F.filter(lower, lambda p: (F.length(p) > 2) & ~p.isin(words("weak"))))
+    return F.array_distinct(F.filter(lower, lambda p: (F.length(p) > 2) & ~among(p, words("weak"))))

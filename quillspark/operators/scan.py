@@ -30,13 +30,13 @@ _FOLDS = ("\u017f", "\u0130", "\u0131")  # characters that match s or i though t
 Limits = Callable[[Column], Column]
 
 
-def _marked(rule: Rule, text: Column) -> list[Column]:
-    """Of each pattern, the text with its hits between OPEN and CLOSE; null where there is none."""
+def _marked(rule: Rule) -> list[tuple[str, str]]:
+    """Of each pattern, as SQL, whether a text holds it and the text with its hits marked."""
     out = []
     for p in rule.patterns:
         to = {0: f"{tx.OPEN}$0{tx.CLOSE}", 2: f"$1{tx.OPEN}$2{tx.CLOSE}", 3: f"$1{tx.OPEN}$2{tx.CLOSE}$3"}[p.groups]
-        regex = ("(?iU)" if p.fold else "(?U)") + p.regex
-        out.append(F.when(text.rlike(regex), F.regexp_replace(text, regex, to)))
+        regex = tx.quoted(("(?iU)" if p.fold else "(?U)") + p.regex)
+        out.append((f"text RLIKE {regex}", f"regexp_replace(text, {regex}, {tx.quoted(to)})"))
     return out
 
 
@@ -59,20 +59,14 @@ def _placed(rows: DataFrame) -> DataFrame:
     """``_h`` of rows with ``_m``, a text with marked hits: array of (start, hit, breaks, around): where
     each begins, line breaks before it, and the text about it. A step each, so that nothing is worked
     out twice."""
-    width = 45
-    rows = rows.withColumn("_parts", F.split("_m", tx.OPEN)).withColumn("_plain", F.transform("_parts", lambda p: F.replace(p, F.lit(tx.CLOSE), F.lit(""))))
-    rows = rows.withColumn("_starts", tx.running(F.transform("_plain", F.length))).withColumn("_breaks", tx.running(F.transform("_plain", _breaks)))
-    rows = rows.withColumn("_tails", F.transform("_plain", lambda p: F.right(p, F.lit(width)))).withColumn("_heads", F.transform("_plain", lambda p: F.left(p, F.lit(width))))
-
-    def one(i: Column) -> Column:
-        hit = F.substring_index(F.get("_parts", i), tx.CLOSE, 1)
-        rest = F.substr(F.get("_plain", i), F.length(hit) + 1, F.lit(width))
-        lo = F.greatest(i - width, F.lit(0))
-        before = F.right(F.array_join(F.slice("_tails", lo + 1, i - lo), ""), F.lit(width))
-        after = F.left(F.concat(rest, F.array_join(F.slice("_heads", i + 2, width), "")), F.lit(width))
-        return F.struct(F.get("_starts", i).alias("start"), hit.alias("hit"), F.get("_breaks", i).alias("breaks"), F.concat(before, hit, after).alias("around"))
-
-    rows = rows.withColumn("_h", F.transform(F.slice(F.sequence(F.lit(0), F.size("_parts") - 1), 2, F.size("_parts")), one))
+    rows = rows.withColumn("_parts", F.split("_m", tx.OPEN)).withColumn("_plain", F.expr(f"transform(_parts, p -> replace(p, {tx.quoted(tx.CLOSE)}, ''))"))
+    rows = rows.withColumn("_starts", tx.running(F.expr("transform(_plain, p -> length(p))"))).withColumn("_breaks", tx.running(F.expr(r"transform(_plain, p -> length(p) - length(replace(p, '\n', '')))")))
+    rows = rows.withColumn("_tails", F.expr("transform(_plain, p -> right(p, 45))")).withColumn("_heads", F.expr("transform(_plain, p -> left(p, 45))"))
+    hit = f"substring_index(_parts[i], {tx.quoted(tx.CLOSE)}, 1)"
+    before = "right(array_join(slice(_tails, greatest(i - 45, 0) + 1, least(i, 45)), ''), 45)"
+    after = f"left(concat(substr(_plain[i], length({hit}) + 1, 45), array_join(slice(_heads, i + 2, 45), '')), 45)"
+    one = f"named_struct('start', _starts[i], 'hit', {hit}, 'breaks', _breaks[i], 'around', concat({before}, {hit}, {after}))"
+    rows = rows.withColumn("_h", F.expr(f"transform(slice(sequence(0, size(_parts) - 1), 2, size(_parts)), i -> {one})"))
     return rows.drop("_parts", "_starts", "_breaks", "_tails", "_heads")
 
 
@@ -98,29 +92,35 @@ def _semicolons(text: Column) -> Column:
     return tx.bind(F.split(text, "\n"), lambda lines: tx.bind(tx.running(F.transform(lines, lambda x: F.length(x) + 1)), lambda starts: of_text(lines, starts)))
 
 
-def _tried(wanted: set[str]) -> list[Column]:
-    """Structs (key, m) of the wanted rules in a row with text and kind: m is the text with its hits
-    marked, or for rules without a pattern the text; null where the rule has nothing to find."""
-    text, kind = F.col("text"), F.col("kind")
+def _tried(wanted: set[str]) -> Column:
+    """Array of structs (key, m) of the wanted rules in a row with text and kind: m is the text with its
+    hits marked, or for rules without a pattern the text; rules with nothing to find are left out. One
+    SQL text, as building it node by node takes longer than to run it."""
     made = []
+
+    def add(key: str, tests: list[str], m: str) -> None:
+        made.append(f"named_struct('key', {tx.quoted(key)}, 'm', CASE WHEN {' AND '.join(tests) or 'true'} THEN {m} END)")
+
+    kinds = lambda names: [f"kind IN ({', '.join(map(tx.quoted, names))})"] if names else []
     for key, rule in rules().items():
         if rule.rule_id not in wanted:
             continue
         if key == "8.1":
-            made.append(F.struct(F.lit(key).alias("key"), F.when(text.contains(";"), text).alias("m")))
+            add(key, ["contains(text, ';')"], "text")
             continue
-        for m, need in zip(_marked(rule, text), needles(key), strict=True):
-            if need:
-                m = F.when(reduce(lambda a, n: a | F.contains("_low", F.lit(n)), need, F.col("_folds")), m)
-            if key == "S-4#1":
-                m = F.when(~text.rlike(_DATED), m)
-            made.append(F.struct(F.lit(key).alias("key"), (m if rule.kinds is None else F.when(kind.isin(*rule.kinds), m)).alias("m")))
-    near = kind.isin(*NEAR_CODE)
-    own = {"C-1": F.lit(True), "C-2": kind.isin(*PROSE), "V-1": near & (F.coalesce("follows_code", F.lit("")) != "")}
-    made += [F.struct(F.lit(k).alias("key"), F.when(v, text).alias("m")) for k, v in own.items() if k in wanted]
+        for (test, m), need in zip(_marked(rule), needles(key), strict=True):
+            some = [f"(_folds OR {' OR '.join(f'contains(_low, {tx.quoted(n)})' for n in need)})"] if need else []
+            dated = [f"NOT text RLIKE {tx.quoted(_DATED)}"] if key == "S-4#1" else []
+            add(key, [*kinds(rule.kinds), *some, test, *dated], m)
+    near = kinds(NEAR_CODE)
+    own = {"C-1": [], "C-2": kinds(PROSE), "V-1": [*near, "coalesce(follows_code, '') != ''"]}
+    for key, tests in own.items():
+        if key in wanted:
+            add(key, tests, "text")
     if "V-6" in wanted:
-        made += [F.struct(F.lit(f"V-6#{k}").alias("key"), F.when(near & text.rlike(p), F.regexp_replace(text, p, f"{tx.OPEN}$1$2{tx.CLOSE}")).alias("m")) for k, (p, *_) in enumerate(_PARAMS)]
-    return made
+        for k, (p, *_) in enumerate(_PARAMS):
+            add(f"V-6#{k}", [*near, f"text RLIKE {tx.quoted(p)}"], f"regexp_replace(text, {tx.quoted(p)}, {tx.quoted(f'{tx.OPEN}$1$2{tx.CLOSE}')})")
+    return F.expr(f"filter(array({', '.join(made)}), e -> e.m IS NOT NULL)")
 
 
 def _first_each() -> Column:
@@ -148,7 +148,8 @@ def single_limits(register: Column) -> Column:
 def long_sentences(limits: Limits = single_limits) -> Column:
     """C-1. ``limits``: struct (warn, fail) of a register, and of the row's other columns. The note is
     what the sentence is, with the limit that it breaks; ``n`` its words."""
-    long = F.filter(tx.sentences(F.col("_m"), F.col("register"), breaks=True), lambda s: s["n_words"] > limits(s["register"])["warn"])
+    least = F.least(*(limits(F.lit(r))["warn"] for r in ("procedural", "descriptive")))
+    long = F.filter(tx.sentences(F.col("_m"), F.col("register"), breaks=True, over=least), lambda s: s["n_words"] > limits(s["register"])["warn"])
 
     def one(s: Column) -> Column:
         def told(limit: Column) -> Column:
@@ -192,7 +193,7 @@ def empty_params(style: tuple) -> Column:
 
     def told(h: Column) -> Column:
         part = lambda k: F.regexp_extract(h["hit"], style[0], style[k]) if style[k] else F.lit("")
-        said = F.filter(F.array_distinct(F.split(F.lower(part(3)), "[^a-z]+")), lambda w: (w != "") & ~w.isin(words("param_filler")))
+        said = F.filter(F.array_distinct(F.split(F.lower(part(3)), "[^a-z]+")), lambda w: (w != "") & ~tx.among(w, words("param_filler")))
         known = F.transform(F.filter(F.concat(F.split(part(1), cut), F.split(part(2), cut)), lambda w: w.rlike(r"^\p{L}+$")), F.lower)
         empty = (part(1) != "") & (part(3) != "") & (F.size(F.array_except(said, known)) == 0)
         return F.when(empty, _entry("V-6", h["start"], h["hit"], h["hit"], h["breaks"], note=part(1)))
@@ -215,31 +216,31 @@ def _told(rows: DataFrame) -> DataFrame:
     fills = spark.createDataFrame([(k, t, v) for k, r in rules().items() for t, v in filled(r).items()], "key string, _term string, fill string")
     # a row per key and a few hundred words, fixed with the package
     rows = rows.select("*", "_f.*").drop("_f").withColumn("_term", F.lower("hit")).join(F.broadcast(known), "key").join(F.broadcast(fills), ["key", "_term"], "left")
-    key, hit, fill = F.col("key"), F.col("hit"), F.col("fill")
-    quoted = tx.flat(hit)
-    one = F.split("note", " ")
-    message = (
-        F.when(key == "C-1", F.format_string("This %s has %d words. The limit is %s.", F.get(one, F.lit(0)), "n", F.get(one, F.lit(1))))
-        .when(key == "C-2", F.format_string("This paragraph has %d sentences. The limit is 6.", "n"))
-        .when(key == "V-1", "This comment repeats the code below it.")
-        .when(key == "V-6", F.format_string('The description of "%s" repeats its name.', "note"))
-        .when(key == "C-4", F.concat(F.lit('"'), F.regexp_replace("hit", r"[ \t]+-?[ \t]*", " "), F.lit('" is a multi-word noun of '), F.size(F.split("hit", r"[ \t]+-?[ \t]*")).cast("string"), F.lit(" words. The limit is 3.")))
-        .when(key == "A-8", F.format_string("This comment narrates %d numbered steps.", "n"))
-        .otherwise(F.concat("_left", F.when(F.col("_hit"), F.when(F.col("_lower"), F.lower(quoted)).otherwise(quoted)).otherwise(""), "_right"))
-    )
-    cased = F.when((hit == F.upper("hit")), F.upper("fill")).when(hit.rlike("^[A-Z]"), F.concat(F.upper(F.substring("fill", 1, 1)), F.substring("fill", 2, 99))).otherwise(fill)
-    write = lambda c: F.concat(F.lit('Write "'), c, F.lit('".'))
-    suggestion = (
-        F.when(key == "C-1", F.format_string("Split it into %d shorter sentences.", (F.lit(1) + F.floor(F.col("n") / F.get(one, F.lit(1)).try_cast("int"))).cast("int")))
-        .when(key == "C-2", "Give each topic a paragraph of its own.").when(key == "V-1", "Delete it, or say why the code is as it is.").when(key == "V-6", "Give unit, range or default, or drop the line.")
-        .when(key == "3.2", F.concat(F.lit('Use the simple present: "'), _simple_present(F.lower(F.regexp_extract("hit", r"(?U)(\w+)$", 1))), F.lit('".')))
-        .when(key == "GR-8", F.concat(F.lit('Write "of the '), F.lower(F.regexp_extract("hit", "^([A-Za-z]+)", 1)), F.lit('".')))
-        .when(key == "V-5", F.when(fill == "", F.lit("Delete it.")).otherwise(write(fill)))
-        .when(key == "1.14", write(cased))
-        .when(key == "1.14#1", write(F.regexp_replace(F.regexp_replace("hit", "(?i)is(ations?|e|ed|es|ing)$", "iz$1"), "(?i)ys(e|ed|ing)$", "yz$1")))
-        .when(F.col("_fill"), F.concat("_a", fill, "_b")).otherwise(F.col("_a"))
-    )
-    return rows.withColumn("message", message).withColumn("suggestion", suggestion)
+    quoted, squeeze = "trim(regexp_replace(hit, r'(?U)\\s+', ' '))", "r'[ \\t]+-?[ \\t]*'"
+    write = lambda c: f"concat('Write \"', {c}, '\".')"
+    cased = "CASE WHEN hit = upper(hit) THEN upper(fill) WHEN hit RLIKE '^[A-Z]' THEN concat(upper(substr(fill, 1, 1)), substr(fill, 2)) ELSE fill END"
+    american = "regexp_replace(regexp_replace(hit, r'(?i)is(ations?|e|ed|es|ing)$', 'iz$1'), r'(?i)ys(e|ed|ing)$', 'yz$1')"
+    message = f"""CASE key
+        WHEN 'C-1' THEN format_string('This %s has %d words. The limit is %s.', split(note, ' ')[0], n, split(note, ' ')[1])
+        WHEN 'C-2' THEN format_string('This paragraph has %d sentences. The limit is 6.', n)
+        WHEN 'V-1' THEN 'This comment repeats the code below it.'
+        WHEN 'V-6' THEN format_string('The description of "%s" repeats its name.', note)
+        WHEN 'C-4' THEN concat('"', regexp_replace(hit, {squeeze}, ' '), '" is a multi-word noun of ', size(split(hit, {squeeze})), ' words. The limit is 3.')
+        WHEN 'A-8' THEN format_string('This comment narrates %d numbered steps.', n)
+        ELSE concat(_left, CASE WHEN NOT _hit THEN '' WHEN _lower THEN lower({quoted}) ELSE {quoted} END, _right) END"""
+    suggestion = f"""CASE key
+        WHEN 'C-1' THEN format_string('Split it into %d shorter sentences.', 1 + n div try_cast(split(note, ' ')[1] AS int))
+        WHEN 'C-2' THEN 'Give each topic a paragraph of its own.'
+        WHEN 'V-1' THEN 'Delete it, or say why the code is as it is.'
+        WHEN 'V-6' THEN 'Give unit, range or default, or drop the line.'
+        WHEN '3.2' THEN concat('Use the simple present: "', _present, '".')
+        WHEN 'GR-8' THEN concat('Write "of the ', lower(regexp_extract(hit, '^([A-Za-z]+)', 1)), '".')
+        WHEN 'V-5' THEN CASE WHEN fill = '' THEN 'Delete it.' ELSE {write("fill")} END
+        WHEN '1.14' THEN {write(cased)}
+        WHEN '1.14#1' THEN {write(american)}
+        ELSE CASE WHEN _fill THEN concat(_a, fill, _b) ELSE _a END END"""
+    rows = rows.withColumn("_present", _simple_present(F.lower(F.regexp_extract("hit", r"(?U)(\w+)$", 1))))
+    return rows.withColumn("message", F.expr(message)).withColumn("suggestion", F.expr(suggestion))
 
 
 def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: Limits = single_limits) -> DataFrame:
@@ -252,7 +253,7 @@ def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: L
     kept = [c for c in segments.columns if c not in ("text", "line_offsets", "follows_code")]
     folds = reduce(lambda a, c: a | text.contains(c), _FOLDS, F.lit(False))
     rows = segments.withColumn("_low", F.lower(text)).withColumn("_folds", folds)
-    tried = F.explode(F.filter(F.array(*_tried(wanted)), lambda e: e["m"].isNotNull()))
+    tried = F.explode(_tried(wanted))
     # from here on the marked copy stands for the text
     rows = rows.select(*kept, "line_offsets", "follows_code", F.when(F.length(text) <= SHOWN, text).alias("shown"), tried.alias("_e"))
     rows = _placed(rows.select(*kept, "line_offsets", "follows_code", "shown", F.col("_e.key").alias("_key"), F.col("_e.m").alias("_m")))
@@ -269,7 +270,7 @@ def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: L
     for key, rule in rules().items():
         if rule.exempt and rule.rule_id in wanted:
             word = F.lower(F.regexp_extract("_f.hit", f"(?U){rule.word}", 1))
-            keep = keep & ~((F.col("_f.key") == key) & word.isin(*rule.exempt))
+            keep = keep & ~((F.col("_f.key") == key) & tx.among(word, rule.exempt))
     if "S-3" in wanted:
         keep = keep & ~((F.col("_f.key") == "S-3") & F.col("_f.hit").rlike(_STANDARD))
     rows = _told(rows.where(keep))

@@ -13,7 +13,8 @@ before it. So the spliced ids are those of the whole text.
 Cases: null and empty texts encode to no id and decode to an empty text; special tokens in a text
 are found as the tokenizers library does, and such texts are encoded whole; repeated rows and
 repeated or null ids keep their rows, as rows are told apart by a number of their own; a text
-without an anchor is re-encoded whole; white-space runs of any length encode; other columns may have any name.
+without an anchor is re-encoded whole; white-space runs of any length encode; texts of any
+length are encoded whole; other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import stored
+from .common import bitmap, dropped, in_bitmap, stored
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CUT_BITS = 10
 MIN_CHUNK, MAX_CHUNK = 256, 16_384
-SLOT_BITS = 23  # of the bitmap of repeated chunks: 1 MB at any size of the corpus
 HEAVY_MOST = 4096  # digests that can be heavy, hence bound of what is broadcast about them
 LONG_SPACE = 100_000  # runs of more white-space characters are matched here, not by the engine
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # \s of the pattern; Python's has more
@@ -136,8 +136,9 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def slot(d: bytes) -> int:
-    return int.from_bytes(d[:4], "little") >> (32 - SLOT_BITS)
+def keys(digests: list[bytes]) -> np.ndarray:
+    """A long of each digest."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
 
 
 def anchors(data: bytes) -> np.ndarray:
@@ -192,25 +193,16 @@ def _repeated(docs: DataFrame, text: str) -> tuple[np.ndarray, dict[bytes, int]]
     chunks = docs.select(text).mapInArrow(count, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
     chunks = stored(chunks, "chunks")
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d in batch.column(0).to_pylist():
-                s = slot(d)
-                bits.setdefault(s >> 15, np.zeros(1 << 15, bool))[s & 0x7FFF] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], names=["page", "bits"])
-
-    def merge(key, table):  # no hints: Spark reads them
-        all_bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([all_bits.tobytes()], pa.binary())})
-
-    bitmap = np.zeros(1 << SLOT_BITS, bool)
-    for r in chunks.mapInArrow(fold, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").collect():
-        bitmap[r.page << 15 : (r.page + 1) << 15] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(keys(batch.column(0).to_pylist()))], names=["key"])
+
+    packed = bitmap(chunks.select("digest").mapInArrow(key, "key long"), "key")
     total = chunks.agg(F.sum("n")).first()[0] or 0
     limit = max(1000, total // HEAVY_MOST + 1)
     heavy = {bytes(r.digest): min(256, -(-r.n // limit)) for r in chunks.where(F.col("n") > limit).collect()}
-    return np.packbits(bitmap), heavy
+    dropped(chunks)
+    return packed, heavy
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -224,7 +216,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
     def flagged(data: bytes, bounds: list[int], bits: np.ndarray, c: Codec) -> list[bytes] | None:
         """Digests of the chunks (empty where not repeated), or None if none is."""
         found = [digest(data[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
-        marks = [bool(bits[(s := slot(d)) >> 3] >> (7 - (s & 7)) & 1) for d in found]
+        marks = in_bitmap(bits, keys(found)).tolist()
         if not any(marks) or c.has_special(data):
             return None
         return [d if m else b"" for d, m in zip(found, marks, strict=True)]

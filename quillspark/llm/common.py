@@ -7,12 +7,20 @@ import gc
 import shutil
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textscan as ts
+
 HEAVY_MOST = 10_000  # most keys that can have over 1/HEAVY_MOST of all rows; bounds what is broadcast
 WAYS_MOST = 256
+MERGE_WAYS = 256  # groups in which the pages of all tasks are merged, before those are merged
+BITS_LEAST, BITS_MOST = 20, 30  # slots of a bitmap: 128 kB to 128 MB, eight a key in between
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -87,3 +95,50 @@ def partitions(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def merged_pages(pages: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """Rows (page, data), zlib of arrays of one ``kind`` and length, folded by page in two steps, so no
+    task gets a row of every task."""
+
+    def merge(key, table):  # no hints: Spark reads them
+        out = None
+        for x in table["data"]:
+            one = np.frombuffer(zlib.decompress(x.as_py()), kind)
+            out = one.copy() if out is None else fold(out, one)
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    some = pages.withColumn("way", F.pmod(F.xxhash64("data"), F.lit(MERGE_WAYS)).cast("int")).groupBy("page", "way").applyInArrow(merge, "page int, data binary")
+    return some.groupBy("page").applyInArrow(merge, "page int, data binary")
+
+
+def slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (ts.mix(values.astype(np.int64).view(np.uint64)) >> ts.U(64 - bits)).astype(np.int64)
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Packed bitmap of the values of a long column, sized by their number within the bounds. It only
+    spares work: where it fills up, more rows than needed go on."""
+    n = keys.count()
+    bits = min(BITS_MOST, max(BITS_LEAST, int(8 * n).bit_length()))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            s = slots(np.asarray(batch.column(0)), bits)
+            for page in np.unique(s >> 16).tolist():
+                found.setdefault(page, np.zeros(1 << 16, bool))[s[(s >> 16) == page] & 0xFFFF] = True
+        packed = [zlib.compress(np.packbits(v).tobytes(), 1) for v in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], names=["page", "data"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    pages = keys.select(column).mapInArrow(fold, "page int, data binary")
+    for r in merged_pages(pages, np.bitwise_or, "u1").toLocalIterator():
+        out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+    return out
+
+
+def in_bitmap(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in a bitmap; one that is in it always may."""
+    s = slots(values, (len(packed) * 8).bit_length() - 1)
+    return (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)

@@ -1,6 +1,6 @@
 """Connected components of a graph given as pairs, by alternating star operations.
 
-Each round shuffles edges only; no node's neighbours are gathered in one task. Edges are first
+Each round shuffles edges only; the edges of a node with many are split over tasks. Edges are first
 contracted to a forest inside each partition, so most graphs need one or two rounds. Every round is
 written to the shared folder, so a lost executor costs no earlier round.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, salted_join, stored
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +71,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if n[0] == n[1] and not deep:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = salted_join(both.where("v > u"), low, ["u"], "n", n[0], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, least, ["u"], "n", n[0], F.col("v")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         merged = small.unionByName(least.select("u", F.col("m").alias("v")))
-        now = stored(merged.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        before, now = now, stored(merged.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        dropped(before)
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -15,7 +15,9 @@ many bigrams with its own; else it counts, in place of the segments' matches tha
 share fewer. ``oracle`` states the segments only, so texts with such licences differ from it.
 
 Cases: null and empty texts, and segments of one word, match nothing; equal segments each count;
-repeated rows get equal results; every input row gives one output row, matches or not.
+repeated rows get equal results; every input row gives one output row, matches or not; texts of any
+length are read whole; only the named columns are read, so other columns may have any name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@
 Copies are never expanded into pairs; each pair of different sets is counted once. Cases: null,
 empty and blank texts have no set, link with nothing and are components of their own; texts of one
 or two words have one shingle, the whole sequence; every input row counts as a document, also with
-an id that repeats or is null; the least id ignores nulls; an empty table gives an empty result.
+an id that repeats or is null; the least id ignores nulls; texts of any length count whole; only the named
+columns are read, so other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +28,11 @@ from pyspark.sql import functions as F
 
 from . import partenum as pe
 from . import textscan as ts
-from .common import partitions, release, stored
+from .common import HEAVY_MOST, bitmap, dropped, in_bitmap, merged_pages, partitions, release, salted_join, stored
 from .components import components
 
 PAGES = 64
 HOT_EXTRA = 16  # a shingle is hot this far (and 4 standard deviations) above the mean of a slot
-HEAVY_MOST = 10_000  # most sets that can have over 1/HEAVY_MOST of all rows; bounds what is broadcast
-SLOT_BITS = 23  # bitmap of candidate sets: 1 MB
 BLOCK = 1024
 NO_SIZE = 65535
 _FLUSH = 3_000_000
@@ -58,14 +57,13 @@ def _profile(docs: DataFrame) -> DataFrame:
                     sizes.append(len(x))
                     keys.append(pe.set_key(x) if len(x) else (None, None))
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "data"])
         if kind is not None:
-            small = np.minimum(counts, 255).astype(np.uint8)  # of one task; sums over tasks are whole
-            pages = [(p, x) for p, x in enumerate(small.reshape(PAGES, -1)) if x.any()]
+            pages = [(p, x) for p, x in enumerate(counts.astype("<i8").reshape(PAGES, -1)) if x.any()]
             n = len(pages)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "data"])
 
-    return docs.mapInArrow(run, f"own_id {id_type}, n long, k1 long, k2 long, page int, counts binary")
+    return docs.mapInArrow(run, f"own_id {id_type}, n long, k1 long, k2 long, page int, data binary")
 
 
 def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
@@ -73,17 +71,19 @@ def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
     mean = shingles / (1 << pe.HOT_BITS)
     least = mean + 4 * mean**0.5 + HOT_EXTRA
 
-    def total(key, table):  # no hints: Spark reads them
-        parts = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(parts > least).tobytes()], pa.binary())})
+    def hot_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<i8") > least).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["page", "bits"])
 
     bits = np.zeros(1 << pe.HOT_BITS, bool).reshape(PAGES, -1)
-    for r in profile.where("page is not null").select("page", "counts").groupBy("page").applyInArrow(total, "page int, bits binary").collect():
+    counts = merged_pages(profile.where("page is not null").select("page", "data"), np.add, "<i8")
+    for r in counts.mapInArrow(hot_bits, "page int, bits binary").collect():  # 1 MB in all
         bits[r.page] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     return np.packbits(bits.reshape(-1))
 
 
-def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[tuple[int, int], object], buckets: int) -> DataFrame:
     """Rows (bucket, blob) of packed signatures."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, heavy))
 
@@ -94,7 +94,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
         names: list[int] = []
         needs: list[int] = []
         sizes: list[int] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -103,7 +103,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
             to = (((s & ts.U(0xFFFFFF)) * ts.U(buckets)) >> ts.U(24)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             s, doc, to = s[order], doc[order], to[order]
-            short, need = short_ids(np.array(names, np.int64)).astype("<u4"), np.array(needs, np.uint8)
+            short, need = six_bytes(short_ids(np.array(names, np.int64))), np.array(needs, np.uint8)
             size = np.minimum(np.array(sizes, np.int64), NO_SIZE).astype("<u2")
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, int)
             blobs = []
@@ -126,13 +126,13 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
                     x, y = bounds[i], bounds[i + 1]
                     if x == y:
                         continue
-                    key = pe.set_key(s[x:y])[0]
+                    key = pe.set_key(s[x:y])
                     if key in seen or key in skip and skip[key] != owners[b.first + i].as_py():
                         continue
                     seen.add(key)
                     made = [pe.signatures(s[x:y], h[x:y], band) for band in pe.bands(int(y - x))]
                     sigs.append(np.concatenate([m[0] for m in made]))
-                    names.append(key)
+                    names.append(key[0])
                     needs.append(min(m[1] for m in made))
                     sizes.append(int(y - x))
                     held += len(sigs[-1])
@@ -145,13 +145,24 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[int, object], bucket
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
+def six_bytes(ids: np.ndarray) -> np.ndarray:
+    """Rows of the six low bytes of each id."""
+    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def from_six(data: bytes | np.ndarray, n: int, at: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     """Of each posting in a blob: short id, need, size and the high half of the signature. The low
     half chose the bucket, so within a bucket about 32 bits and the bucket's own tell signatures
     apart; a chance match only adds to a count."""
-    docs, n, width = np.frombuffer(blob, "<u4", 3)
-    at, out = 12, []
-    for kind in ("<u4", "u1", "<u2", f"<u{width}"):
+    docs, n, width = (int(x) for x in np.frombuffer(blob, "<u4", 3))
+    at, out = 12 + 6 * docs, [from_six(blob, docs, 12)]
+    for kind in ("u1", "<u2", f"<u{width}"):
         out.append(np.frombuffer(blob, kind, docs, at))
         at += docs * np.dtype(kind).itemsize
     runs = out.pop()
@@ -159,9 +170,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def short_ids(k1: np.ndarray) -> np.ndarray:
-    """32 bits that stand for a set among candidates, as small longs. Sets that share them are
-    candidates of each other, so nothing is lost by their shortness."""
-    return k1.astype(np.int64) >> np.int64(32) & np.int64(0xFFFFFFFF)
+    """48 bits that stand for a set among candidates. Sets that share them are told apart by ``link``,
+    which makes them candidates of each other."""
+    return k1.astype(np.int64) >> np.int64(16) & np.int64((1 << 48) - 1)
 
 
 def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +187,12 @@ def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     alone = np.concatenate([[True], sig[1:] != sig[:-1], [True]])
     keep = ~(alone[1:] & alone[:-1])
     sig, order = sig[keep], order[keep]
-    names, needs, sizes = names[order], needs[order], sizes[order].astype(np.int64)
+    names, needs, sizes = names[order], needs[order], sizes[order]
     # sets that share a short id but not a size are told apart here
-    ids, local = np.unique(names.astype(np.int64) << 16 | sizes, return_inverse=True)
-    need_of = np.zeros(len(ids), np.uint8)
-    need_of[local] = needs
-    size_of, short_of = ids & 0xFFFF, ids >> 16
+    ids, local = np.unique(names << ts.U(16) | sizes.astype(np.uint64), return_inverse=True)
+    need_of = np.full(len(ids), 255, np.uint8)
+    np.minimum.at(need_of, local, needs)
+    size_of, short_of = (ids & ts.U(0xFFFF)).astype(np.int64), (ids >> ts.U(16)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, int)
     made: list[np.ndarray] = []
     held = 0
@@ -198,7 +209,7 @@ def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         x, y = short_of[a], short_of[b]
         x, y = np.minimum(x, y), np.maximum(x, y)
         order = np.lexsort((y, x))
-        x, y = x[order], y[order].astype("<u4")
+        x, y = x[order], six_bytes(y[order])
         n, need = np.minimum(n, 65535).astype("<u2")[order], need[order]
         first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         ends = np.append(first[1:], len(x))
@@ -246,61 +257,28 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     close()
                 now, held = a, []
-            k = len(blob) // 7
-            held.append((np.frombuffer(blob, "<u4", k), np.frombuffer(blob, "<u2", k, 4 * k), np.frombuffer(blob, np.uint8, k, 6 * k)))
+            k = len(blob) // 9
+            held.append((from_six(blob, k), np.frombuffer(blob, "<u2", k, 6 * k), np.frombuffer(blob, np.uint8, k, 8 * k)))
     if held:
         close()
     if found_a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
 
-def _slot(values: np.ndarray) -> np.ndarray:
-    return (ts.mix(values.astype(np.int64).view(np.uint64)) >> ts.U(64 - SLOT_BITS)).astype(np.int64)
-
-
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Packed bitmap of fixed size of the values of a long column."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            s = _slot(np.asarray(batch.column(0)))
-            for page in np.unique(s >> 16).tolist():
-                bits.setdefault(page, np.zeros(1 << 16, bool))[s[(s >> 16) == page] & 0xFFFF] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], names=["page", "bits"])
-
-    def merge(key, table):  # no hints: Spark reads them
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    out = np.zeros(1 << SLOT_BITS, bool)
-    for r in keys.select(column).mapInArrow(fold, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").collect():
-        out[r.page << 16 : (r.page + 1) << 16] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return np.packbits(out)
-
-
-def in_bitmap(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values may be in a bitmap; one that is in it always may."""
-    s = _slot(values)
-    return (packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(k1, k2, features) of the sets whose key may be wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             found: dict[tuple[int, int], bytes] = {}
             for b in ts.blocks(batch.column(1)):
                 s, bounds = pe.shingles(b)
-                for i in range(b.n_docs):
-                    x = s[bounds[i] : bounds[i + 1]]
-                    if len(x):
-                        key = pe.set_key(x)
-                        if key not in found and bits[_slot(short_ids(np.array(key[:1])))[0]]:
-                            found[key] = x.tobytes()
+                own = {i: pe.set_key(s[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(np.diff(bounds)).tolist()}
+                wanted = in_bitmap(shared.value, short_ids(np.array([k[0] for k in own.values()], np.int64)))
+                for (i, key), w in zip(own.items(), wanted.tolist(), strict=True):
+                    if w and key not in found:
+                        found[key] = s[bounds[i] : bounds[i + 1]].tobytes()
             k1 = np.array([k[0] for k in found], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(short_ids(k1)), pa.array(k1), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "k1", "k2", "features"])
 
@@ -344,6 +322,12 @@ def _check_block(key, table):  # no hints: Spark reads them
     return pa.table({"a1": pa.array(k1[a]), "a2": pa.array(k2[a]), "b1": pa.array(k1[b]), "b2": pa.array(k2[b])})
 
 
+def same_short(keys: DataFrame) -> DataFrame:
+    """Pairs (a, a) for the short ids that several different sets have: few at any size, and candidates
+    of each other."""
+    return keys.groupBy(F.shiftrightunsigned("k1", 16).alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a", F.col("a").alias("b"))
+
+
 def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``n_similar``, ``component_id`` and
     ``set_key`` (hex; null without a set)."""
@@ -356,19 +340,19 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     keys = stored(keys, "keys")
     often = max(100, size[0] // HEAVY_MOST + 1)
     plain = lambda x: x.asDict(True) if isinstance(x, Row) else x  # noqa: E731  # as Arrow gives it
-    heavy = {r.k1: plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "least_id").collect()}
+    heavy = {(r.k1, r.k2): plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "k2", "least_id").collect()}
     n = partitions(spark)
     postings = _postings(own, _hot(profile, size[1] or 0), heavy, n)
     pairs = postings.repartitionById(n, "bucket").mapInArrow(_pairs_of_bucket, "a long, blob binary")
     pairs = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b long")
-    pairs = stored(pairs, "candidates")
+    pairs = stored(pairs.unionByName(same_short(keys)), "candidates")
     del postings
     release(spark)
     alike = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     grouped = components(pairs)
     grouped = grouped.unionByName(alike.join(grouped, "node", "left_anti"))
-    per_root = grouped.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("parts"))
-    parted = grouped.join(per_root, "root").withColumn("part", F.when(F.col("parts") <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    per_root = grouped.groupBy("root").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int"))
+    parted = salted_join(grouped, per_root, ["root"], "n", grouped.count(), F.col("node")).withColumn("part", F.when(F.col("parts") <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     parted = stored(parted.select(F.col("node").alias("id"), "root", "part"), "parted")
     # blocks that hold a candidate pair; a component of up to BLOCK sets is one block
     blocks = (
@@ -384,15 +368,17 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     links = members.groupBy("root", "lo", "hi").applyInArrow(_check_block, "a1 long, a2 long, b1 long, b2 long")
     links = stored(links, "links")
     del sets, members
+    dropped(pairs, parted, places)
     release(spark)
     side = lambda x: keys.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("node").alias(x), F.col("copies").alias(f"{x}_copies"))
     joined = stored(links.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "a_copies", "b_copies"), "joined")
     degree = joined.select(F.col("a").alias("node"), F.col("b_copies").alias("n")).unionByName(joined.select(F.col("b").alias("node"), F.col("a_copies").alias("n"))).groupBy("node").agg(F.sum("n").alias("others"))
+    dropped(links)
     roots = components(joined.select("a", "b"))
     full = keys.join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    full = full.join(least, "root").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
-    out = rows.where("n > 0").join(full, ["k1", "k2"]).select("own_id", "n", "n_similar", "component_id", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("set_key"), "rid")
+    full = full.join(least, "root").select("k1", "k2", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
+    out = salted_join(rows.where("n > 0"), full, ["k1", "k2"], "copies", size[0], F.col("rid")).select("own_id", "n", "n_similar", "component_id", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("set_key"), "rid")
     alone = rows.where("n = 0").select("own_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("own_id").alias("component_id"), F.lit(None).cast("string").alias("set_key"), "rid")
     both = out.unionByName(alone)
     return both.select(F.col("own_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("n_similar").cast("long").alias("n_similar"), "component_id", "set_key")

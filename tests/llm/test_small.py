@@ -201,6 +201,55 @@ def test_jaccard_join(spark):
     assert ngram_jaccard.link(empty(spark)).count() == 0
 
 
+def test_short_ids_lose_no_pair(spark, monkeypatch):
+    """Different sets of one short id are compared all the same."""
+    ids = np.array([0, 1, (1 << 48) - 1, 123456789012345], np.int64)
+    assert ngram_jaccard.from_six(ngram_jaccard.six_bytes(ids).tobytes(), 4).tolist() == ids.tolist()
+    texts = [" ".join(f"u{k}" for k in range(60)), " ".join(f"u{k}" for k in range(58)) + " x y", " ".join(f"v{k}" for k in range(60))]
+    whole = partenum.set_key
+    monkeypatch.setattr(partenum, "set_key", lambda s: (7, whole(s)[1]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [ngram_jaccard.short_ids(np.array([7]))[0]] == [0]
+    # workers hold their own copy of the module, so the pairs are made here
+    blocks = [next(ngram_jaccard.ts.blocks(d.toArrow()["text"].combine_chunks()))]
+    sets, bounds = partenum.shingles(blocks[0])
+    key = lambda i: partenum.set_key(sets[bounds[i] : bounds[i + 1]])
+    assert key(0)[0] == key(1)[0] == key(2)[0] and len({key(i) for i in range(3)}) == 3
+    keys = spark.createDataFrame([key(i) for i in range(3)], "k1 long, k2 long")
+    alike = ngram_jaccard.same_short(keys).collect()
+    assert [(r.a, r.b) for r in alike] == [(0, 0)]
+
+
+def test_merged_pages(spark):
+    import zlib
+
+    rng = np.random.default_rng(2)
+    parts = rng.integers(0, 9, (40, 3, 5)).astype("<i8")
+    rows = [(p, bytearray(zlib.compress(x.tobytes()))) for task in parts for p, x in enumerate(task)]
+    got = common.merged_pages(spark.createDataFrame(rows, "page int, data binary").repartition(7), np.add, "<i8").collect()
+    assert {r.page: np.frombuffer(zlib.decompress(r.data), "<i8").tolist() for r in got} == {p: parts[:, p].sum(0).tolist() for p in range(3)}
+    some = rng.integers(-(2**62), 2**62, 5000)
+    bits = common.bitmap(spark.createDataFrame([(int(x),) for x in some], "k long"), "k")
+    assert common.in_bitmap(bits, some).all() and common.in_bitmap(bits, rng.integers(-(2**62), 2**62, 5000)).mean() < 0.3
+
+
+def test_shared_dir_needs_a_setting_on_a_cluster():
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 def test_signatures_share_enough():
     """Any two similar sets show as many equal signatures as promised, hot features or not."""
     rng = np.random.default_rng(5)

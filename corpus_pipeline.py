@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import chunked_bpe, line_quality, ngram_jaccard, poisson_mix, queries, semicrf_pii
-from quillspark.llm.common import documents, stored
+from quillspark.llm.common import bitmap, documents, dropped, in_bitmap, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the base rules and the line labels keep."""
+    """Keep what the base rules and the line labels keep.
+
+    Null, empty and short texts go; repeated rows share their fate; any text length is read whole; columns
+    beside those of documents are dropped; an empty table stays empty."""
     docs = docs.select(*COLUMNS)
     model = line_quality.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return line_quality.keep(docs, model)
@@ -28,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked rows: that with the least id, then the least hash of its text.
-    Rows without a shingle are linked with nothing and stay. Of rows equal in id and text one stays,
+    Rows without a shingle are linked with nothing and stay; an empty table stays empty. Of rows equal in id and text one stays,
     the least in its other columns."""
     key = [F.col("doc_id").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")]
     docs = docs.select(*COLUMNS)
@@ -36,13 +39,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     lost = groups.where("id != component_id").select("id.*").distinct()
     twice = groups.where("id = component_id").groupBy("id").count().where("count > 1").select("id.*")
     touched = stored(lost.withColumn("keep", F.lit(False)).unionByName(twice.withColumn("keep", F.lit(True))), "touched")
-    # rows that a bitmap of fixed size rules out need no join and no shuffle
-    bits = spark.sparkContext.broadcast(ngram_jaccard.bitmap(touched, "h"))
+    # rows that a bitmap of bounded size rules out need no join and no shuffle
+    bits = spark.sparkContext.broadcast(bitmap(touched, "h"))
 
     def rows(flag: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(ngram_jaccard.in_bitmap(bits.value, np.asarray(batch.column(len(COLUMNS)))) == flag))
+                yield batch.filter(pa.array(in_bitmap(bits.value, np.asarray(batch.column(len(COLUMNS)))) == flag))
 
         hashed = docs.withColumn("h", key[1])
         return hashed.mapInArrow(run, hashed.schema)
@@ -54,17 +57,25 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data and secrets by their kind."""
+    """Replace personal data and secrets by their kind, and bring ``n_chars`` up to date.
+
+    Null and empty texts stay as they are; every row stays, repeated ones too; an empty table stays empty."""
     return semicrf_pii.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw each source to its target weight; copies are rows of their own."""
+    """Draw each source to its target weight; copies are rows of their own.
+
+    A null source is a source; null and empty texts are drawn at the rate of their source; rows of one id
+    are drawn alike; an empty table stays empty."""
     return poisson_mix.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each drawn row."""
+    """Token counts and digests of each drawn row.
+
+    Null and empty texts have no token; a row out for each row in, also where ids repeat or are null; an
+    empty table gives an empty result."""
     return queries.bpe_digests(chunked_bpe.encode(docs, queries.tokenizer_path()))
 
 
@@ -81,7 +92,8 @@ ORACLE_SQL = None  # Viterbi, the perceptron's segments and BPE are beyond SQL;
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, "stage-" + name.replace(" ", "-"))
+            dropped(before)  # the last stage's input stays, as its rows are read when the result is
     return docs

@@ -83,7 +83,9 @@ def judge(segments: DataFrame, model: Model, config: profiles.Config | None = No
                 try:
                     out.append((key, parse(model(text, code, ids), ids)))
                 except Exception:  # noqa: BLE001  # a provider's failure costs its own verdict only
-                    continue
+                    if at_once == 1:  # one after another, the first failure ends the run
+                        yield pd.DataFrame(out, columns=["key", "verdicts"])
+                        return
             yield pd.DataFrame(out, columns=["key", "verdicts"])
 
     fresh = asked.repartition(at_once).mapInPandas(call, CACHE)
@@ -91,3 +93,27 @@ def judge(segments: DataFrame, model: Model, config: profiles.Config | None = No
     found = rows.join(verdicts, "key").select("*", F.explode("verdicts").alias("v")).where("v.violates")
     shown = F.substring("text", 1, 140)
     return found.select(F.col("v.rule_id").alias("rule_id"), F.lit("soft").alias("severity"), "path", "line", "kind", F.col("v.message").alias("message"), shown.alias("excerpt"), F.col("v.suggestion").alias("suggestion"), F.when(F.length("text") <= SHOWN, F.col("text")).alias("shown"), "seg_id", F.lit(0).alias("start")), fresh
+
+
+def parse_label(reply: str | None) -> tuple[bool, float, str]:
+    """(bloated, score, reason) of a reply that may be fenced or stand in other text."""
+    m = re.search(r"(?s)\{.*\}", reply or "")
+    try:
+        found = json.loads(m.group()) if m else None
+        score = float(found.get("score") or 0.0) if isinstance(found, dict) else 0.0
+    except (TypeError, ValueError):
+        return False, 0.0, ""
+    if not isinstance(found, dict):
+        return False, 0.0, ""
+    return bool(found.get("bloated", score >= 0.5)), min(1.0, max(0.0, score)), str(found.get("reason") or "").strip()
+
+
+def label(segments: DataFrame, model: Callable[[str, str | None], str], at_once: int = 8) -> DataFrame:
+    """Training labels of a classifier: seg_id, bloated, score (0 essential, 1 noise) and reason."""
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(s, *parse_label(model(t, c))) for s, t, c in zip(frame["seg_id"], frame["text"], frame["follows_code"], strict=True)]
+            yield pd.DataFrame(rows, columns=["seg_id", "bloated", "score", "reason"])
+
+    return segments.select("seg_id", "text", "follows_code").repartition(at_once).mapInPandas(call, "seg_id string, bloated boolean, score double, reason string")

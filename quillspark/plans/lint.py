@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +21,20 @@ class Report:
     segments: DataFrame
     suppressed_segments: DataFrame
     suppressed_findings: DataFrame
+    files: DataFrame | None = None  # (path) of all files read; without it, those with a segment count
+
+    def kept(self) -> Report:
+        """With the findings stored once, for the several passes of a sink."""
+        return replace(self, findings=self.findings.persist())
 
     def metrics(self) -> DataFrame:
         """One row: hard, soft, suppressed, segments_scanned, files_scanned."""
         level = self.findings.agg(F.count_if(F.col("severity") == "hard").alias("hard"), F.count_if(F.col("severity") == "soft").alias("soft"))
         gone = self.suppressed_segments.select(F.lit(1)).unionAll(self.suppressed_findings.select(F.lit(1))).agg(F.count("*").alias("suppressed"))
         seen = self.segments.agg(F.count("*").alias("segments_scanned"), F.countDistinct("path").alias("files_scanned"))
-        return level.crossJoin(gone).crossJoin(seen)  # three rows of one
+        if self.files is not None:
+            seen = seen.drop("files_scanned").crossJoin(self.files.agg(F.count("*").alias("files_scanned")))
+        return level.crossJoin(gone).crossJoin(seen)  # rows of one
 
 
 def marker(text: Column) -> Column:
@@ -86,6 +93,18 @@ def by_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count("*").alias("n"), first).orderBy(F.desc("n"), "first").drop("first")
 
 
+def with_baseline(report: Report, baseline: DataFrame) -> Report:
+    """The report with known findings made soft and counted as suppressed."""
+    applied = apply_baseline(report.findings, baseline)
+    more = applied.where("in_baseline").select("seg_id", "rule_id")
+    return replace(report, findings=applied.drop("in_baseline"), suppressed_findings=report.suppressed_findings.unionByName(more))
+
+
+def top_rules(findings: DataFrame, limit: int = 8) -> DataFrame:
+    """The most frequent rules of a summary (a top-k report)."""
+    return by_rule(findings).limit(limit)
+
+
 def family(rule_id: Column) -> Column:
     return F.when(rule_id.startswith("A-"), "tell").when(rule_id.startswith("V-"), "value").otherwise("ste")
 

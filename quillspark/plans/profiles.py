@@ -80,6 +80,9 @@ class Config:
     max_descriptive_words: int | None = None
     keep_task_tags: bool = False
     default_paths: bool = True
+    respect_gitignore: bool = True
+    baseline: str = "quillspark-baseline.json"
+    report: str = "quillspark-report.txt"
 
     def globs(self) -> list[tuple[str, str]]:
         return [*(CHANGELOG_GLOBS if self.default_paths else ()), *self.paths]
@@ -110,7 +113,7 @@ def from_table(data: dict) -> Config:
     known = {r[0] for r in rule_rows()}
     name = ALIASES.get(str(data.get("profile", DEFAULT)), str(data.get("profile", DEFAULT)))
     tiers = {}
-    for k, v in (data.get("sentence_tiers") or {}).items():
+    for k, v in (data.get("sentence_length") or data.get("sentence_tiers") or {}).items():
         if k in BASE_TIERS and isinstance(v, list) and len(v) == 2 and all(isinstance(x, int) and x > 0 for x in v) and v[0] <= v[1]:
             tiers[k] = (v[0], v[1])
     scopes = tuple(s for s in data.get("scopes", SCOPES) if s in ("comment", "docstring", "markdown", "string", "identifier", "commit", "pr_description"))
@@ -120,12 +123,15 @@ def from_table(data: dict) -> Config:
         disable=frozenset(data.get("disable", ())),
         paths=tuple((g, ALIASES.get(p, p)) for g, p in (data.get("paths") or {}).items() if ALIASES.get(p, p) in PROFILES),
         scopes=scopes or SCOPES,
-        exclude=tuple(data.get("exclude", EXCLUDED)),
+        exclude=EXCLUDED + tuple(data.get("exclude", ())),
         include=tuple(data.get("include", ())),
         sentence_tiers=tiers,
         max_procedural_words=data.get("max_procedural_words"),
         max_descriptive_words=data.get("max_descriptive_words"),
         keep_task_tags=bool(data.get("keep_task_tags", False)),
+        respect_gitignore=bool(data.get("respect_gitignore", True)),
+        baseline=str(data.get("baseline", Config.baseline)),
+        report=str(data.get("report", Config.report)),
     )
 
 

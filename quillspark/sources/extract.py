@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import ast
 import re
-import subprocess
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -317,32 +316,6 @@ def segments(files: DataFrame, config: Config | None = None) -> DataFrame:
     return files.where(included(F.col("path"), config)).select("path", "source").mapInArrow(run, SEGMENT)
 
 
-def read_files(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
-    """(path, source) of the UTF-8 files under a folder, size limit pushed to the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= MAX_BYTES)
-    base = root.rstrip("/") + "/"
-    path = F.substring_index(F.col("path"), base, -1)
-    files = files.select(path.alias("path"), F.col("content")).where(F.is_valid_utf8("content"))
-    names = list(LANGUAGES) + list(MARKDOWN)
-    known = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*names) | F.substring_index("path", "/", -1).isin(*NAMED)
-    return files.where(known).select("path", F.col("content").cast("string").alias("source"))
-
-
-def changed_files(root: str, rev_range: str | None = None, staged: bool = False) -> list[str]:
-    """Added, copied, modified or renamed files of a git diff; whole files are scanned."""
-    args = ["git", "diff", "--name-only", "--diff-filter=ACMR", *(["--cached"] if staged else []), *([rev_range] if rev_range else [])]
-    out = subprocess.run(args, cwd=root, capture_output=True, text=True)
-    return [x for x in out.stdout.splitlines() if x] if out.returncode == 0 else []
-
-
-def git_commits(spark: SparkSession, root: str, rev_range: str) -> DataFrame:
-    out = subprocess.run(["git", "log", "--format=%x1e%H%x1f%B", rev_range], cwd=root, capture_output=True, text=True)
-    rows = [tuple(r.split("\x1f", 1)) for r in out.stdout.split("\x1e") if "\x1f" in r] if out.returncode == 0 else []
-    return spark.createDataFrame(rows, "sha string, message string")
-
-
-
-
 def commits(log: DataFrame) -> DataFrame:
     """``log``: sha, message. Subject (line 1) and body (line 2) of each commit as segments."""
     lines = F.split(tx.trim(F.col("message")), r"\r?\n")
@@ -378,11 +351,12 @@ def whole_texts(rows: DataFrame, seg_id: Column, path: Column, kind: str, text:
     return rows.select(seg_id.alias("seg_id"), path.alias("path"), F.lit(1).alias("line"), F.lit(kind).alias("kind"), F.col(text).alias("text"), F.lit(None).cast("array<int>").alias("line_offsets"), none.alias("register"), none.alias("follows_code"))
 
 
-UNITS = "path string, line int, name string, kind string, source string, signature string"
+UNITS = "path string, line int, name string, kind string, source string, signature string, added_lines array<int>"
 
 
-def code_units(files: DataFrame) -> DataFrame:
-    """Top-level functions and classes of Python files."""
+def code_units(files: DataFrame, added: dict[str, list[int]] | None = None) -> DataFrame:
+    """Top-level functions and classes of Python files, with those of the ``added`` lines of their file
+    (by path, as a diff tells them) that lie in them; null without ``added``."""
 
     def units(path: str, source: str) -> list[dict]:
         try:
@@ -394,10 +368,10 @@ def code_units(files: DataFrame) -> DataFrame:
             if isinstance(node, (ast.ClassDef, ast.AsyncFunctionDef, ast.FunctionDef)):
                 body = ast.get_source_segment(source, node)
                 if body:
-                    out.append({"path": path, "line": node.lineno, "name": node.name, "kind": "class" if isinstance(node, ast.ClassDef) else "function", "source": body, "signature": body.splitlines()[0].strip()})
+                    out.append({"path": path, "line": node.lineno, "name": node.name, "kind": "class" if isinstance(node, ast.ClassDef) else "function", "source": body, "signature": body.splitlines()[0].strip(), "added_lines": None if added is None else [n for n in sorted(added.get(path, ())) if node.lineno <= n <= node.end_lineno]})
         return out
 
-    schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("source", pa.string()), ("signature", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("source", pa.string()), ("signature", pa.string()), ("added_lines", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import catalogue, scan
 from quillspark.plans import fixture, lint, profiles, queries, report, sql
-from quillspark.sources import extract
+from quillspark.sources import discover, extract
 
 from .conftest import SF
 
@@ -158,7 +158,9 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "sub" / "a.md").write_text("Words of a page here.")
     (tmp_path / "b.bin").write_bytes(b"\xff\xfe")
     (tmp_path / "c.md").write_bytes(b"\xff\xfe not text")
-    assert [(r.path, r.source) for r in extract.read_files(spark, str(tmp_path)).collect()] == [("sub/a.md", "Words of a page here.")]
+    (tmp_path / "sub" / "node_modules").mkdir()
+    (tmp_path / "sub" / "node_modules" / "d.md").write_text("Left out by its path.")
+    assert [(r.path, r.source) for r in discover.read_files(spark, str(tmp_path)).collect()] == [("sub/a.md", "Words of a page here.")]
 
 
 def test_judge(spark):

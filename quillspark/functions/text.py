@@ -1,170 +1,153 @@
-"""Text functions as Column expressions: sentences, counted words, register, paragraphs, markup.
+r"""Text functions as Spark SQL expressions: sentences, counted words, register, paragraphs, markup.
 
-All of them run inside the JVM. Positions count code points from 0, as Spark's ``length`` does.
-Texts may not hold the control characters U+0001 to U+0003, which mark positions; ``clean`` turns
-them to spaces of the same length first.
+All of them run inside the JVM. They take and give SQL text, as one text is parsed at once while each
+call of the column API is a message to the JVM: the scan has thousands of nodes. Positions count code
+points from 0, as Spark's ``length`` does. Texts may not hold the control characters U+0001 to U+0003,
+which mark positions; ``clean`` turns them to spaces of the same length first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .vocabulary import either, words
 
 OPEN, CLOSE, DOT = "\u0001", "\u0002", "\u0003"
-SENTENCE = "array<struct<text:string,start:int,register:string,n_words:int>>"
+_SPACE, _LEAD = r"(?U)\s+", r"(?U)^\s+"
+_EDGES = r"(?U)^\s+|\s+\z"
+_BRACKETS, _QUOTES = r"\([^()]*\)", "\"[^\"]*\"|'[^']{2,}'|`[^`]*`"
+_RIM = r"(?U)^[^\w(\[\"'`%]+|[^\w)\]\"'`%]+\z"
+_NUMBER, _STOPS = r"^[+-]?\d[\d,]*(\.\d+)?$", r"[.,]+\z"
+_APART = r"(?U)[^\w'-]+"
+_ENDS = r"(?U)([.!?]+[*_`~]*)(?=\s|\z)"
+_BLANK = r"(?U)\n\s*\n"
+_HUMPS = r"(?U)[_\-\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
-def clean(text: Column) -> Column:
-    return F.translate(text, OPEN + CLOSE + DOT, "   ")
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+def among(terms: list[str] | tuple[str, ...]) -> str:
+    """A list of literals, for IN."""
+    return f"({', '.join(map(quoted, terms))})"
 
 
-def flat(text: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+def let(name: str, value: str, use: str) -> str:
+    """``use`` with ``name`` standing for ``value``, worked out once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def shorten(text: Column, limit: int = 140) -> Column:
-    one = flat(text)
-    return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.substring(one, 1, limit - 1), F.lit("…")))
+def sub(text: str, regex: str, to: str = "") -> str:
+    return f"regexp_replace({text}, {quoted(regex)}, {quoted(to)})"
 
 
-def around(text: Column, start: Column, stop: Column, width: int = 45) -> Column:
-    first = F.greatest(start - width, F.lit(0))
-    return F.substr(text, first + 1, stop + width - first)
+def parted(text: str, regex: str) -> str:
+    return f"split({text}, {quoted(regex)})"
 
 
-def among(value: Column, terms: list[str] | tuple[str, ...]) -> Column:
-    """Whether a string is one of fixed terms; as one literal, since a call per term takes its time."""
-    return F.array_contains(F.split(F.lit("\n".join(terms)), "\n"), value)
+def clean(text: Column) -> Column:
+    return F.translate(text, OPEN + CLOSE + DOT, "   ")
 
 
-def quoted(text: str) -> str:
-    """A SQL literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def trim(text: Column) -> Column:
+    return F.regexp_replace(text, _EDGES, "")
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: a lambda would compute it again per element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def trimmed(text: str) -> str:
+    return sub(text, _EDGES)
 
 
-def _running(lengths: Column) -> Column:
-    """As ``running``, copying the sums so far for each element: for short arrays."""
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+def breaks(text: str) -> str:
+    """Line breaks in a text."""
+    return f"(length({text}) - length(replace({text}, {quoted(chr(10))}, '')))"
 
 
-def running(lengths: Column) -> Column:
-    """Sums of the elements before each, and of all, for an array of ints. Long arrays are cut into
-    pieces of the square root of their length, so that no array copied is long."""
+def shorten(text: str, limit: int = 140) -> str:
+    """White space runs as one space, none at the ends, and no more than ``limit`` characters."""
+    return let("q_", f"trim({sub(text, _SPACE, ' ')})", f"CASE WHEN length(q_) <= {limit} THEN q_ ELSE concat(substr(q_, 1, {limit - 1}), '…') END")
 
-    def cut(values: Column, width: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")), lambda c: F.slice(values, c * width + 1, width))
 
-    def joined(pieces: Column) -> Column:
-        totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
-        place = lambda starts: F.concat(F.flatten(F.transform(pieces, lambda p, i: F.transform(F.slice(_running(p), 1, F.size(p)), lambda x: x + F.get(starts, i)))), F.slice(starts, -1, 1))
-        return bind(_running(totals), place)
+def _sums(values: str) -> str:
+    return f"aggregate({values}, array(0), (s_, n_) -> concat(s_, array(element_at(s_, -1) + n_)))"
 
-    return bind(lengths, lambda values: F.when(F.size(values) <= 64, _running(values)).otherwise(bind(cut(values, F.ceil(F.sqrt(F.size(values))).cast("int")), joined)))
+
+def running(lengths: str) -> str:
+    """Sums of the elements before each, and of all, of an array of ints. Long arrays are cut into
+    pieces of the square root of their length, so that no array copied is long."""
+    width = "cast(ceil(sqrt(size(v_))) AS int)"
+    cut = f"transform(sequence(0, (size(v_) - 1) div {width}), c_ -> slice(v_, cast(c_ AS int) * {width} + 1, {width}))"
+    totals = _sums("transform(p_, x_ -> aggregate(x_, 0, (a_, b_) -> a_ + b_))")
+    joined = f"concat(flatten(transform(p_, (x_, i_) -> transform(slice({_sums('x_')}, 1, size(x_)), y_ -> y_ + t_[i_]))), slice(t_, -1, 1))"
+    return let("v_", lengths, f"CASE WHEN size(v_) <= 64 THEN {_sums('v_')} ELSE {let('p_', cut, let('t_', totals, joined))} END")
 
 
-def ste_words(sentence: Column) -> Column:
+def ste_words(sentence: str) -> str:
     """Counted words before a number is merged with its unit: brackets and quotes count as one."""
-    masked = F.regexp_replace(sentence, r"\([^()]*\)", " paren ")
-    masked = F.regexp_replace(masked, "\"[^\"]*\"|'[^']{2,}'|`[^`]*`", " quote ")
-    edge = r"(?U)^[^\w(\[\"'`%]+|[^\w)\]\"'`%]+\z"
-    return F.filter(F.transform(F.split(masked, r"(?U)\s+"), lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "")
+    masked = sub(sub(sentence, _BRACKETS, " paren "), _QUOTES, " quote ")
+    return f"filter(transform({parted(masked, _SPACE)}, w_ -> {sub('w_', _RIM)}), w_ -> w_ != '')"
 
 
-def unit_pairs(tokens: Column) -> Column:
+def unit_pairs(tokens: str) -> str:
     """How many tokens are a number whose next token is a unit (the two count as one word)."""
-    unit = lambda t: among(F.regexp_replace(F.lower(t), r"[.,]+\z", ""), words("units"))
-    number = lambda t: t.rlike(r"^[+-]?\d[\d,]*(\.\d+)?$")
-    following = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), following, lambda a, b: number(a) & unit(b))
-    return F.when(F.size(tokens) < 2, 0).otherwise(F.size(F.filter(pairs, lambda x: x)))
+    pair = f"a_ RLIKE {quoted(_NUMBER)} AND {sub('lower(b_)', _STOPS)} IN {among(words('units'))}"
+    return f"CASE WHEN size({tokens}) < 2 THEN 0 ELSE size(filter(zip_with(slice({tokens}, 1, size({tokens}) - 1), slice({tokens}, 2, size({tokens}) - 1), (a_, b_) -> {pair}), x_ -> x_)) END"
 
 
-def count_words(sentence: Column) -> Column:
+def count_words(sentence: str) -> str:
     """Words of a text as the controlled-language standard counts them."""
-    return bind(ste_words(sentence), lambda t: F.size(t) - unit_pairs(t)).cast("int")
+    return let("k_", ste_words(sentence), f"cast(size(k_) - ({unit_pairs('k_')}) AS int)")
 
 
-def register(sentence: Column, default: Column) -> Column:
+def register(sentence: str, default: str = "'descriptive'") -> str:
     """``procedural`` for an instruction, else the default."""
-
-    def decide(w: Column) -> Column:
-        first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
-        later = F.exists(F.slice(w, 2, 3), lambda x: among(x, words("followers")))
-        return (
-            F.when(F.size(w) == 0, default)
-            .when((first == "don't") | ((first == "do") & F.coalesce(second == "not", F.lit(False))), "procedural")
-            .when(~among(first, words("imperatives")), default)
-            .when(F.coalesce(among(second, words("command_determiners")), F.lit(False)), "procedural")
-            .when(later, default)
-            .otherwise("procedural")
-        )
-
-    parts = F.filter(F.split(F.lower(sentence), r"(?U)[^\w'-]+"), lambda x: x != "")
-    return bind(parts, decide)
+    first, second = "get(r_, 0)", "get(r_, 1)"
+    decided = f"""CASE WHEN size(r_) = 0 THEN {default}
+        WHEN {first} = {quoted("don't")} OR ({first} = 'do' AND coalesce({second} = 'not', false)) THEN 'procedural'
+        WHEN {first} NOT IN {among(words('imperatives'))} THEN {default}
+        WHEN coalesce({second} IN {among(words('command_determiners'))}, false) THEN 'procedural'
+        WHEN exists(slice(r_, 2, 3), x_ -> x_ IN {among(words('followers'))}) THEN {default} ELSE 'procedural' END"""
+    return let("r_", f"filter({parted(f'lower({sentence})', _APART)}, x_ -> x_ != '')", decided)
 
 
-def pieces(text: Column) -> Column:
+def pieces(text: str) -> str:
     """Raw sentence pieces (with their white space), in order; their lengths add up to the text's."""
     stems = either([a[:-1] for a in words("abbreviations")])
-    masked = F.regexp_replace(text, rf"(?iU)\b({stems})\.", "$1" + DOT)
-    return F.split(F.regexp_replace(masked, r"(?U)([.!?]+[*_`~]*)(?=\s|\z)", "$1" + OPEN), OPEN)
-
-
-def sentences(text: Column, default: Column | None = None, count: bool = True, breaks: bool = False, over: Column | None = None) -> Column:
-    """Sentences with their start, register and counted words, and the line breaks before them if asked.
-    With ``over``, those sentences alone that can have more counted words: a gap between words makes one
-    more, a bracket or quote up to two."""
-    fallback = F.lit("descriptive") if default is None else F.coalesce(default, F.lit("descriptive"))
-
-    def lead(p: Column) -> Column:
-        return F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))
+    return parted(sub(sub(text, rf"(?iU)\b({stems})\.", "$1" + DOT), _ENDS, "$1" + OPEN), OPEN)
 
-    def lines(p: Column) -> Column:
-        return F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
 
-    def place(raw: Column, starts: Column, before: Column | None) -> Column:
-        own = lambda p, i: [] if before is None else [(F.get(before, i) + lines(F.substr(p, F.lit(1), lead(p)))).alias("breaks")]
-        made = F.transform(raw, lambda p, i: F.struct(F.translate(trim(p), DOT, ".").alias("text"), (F.get(starts, i) + lead(p)).alias("start"), *own(p, i)))
-        most = lambda s: F.regexp_count(s["text"], F.lit(r"(?U)\s+")) + F.regexp_count(s["text"], F.lit("[(\"'`]")) * 2 + 1
-        return F.filter(made, lambda s: s["text"] != "" if over is None else most(s) > over)
+def sentences(text: str, default: str | None = None, over: str | None = None) -> str:
+    """Sentences with their start, the line breaks before them, register and counted words. With
+    ``over``, those alone that can have more counted words: a gap between words makes one more, a
+    bracket or quote up to two."""
+    fallback = "'descriptive'" if default is None else f"coalesce({default}, 'descriptive')"
+    lead = f"(length(p_) - length({sub('p_', _LEAD)}))"
+    one = f"named_struct('text', translate({trimmed('p_')}, {quoted(DOT)}, '.'), 'start', h_[i_] + {lead}, 'breaks', l_[i_] + {breaks(f'substr(p_, 1, {lead})')})"
+    most = "" if over is None else f" AND regexp_count(s_.text, {quoted(_SPACE)}) + 2 * regexp_count(s_.text, {quoted(chr(91) + '(' + chr(34) + chr(39) + '`]')}) + 1 > {over}"
+    placed = f"filter(transform(g_, (p_, i_) -> {one}), s_ -> s_.text != ''{most})"
+    found = let("g_", pieces(text), let("h_", running("transform(g_, p_ -> length(p_))"), let("l_", running(f"transform(g_, p_ -> {breaks('p_')})"), placed)))
+    return f"transform({found}, s_ -> named_struct('text', s_.text, 'start', s_.start, 'breaks', s_.breaks, 'register', {register('s_.text', fallback)}, 'n_words', {count_words('s_.text')}))"
 
-    def placed(raw: Column) -> Column:
-        return bind(running(F.transform(raw, F.length)), lambda starts: bind(running(F.transform(raw, lines)), lambda n: place(raw, starts, n)) if breaks else place(raw, starts, None))
 
-    found = bind(pieces(text), placed)
-    more = lambda s: [s["breaks"].alias("breaks")] if breaks else []
-    return F.transform(found, lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), register(s["text"], fallback).alias("register"), (count_words(s["text"]) if count else F.lit(0)).alias("n_words"), *more(s)))
+def n_sentences(text: str) -> str:
+    return f"size(filter({pieces(text)}, p_ -> {trimmed('p_')} != ''))"
 
 
-def n_sentences(text: Column) -> Column:
-    return F.size(F.filter(pieces(text), lambda p: trim(p) != ""))
-
-
-def paragraphs(text: Column) -> Column:
+def paragraphs(text: str) -> str:
     """Blocks between blank lines, with their start; each separator counts as two characters."""
+    placed = f"filter(transform(g_, (p_, i_) -> named_struct('text', p_, 'start', h_[i_])), s_ -> {trimmed('s_.text')} != '')"
+    return let("g_", parted(text, _BLANK), let("h_", running("transform(g_, p_ -> length(p_) + 2)"), placed))
 
-    def place(blocks: Column, starts: Column) -> Column:
-        made = F.transform(blocks, lambda p, i: F.struct(p.alias("text"), F.get(starts, i).alias("start")))
-        return F.filter(made, lambda s: trim(s["text"]) != "")
 
-    return bind(F.split(text, r"(?U)\n\s*\n"), lambda blocks: bind(running(F.transform(blocks, lambda p: F.length(p) + 2)), lambda starts: place(blocks, starts)))
+def content_words(text: str) -> str:
+    """Distinct words of prose or code that carry meaning."""
+    lower = f"transform(filter({parted(text, _HUMPS)}, p_ -> p_ RLIKE {quoted('^' + chr(92) + 'p{L}+$')}), p_ -> lower(p_))"
+    return f"array_distinct(filter({lower}, p_ -> length(p_) > 2 AND p_ NOT IN {among(words('weak'))}))"
 
 
-def strip_code(text: Column) -> Column:
+def strip_code(text: Column | str) -> Column:
     """Without fenced and indented code; links as their visible text."""
     out = F.regexp_replace(text, r"(?s)```.*?```", "\n")
     out = F.regexp_replace(out, r"(?s)~~~.*?~~~", "\n")
@@ -172,14 +155,7 @@ def strip_code(text: Column) -> Column:
     return F.regexp_replace(out, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
 
 
-def identifier_words(name: Column) -> Column:
+def identifier_words(name: Column | str) -> Column:
     """Parts of a snake, kebab or camel case name that are letters, in lower case."""
     parts = F.split(name, r"[_\-]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
     return F.transform(F.filter(parts, lambda p: p.rlike(r"^\p{L}+$")), F.lower)
-
-
-def content_words(text: Column) -> Column:
-    """Distinct words of prose or code that carry meaning."""
-    parts = F.split(text, r"(?U)[_\-\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-    lower = F.transform(F.filter(parts, lambda p: p.rlike(r"^\p{L}+$")), F.lower)
-    return F.array_distinct(F.filter(lower, lambda p: (F.length(p) > 2) & ~among(p, words("weak"))))

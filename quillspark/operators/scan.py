@@ -9,7 +9,7 @@ lines and excerpts come from the pieces between marks, in time linear in the tex
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +21,12 @@ from .catalogue import KINDS, NEAR_CODE, PROSE, Rule, filled, needles, rules
 FOLD_RULES = ("C-1", "C-2", "V-1", "V-6")
 ALL_RULES = tuple(dict.fromkeys([r.rule_id for r in rules().values()] + list(FOLD_RULES)))
 SEGMENT = "seg_id string, path string, line int, kind string, text string, line_offsets array<int>, register string, follows_code string"
-FOUND = "array<struct<key:string,start:int,hit:string,n:int,note:string,over_fail:boolean,breaks:int,excerpt:string>>"
 SHOWN = 400  # longest text that a report shows whole
 _CODE_LINE = r"(?U)&\w+;|&#\d+;|[){\]]\s*;|;\s*\z|^\s*;|:\s*\w+\s*;"
 _STANDARD = r"(?iU)\b(?:IEEE|ISO|PEP|RFC)[- ]?\d+\b|/licenses?/"
 _DATED = r"(?iU)\bv?\d+\.\d+|\bversion \d|\b(?:19|20)\d{2}\b"
 _FOLDS = ("\u017f", "\u0130", "\u0131")  # characters that match s or i though their lower case is another
-Limits = Callable[[Column], Column]
+Limits = Callable[[str], str]
 
 
 def _marked(rule: Rule) -> list[tuple[str, str]]:
@@ -40,19 +39,11 @@ def _marked(rule: Rule) -> list[tuple[str, str]]:
     return out
 
 
-def _breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def hits(marked: Column) -> Column:
-    """Array of (start, hit) of a text whose hits stand between OPEN and CLOSE."""
-
-    def build(parts: Column, starts: Column) -> Column:
-        one = lambda i: F.struct(F.get(starts, i).alias("start"), F.substring_index(F.get(parts, i), tx.CLOSE, 1).alias("hit"))
-        return F.transform(F.slice(F.sequence(F.lit(0), F.size(parts) - 1), 2, F.size(parts)), one)
-
-    lengths = lambda parts: F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
-    return tx.bind(F.split(marked, tx.OPEN), lambda parts: tx.bind(tx.running(lengths(parts)), lambda starts: build(parts, starts)))
+def hits(marked: str) -> str:
+    """SQL array of (start, hit) of a text whose hits stand between OPEN and CLOSE."""
+    starts = tx.running("transform(parts_, (p_, i_) -> length(p_) - CASE WHEN i_ > 0 THEN 1 ELSE 0 END)")
+    made = f"transform(slice(sequence(0, size(parts_) - 1), 2, size(parts_)), i_ -> named_struct('start', starts_[i_], 'hit', substring_index(parts_[i_], {tx.quoted(tx.CLOSE)}, 1)))"
+    return tx.let("parts_", f"split({marked}, {tx.quoted(tx.OPEN)})", tx.let("starts_", starts, made))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -60,7 +51,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     each begins, line breaks before it, and the text about it. A step each, so that nothing is worked
     out twice."""
     rows = rows.withColumn("_parts", F.split("_m", tx.OPEN)).withColumn("_plain", F.expr(f"transform(_parts, p -> replace(p, {tx.quoted(tx.CLOSE)}, ''))"))
-    rows = rows.withColumn("_starts", tx.running(F.expr("transform(_plain, p -> length(p))"))).withColumn("_breaks", tx.running(F.expr(r"transform(_plain, p -> length(p) - length(replace(p, '\n', '')))")))
+    rows = rows.withColumn("_starts", F.expr(tx.running("transform(_plain, p -> length(p))"))).withColumn("_breaks", F.expr(tx.running(f"transform(_plain, p -> {tx.breaks('p')})")))
     rows = rows.withColumn("_tails", F.expr("transform(_plain, p -> right(p, 45))")).withColumn("_heads", F.expr("transform(_plain, p -> left(p, 45))"))
     hit = f"substring_index(_parts[i], {tx.quoted(tx.CLOSE)}, 1)"
     before = "right(array_join(slice(_tails, greatest(i - 45, 0) + 1, least(i, 45)), ''), 45)"
@@ -70,26 +61,20 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.drop("_parts", "_starts", "_breaks", "_tails", "_heads")
 
 
-def _entry(key: Column | str, start: Column, hit: Column, excerpt: Column, breaks: Column | None = None, n: Column | None = None, note: Column | None = None, over: Column | None = None) -> Column:
-    return F.struct(
-        (F.lit(key) if isinstance(key, str) else key).alias("key"), start.cast("int").alias("start"), hit.alias("hit"), (F.lit(0) if n is None else n).cast("int").alias("n"),
-        (F.lit(None) if note is None else note).cast("string").alias("note"), (F.lit(False) if over is None else over).alias("over_fail"), (F.lit(0) if breaks is None else breaks).cast("int").alias("breaks"), tx.shorten(excerpt).alias("excerpt"),
+def _entry(key: str, start: str, hit: str, excerpt: str, breaks: str = "0", n: str = "0", note: str = "NULL", over: str = "false") -> str:
+    return (
+        f"named_struct('key', {key}, 'start', cast({start} AS int), 'hit', {hit}, 'n', cast({n} AS int), 'note', cast({note} AS string), "
+        f"'over_fail', {over}, 'breaks', cast({breaks} AS int), 'excerpt', {tx.shorten(excerpt)})"
     )
 
 
-def _semicolons(text: Column) -> Column:
+def _semicolons() -> str:
     """8.1, by lines: a line with a sign of code has no finding."""
-
-    def of_line(line: Column, start: Column, k: Column) -> Column:
-        parts = F.split(line, ";")
-        at = lambda lengths: F.transform(F.sequence(F.lit(1), F.size(lengths) - 2), lambda i: _entry("8.1", start + F.get(lengths, i) + i - 1, F.lit(";"), line, k))
-        return tx.bind(tx.running(F.transform(parts, F.length)), at)
-
-    def of_text(lines: Column, starts: Column) -> Column:
-        made = F.transform(lines, lambda x, k: F.when(x.contains(";") & ~x.rlike(_CODE_LINE), of_line(x, F.get(starts, k), k)))
-        return F.flatten(F.filter(made, lambda a: a.isNotNull()))
-
-    return tx.bind(F.split(text, "\n"), lambda lines: tx.bind(tx.running(F.transform(lines, lambda x: F.length(x) + 1)), lambda starts: of_text(lines, starts)))
+    entry = _entry("'8.1'", "ls_[k_] + ps_[j_] + j_ - 1", "';'", "x_", "k_")
+    of_line = tx.let("ps_", tx.running("transform(split(x_, ';'), y_ -> length(y_))"), f"transform(sequence(1, size(ps_) - 2), j_ -> {entry})")
+    made = f"transform(lines_, (x_, k_) -> CASE WHEN contains(x_, ';') AND NOT x_ RLIKE {tx.quoted(_CODE_LINE)} THEN {of_line} END)"
+    starts = tx.running("transform(lines_, x_ -> length(x_) + 1)")
+    return tx.let("lines_", f"split(_m, {tx.quoted(chr(10))})", tx.let("ls_", starts, f"flatten(filter({made}, a_ -> a_ IS NOT NULL))"))
 
 
 def _tried(wanted: set[str]) -> Column:
@@ -123,10 +108,13 @@ def _tried(wanted: set[str]) -> Column:
     return F.expr(f"filter(array({', '.join(made)}), e -> e.m IS NOT NULL)")
 
 
-def _first_each() -> Column:
-    """Of hits ``_h`` the first of each word."""
-    names = F.transform("_h", lambda h: F.lower(h["hit"]))
-    return tx.bind(names, lambda ns: F.transform(F.array_distinct(ns), lambda x: F.element_at("_h", F.array_position(ns, x).cast("int"))))
+def _pattern_entries() -> str:
+    """Findings of a pattern rule from its hits ``_h``; of 1.1 the first of each word, of A-8 the first of
+    three or more."""
+    first = tx.let("ns_", "transform(_h, h_ -> lower(h_.hit))", "transform(array_distinct(ns_), x_ -> element_at(_h, cast(array_position(ns_, x_) AS int)))")
+    kept = f"CASE _key WHEN '1.1' THEN {first} WHEN 'A-8' THEN slice(_h, 1, CASE WHEN size(_h) >= 3 THEN 1 ELSE 0 END) ELSE _h END"
+    excerpt = "CASE WHEN _key IN ('A-8', 'S-3') THEN array_join(_plain, '') WHEN _key = 'C-4' THEN h_.hit ELSE h_.around END"
+    return f"transform({kept}, h_ -> {_entry('_key', 'h_.start', 'h_.hit', excerpt, 'h_.breaks', 'size(_h)')})"
 
 
 def _simple_present(word: Column) -> Column:
@@ -136,47 +124,37 @@ def _simple_present(word: Column) -> Column:
 
 
 def sentence_rows(segments: DataFrame) -> DataFrame:
-    return segments.select("*", F.explode(tx.sentences(F.col("text"), F.col("register"))).alias("s"))
-
+    return segments.select("*", F.explode(F.expr(tx.sentences("text", "register"))).alias("s"))
 
-def single_limits(register: Column) -> Column:
-    """The specification's limits: struct (warn, fail)."""
-    one = F.when(register == "procedural", 20).otherwise(25)
-    return F.struct(one.alias("warn"), one.alias("fail"))
 
+def single_limits(register: str) -> str:
+    """The specification's limits: SQL struct (warn, fail) of a register."""
+    one = f"CASE WHEN {register} = 'procedural' THEN 20 ELSE 25 END"
+    return f"named_struct('warn', {one}, 'fail', {one})"
 
-def long_sentences(limits: Limits = single_limits) -> Column:
-    """C-1. ``limits``: struct (warn, fail) of a register, and of the row's other columns. The note is
-    what the sentence is, with the limit that it breaks; ``n`` its words."""
-    least = F.least(*(limits(F.lit(r))["warn"] for r in ("procedural", "descriptive")))
-    long = F.filter(tx.sentences(F.col("_m"), F.col("register"), breaks=True, over=least), lambda s: s["n_words"] > limits(s["register"])["warn"])
 
-    def one(s: Column) -> Column:
-        def told(limit: Column) -> Column:
-            over = s["n_words"] > limit["fail"]
-            what = F.when(s["register"] == "procedural", "instruction ").otherwise("sentence ")
-            return _entry("C-1", s["start"], s["text"], s["text"], s["breaks"], s["n_words"], F.concat(what, F.when(over, limit["fail"]).otherwise(limit["warn"]).cast("string")), over)
+def long_sentences(limits: Limits = single_limits) -> str:
+    """C-1. ``limits``: SQL struct (warn, fail) of a register, and of the row's other columns. The note
+    is what the sentence is, with the limit that it breaks; ``n`` its words."""
+    least = f"least(({limits(tx.quoted('procedural'))}).warn, ({limits(tx.quoted('descriptive'))}).warn)"
+    what = "CASE WHEN z_.register = 'procedural' THEN 'instruction ' ELSE 'sentence ' END"
+    note = f"concat({what}, cast(CASE WHEN z_.n_words > y_.fail THEN y_.fail ELSE y_.warn END AS string))"
+    entry = _entry("'C-1'", "z_.start", "z_.text", "z_.text", "z_.breaks", "z_.n_words", note, "z_.n_words > y_.fail")
+    told = tx.let("y_", limits("z_.register"), entry)
+    return f"transform(filter({tx.sentences('_m', 'register', least)}, z_ -> z_.n_words > ({limits('z_.register')}).warn), z_ -> {told})"
 
-        return tx.bind(limits(s["register"]), told)
 
-    return F.transform(long, one)
-
-
-def long_paragraphs() -> Column:
+def long_paragraphs() -> str:
     """C-2: more than six sentences in a paragraph; ``n`` tells how many."""
-    text = F.col("_m")
-    counted = F.transform(tx.paragraphs(text), lambda p: F.struct(p["text"].alias("text"), p["start"].alias("start"), tx.n_sentences(p["text"]).alias("n")))
-    return F.transform(F.filter(counted, lambda p: p["n"] > 6), lambda p: _entry("C-2", p["start"], p["text"], p["text"], _breaks(F.substr(text, F.lit(1), p["start"])), p["n"]))
+    counted = f"transform({tx.paragraphs('_m')}, y_ -> named_struct('text', y_.text, 'start', y_.start, 'n', {tx.n_sentences('y_.text')}))"
+    entry = _entry("'C-2'", "z_.start", "z_.text", "z_.text", tx.breaks("substr(_m, 1, z_.start)"), "z_.n")
+    return f"transform(filter({counted}, z_ -> z_.n > 6), z_ -> {entry})"
 
 
-def restating() -> Column:
+def restating() -> str:
     """V-1: at least 0.8 of two or more content words stand in the code below."""
-    text = F.col("_m")
-
-    def told(words: Column, code: Column) -> Column:
-        return F.when((F.size(words) >= 2) & (F.size(code) > 0) & (F.size(F.array_intersect(words, code)) / F.size(words) >= 0.8), F.array(_entry("V-1", F.lit(0), text, text)))
-
-    return tx.bind(tx.content_words(text), lambda w: tx.bind(tx.content_words(F.col("follows_code")), lambda c: told(w, c)))
+    told = f"CASE WHEN size(x_) >= 2 AND size(y_) > 0 AND size(array_intersect(x_, y_)) / size(x_) >= 0.8 THEN array({_entry(tx.quoted('V-1'), '0', '_m', '_m')}) END"
+    return tx.let("x_", tx.content_words("_m"), tx.let("y_", tx.content_words("follows_code"), told))
 
 
 _PARAMS = [  # whole line, name, type, description
@@ -186,19 +164,16 @@ _PARAMS = [  # whole line, name, type, description
 ]
 
 
-def empty_params(style: tuple) -> Column:
+def empty_params(style: tuple) -> str:
     """V-6, of the hits ``_h`` of a style: a parameter's description says no more than its name and
     type; the note is the name."""
+    part = lambda k: f"regexp_extract(h_.hit, {tx.quoted(style[0])}, {style[k]})" if style[k] else "''"
     cut = r"(?U)[_\-\W]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-
-    def told(h: Column) -> Column:
-        part = lambda k: F.regexp_extract(h["hit"], style[0], style[k]) if style[k] else F.lit("")
-        said = F.filter(F.array_distinct(F.split(F.lower(part(3)), "[^a-z]+")), lambda w: (w != "") & ~tx.among(w, words("param_filler")))
-        known = F.transform(F.filter(F.concat(F.split(part(1), cut), F.split(part(2), cut)), lambda w: w.rlike(r"^\p{L}+$")), F.lower)
-        empty = (part(1) != "") & (part(3) != "") & (F.size(F.array_except(said, known)) == 0)
-        return F.when(empty, _entry("V-6", h["start"], h["hit"], h["hit"], h["breaks"], note=part(1)))
-
-    return F.filter(F.transform("_h", told), lambda e: e.isNotNull())
+    said = f"filter(array_distinct({tx.parted(f'lower({part(3)})', '[^a-z]+')}), w_ -> w_ != '' AND w_ NOT IN {tx.among(words('param_filler'))})"
+    letters = tx.quoted(r"^\p{L}+$")
+    known = f"transform(filter(concat({tx.parted(part(1), cut)}, {tx.parted(part(2), cut)}), w_ -> w_ RLIKE {letters}), w_ -> lower(w_))"
+    empty = f"{part(1)} != '' AND {part(3)} != '' AND size(array_except({said}, {known})) = 0"
+    return f"filter(transform(_h, h_ -> CASE WHEN {empty} THEN {_entry(tx.quoted('V-6'), 'h_.start', 'h_.hit', 'h_.hit', 'h_.breaks', note=part(1))} END), e_ -> e_ IS NOT NULL)"
 
 
 def _told(rows: DataFrame) -> DataFrame:
@@ -257,23 +232,14 @@ def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: L
     # from here on the marked copy stands for the text
     rows = rows.select(*kept, "line_offsets", "follows_code", F.when(F.length(text) <= SHOWN, text).alias("shown"), tried.alias("_e"))
     rows = _placed(rows.select(*kept, "line_offsets", "follows_code", "shown", F.col("_e.key").alias("_key"), F.col("_e.m").alias("_m")))
-    key, whole = F.col("_key"), F.array_join("_plain", "")
-    found = F.when(key == "1.1", _first_each()).when(key == "A-8", F.slice("_h", 1, F.when(F.size("_h") >= 3, 1).otherwise(0))).otherwise(F.col("_h"))
-    excerpt = lambda h: F.when(key.isin("A-8", "S-3"), whole).when(key == "C-4", h["hit"]).otherwise(h["around"])
-    entries = F.transform(found, lambda h: _entry(key, h["start"], h["hit"], excerpt(h), h["breaks"], F.size("_h"))).cast(FOUND)
-    special = {"8.1": lambda: _semicolons(F.col("_m")), "C-1": lambda: long_sentences(limits), "C-2": long_paragraphs, "V-1": restating, **{f"V-6#{k}": (lambda s=s: empty_params(s)) for k, s in enumerate(_PARAMS)}}
-    for name, make in special.items():
-        if name.partition("#")[0] in wanted:
-            entries = F.when(key == name, make().cast(FOUND)).otherwise(entries)
+    special = {"8.1": _semicolons, "C-1": lambda: long_sentences(limits), "C-2": long_paragraphs, "V-1": restating, **{f"V-6#{k}": partial(empty_params, s) for k, s in enumerate(_PARAMS)}}
+    cases = [f"WHEN {tx.quoted(name)} THEN {make()}" for name, make in special.items() if name.partition("#")[0] in wanted]
+    entries = F.expr(f"CASE _key {' '.join(cases)} ELSE {_pattern_entries()} END" if cases else _pattern_entries())
     rows = rows.select(*kept, "line_offsets", "shown", F.explode(entries).alias("_f"))
-    keep = F.lit(True)
-    for key, rule in rules().items():
-        if rule.exempt and rule.rule_id in wanted:
-            word = F.lower(F.regexp_extract("_f.hit", f"(?U){rule.word}", 1))
-            keep = keep & ~((F.col("_f.key") == key) & tx.among(word, rule.exempt))
+    kept_out = [f"(_f.key = {tx.quoted(k)} AND lower(regexp_extract(_f.hit, {tx.quoted(f'(?U){r.word}')}, 1)) IN {tx.among(r.exempt)})" for k, r in rules().items() if r.exempt and r.rule_id in wanted]
     if "S-3" in wanted:
-        keep = keep & ~((F.col("_f.key") == "S-3") & F.col("_f.hit").rlike(_STANDARD))
-    rows = _told(rows.where(keep))
+        kept_out.append(f"(_f.key = 'S-3' AND _f.hit RLIKE {tx.quoted(_STANDARD)})")
+    rows = _told(rows.where(f"NOT ({' OR '.join(kept_out)})") if kept_out else rows)
     listed = F.element_at("line_offsets", F.least(F.col("breaks"), F.size("line_offsets") - 1) + 1)
     line = F.when(F.coalesce(F.size("line_offsets"), F.lit(0)) > 0, listed).otherwise(F.col("line") + F.col("breaks"))
     rows = rows.withColumn("line", line).withColumn("stop", F.col("start") + F.length("hit"))

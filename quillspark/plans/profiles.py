@@ -207,20 +207,19 @@ def resolved_rules(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame(rows, "profile string, rule_id string, hard boolean, override string")
 
 
-def limits(config: Config) -> Callable[[Column], Column]:
-    """Of a register, in a row with ``profile`` and ``kind``, the struct (warn, fail)."""
-    tier = F.when(F.col("kind").isin(*ROOMY_KINDS), "prose").otherwise("code")
-    merged = [(name, t, w, f) for name in used_profiles(config) if PROFILES[name].tiers is not None for t, (w, f) in (PROFILES[name].tiers | config.sentence_tiers).items()]
-
-    def of(register: Column) -> Column:
-        warn = fail = F.when(register == "procedural", config.max_procedural_words or 20).otherwise(config.max_descriptive_words or 25)
-        for pair in sorted({(w, f) for _, _, w, f in merged}):
-            at = F.lit(False)
-            for t in BASE_TIERS:
-                names = [n for n, own, w, f in merged if own == t and (w, f) == pair]
-                if names:
-                    at = at | (F.col("profile").isin(*names) & (tier == t))
-            warn, fail = F.when(at, pair[0]).otherwise(warn), F.when(at, pair[1]).otherwise(fail)
-        return F.struct(warn.cast("int").alias("warn"), fail.cast("int").alias("fail"))
+def limits(config: Config) -> Callable[[str], str]:
+    """Of a register, in a row with ``profile`` and ``kind``, the SQL struct (warn, fail)."""
+    roomy = ", ".join(f"'{k}'" for k in ROOMY_KINDS)
+    tier = f"CASE WHEN kind IN ({roomy}) THEN 'prose' ELSE 'code' END"
+    merged = {(name, t): pair for name in used_profiles(config) if PROFILES[name].tiers is not None for t, pair in (PROFILES[name].tiers | config.sentence_tiers).items()}
+    cases = []
+    for pair in sorted(set(merged.values())):
+        keys = ", ".join(f"'{n}/{t}'" for (n, t), p in merged.items() if p == pair)
+        cases.append(f"WHEN concat(profile, '/', {tier}) IN ({keys}) THEN named_struct('warn', {pair[0]}, 'fail', {pair[1]})")
+
+    def of(register: str) -> str:
+        one = f"CASE WHEN {register} = 'procedural' THEN {int(config.max_procedural_words or 20)} ELSE {int(config.max_descriptive_words or 25)} END"
+        single = f"named_struct('warn', {one}, 'fail', {one})"
+        return f"CASE {' '.join(cases)} ELSE {single} END" if cases else single
 
     return of

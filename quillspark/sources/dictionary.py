@@ -52,10 +52,10 @@ def rejected_words(segments: DataFrame, vocabulary: DataFrame) -> DataFrame:
     segment: seg_id, word, start, suggestion."""
     token = r"[A-Za-z][A-Za-z'-]*"
     kinds = (*PROSE, "string", "commit")
-    marked = F.regexp_replace(tx.clean(F.col("text")), token, f"{tx.OPEN}$0{tx.CLOSE}")
+    marked = tx.sub(f"translate(text, {tx.quoted(tx.OPEN + tx.CLOSE + tx.DOT)}, '   ')", token, f"{tx.OPEN}$0{tx.CLOSE}")
     from ..operators.scan import hits
 
-    rows = segments.where(F.col("kind").isin(*kinds)).select("seg_id", F.explode(hits(marked)).alias("h")).where(F.length("h.hit") >= 3)
+    rows = segments.where(F.col("kind").isin(*kinds)).select("seg_id", F.explode(F.expr(hits(marked))).alias("h")).where(F.length("h.hit") >= 3)
     first = rows.groupBy("seg_id", F.lower("h.hit").alias("word")).agg(F.min("h.start").alias("start"))
     short = F.array_join(F.transform(F.slice("alternatives", 1, 3), lambda a: F.substring_index(a, " (", 1)), ", ")
     return first.join(vocabulary.where("size(alternatives) > 0").select("word", "alternatives"), "word").select("seg_id", "word", "start", F.concat(F.lit("Use "), short, F.lit(".")).alias("suggestion"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,14 +95,24 @@ def path_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_segments(spark, sf_dir).groupBy(profiles.profile_of(F.col("path"), config).alias("profile")).agg(F.count("*").alias("n"))
 
 
+_KNOWN = ("C-3", "4.2", "A-2", "3.5")
+
+
 def baseline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the fixture against a baseline of every other rule."""
+    """Findings of all documents against a baseline of four rules."""
     config = profiles.Config(profile="ste", default_paths=False, scopes=scan.KINDS)
-    found = lint.lint(fixture_segments(spark), config).findings
-    known = lint.write_baseline(found.where(F.col("rule_id").isin("C-3", "4.2", "A-2")))
+    segs = segments(spark, sf_dir)
+    found = lint.lint(segs, config).findings
+    known = lint.write_baseline(lint.lint(segs, replace(config, disable=frozenset(scan.ALL_RULES) - frozenset(_KNOWN))).findings)
     return lint.apply_baseline(found, known).groupBy("rule_id", "severity", "in_baseline").agg(F.count("*").alias("n"))
 
 
+def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight most frequent rules of a report's summary."""
+    config = profiles.Config(profile="ste", default_paths=False, scopes=scan.KINDS)
+    return lint.top_rules(lint.lint(segments(spark, sf_dir), config).findings)
+
+
 def judged_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = judge.judge(segments(spark, sf_dir), judge.mock_model, limit=None)
     return found.select("rule_id", "severity", "seg_id", "excerpt")
@@ -148,6 +159,7 @@ QUERIES: dict[str, Query] = {
     "rules_by_section": rules_by_section,
     "profile_sizes": profile_sizes,
     "baseline_roundtrip": baseline_roundtrip,
+    "top_rules": top_rules,
     "judged_mock": judged_mock,
     "page_strings": page_strings,
     "markdown_segments": markdown_segments,
@@ -159,10 +171,19 @@ def _count(parts: list[str]) -> str:
     return f"(SELECT seg_id, count(*) AS k FROM ({' UNION ALL '.join(parts)}) GROUP BY seg_id)"
 
 
-ORACLES: dict[str, str] = {
-    "flagship": sql.severity_sql(set(profiles.PROFILES["ste"].hard), _PATTERN_RULES)
+_FLAGSHIP = (
+    sql.severity_sql(set(profiles.PROFILES["ste"].hard), _PATTERN_RULES)
     + f" UNION ALL SELECT 'C-1', CASE WHEN kind IN ('identifier', 'commit') THEN 'soft' ELSE 'hard' END, count(*) FROM ({sql.C1}) JOIN (WITH {sql.SEG} SELECT seg_id, kind FROM seg) USING (seg_id) GROUP BY ALL"
-    + f" UNION ALL SELECT 'C-2', 'hard', count(*) FROM ({sql.C2}) GROUP BY ALL",
+    + f" UNION ALL SELECT 'C-2', 'hard', count(*) FROM ({sql.C2}) GROUP BY ALL"
+)
+_ASKED = profiles.Config(scopes=("pr_description",))
+ORACLES: dict[str, str] = {
+    "flagship": _FLAGSHIP,
+    "top_rules": f"SELECT rule_id, sum(n)::BIGINT AS n FROM ({_FLAGSHIP}) GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 8",
+    "baseline_roundtrip": f"SELECT rule_id, CASE WHEN rule_id IN {sql.listed(_KNOWN)} THEN 'soft' ELSE severity END AS severity, rule_id IN {sql.listed(_KNOWN)} AS in_baseline, sum(n)::BIGINT AS n FROM ({_FLAGSHIP}) GROUP BY ALL",
+    "markdown_segments": sql.MARKDOWN,
+    "feature_vectors": sql.FEATURES,
+    "conversation_findings": sql.conversation_sql([r for r in scan.ALL_RULES if r not in profiles.disabled("code", _ASKED)], set(profiles.PROFILES["code"].hard)),
     **{_name(r): sql.rule_sql(r) for r in _PATTERN_RULES},
     "rule_c_1": sql.C1,
     "rule_c_2": sql.C2,

@@ -132,7 +132,7 @@ k AS (SELECT *, [w for w in string_split_regex(lower(said), '[^a-z]+') if w != '
     return None
 
 
-def rule_sql(rule_id: str) -> str:
+def rule_sql(rule_id: str, base: str = DOCS, told_too: bool = True) -> str:
     """seg_id, start and length of each finding of a rule: in the documents by its patterns, in the
     fixture as written down."""
     special = _special(rule_id)
@@ -146,9 +146,10 @@ def rule_sql(rule_id: str) -> str:
                 ctes.append(_hits(f"h{k}", _re2(p), p.groups, column="text" if own else "m", fold=p.fold))
                 picks.append(f"SELECT seg_id, start, length(hit) AS length FROM h{k} WHERE {_kinds(rule)} AND {_exempt(rule)}")
                 k += 1
-    told = ", ".join(f"({q(s)}, {a}::BIGINT, {n}::BIGINT)" for s, a, n in expected(rule_id))
-    picks.append(f"SELECT * FROM (VALUES {told}) AS told(seg_id, start, length)")
-    return f"WITH {DOCS},\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(picks)
+    if told_too:
+        told = ", ".join(f"({q(s)}, {a}::BIGINT, {n}::BIGINT)" for s, a, n in expected(rule_id))
+        picks.append(f"SELECT * FROM (VALUES {told}) AS told(seg_id, start, length)")
+    return f"WITH {base},\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(picks)
 
 
 def _pieces(source: str, column: str) -> str:
@@ -185,3 +186,64 @@ def severity_sql(hard: set[str], rule_ids: list[str]) -> str:
     """Counts by rule under the strict profile, from the SQL of each rule."""
     parts = [f"SELECT '{r}' AS rule_id, kind FROM ({rule_sql(r)}) JOIN ({'WITH ' + SEG} SELECT seg_id, kind FROM seg) USING (seg_id)" for r in rule_ids]
     return f"SELECT rule_id, CASE WHEN kind NOT IN ('identifier', 'commit') AND rule_id IN {listed(sorted(hard))} THEN 'hard' ELSE 'soft' END AS severity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+def markdown_sql(source: str) -> str:
+    """CTEs up to ``md`` (id, k, line, text): Markdown segments of ``source`` (id, text), as gaps and
+    islands of lines."""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    tick = "```"
+    return rf"""src AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s){tick}.*?{tick}', chr(10), 'g'), '(?s)~~~.*?~~~', chr(10), 'g'), '(?m)^(?:\t| {{4}})\S.*$', '', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM {source}),
+ln AS (SELECT id, generate_subscripts(string_split(t, chr(10)), 1) AS n, unnest(string_split(t, chr(10))) AS raw FROM src),
+kd AS (SELECT *, CASE WHEN regexp_full_match(raw, '\s*') OR regexp_matches(raw, '^\s*\|.*\|\s*$') OR regexp_matches(raw, '^\s*(?:!?\[[^\]]*\]\([^)]*\)\s*)+$') THEN 'cut'
+  WHEN regexp_matches(raw, '^\s{{0,3}}#{{1,6}}\s+') THEN 'head' WHEN regexp_matches(raw, '^\s*(?:\d+[.)]|[-+*])\s+') THEN 'item' ELSE 'text' END AS w FROM ln),
+nx AS (SELECT *, w = 'text' AND coalesce(lag(w) OVER (PARTITION BY id ORDER BY n) = 'text', false) AS goes_on FROM kd),
+gr AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS g FROM nx),
+bd AS (SELECT id, min(n) AS line, CASE first(w) WHEN 'head' THEN {strip(f"rtrim({strip(chr(114) + 'egexp_extract(first(raw), ' + q('^' + chr(92) + 's{0,3}#{1,6}' + chr(92) + 's+(.*)$') + ', 1)')}, '#')")}
+  WHEN 'item' THEN {strip(f"regexp_extract(first(raw), {q('^' + chr(92) + 's*(?:' + chr(92) + 'd+[.)]|[-+*])' + chr(92) + 's+(.*)$')}, 1)")} ELSE {strip(f"string_agg({strip('raw')}, chr(10) ORDER BY n)")} END AS text FROM gr WHERE w != 'cut' GROUP BY id, g),
+md AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY line) - 1 AS k, line, text FROM bd WHERE length(text) >= 12 AND len(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+')) >= 3)"""
+
+
+MARKDOWN = f"""WITH {markdown_sql("(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)")}
+SELECT 'd' || id || '.md#' || k AS seg_id, line::INTEGER AS line, 'markdown' AS kind, text FROM md"""
+
+_TURNS = rf"""seg AS (WITH {markdown_sql("(SELECT conv_id || '-' || turn || '-' || role AS id, text FROM conversations WHERE text IS NOT NULL AND trim(text) != '')")}
+  SELECT id || '#' || k AS seg_id, 'pr_description' AS kind, text, NULL::VARCHAR AS follows_code FROM md),
+masked AS (SELECT *, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{{L}}]', '~', 'g'), '[^\x00-\x7F]', '_', 'g') AS m FROM seg)"""
+
+
+def conversation_sql(rule_ids: list[str], hard: set[str]) -> str:
+    """Findings of change descriptions under a profile: counts by role, rule and severity."""
+    parts = [f"SELECT seg_id, '{r}' AS rule_id, {str(r in hard).lower()} AS hard FROM ({rule_sql(r, _TURNS, False)})" for r in rule_ids if r not in ("C-1", "C-2")]
+    sentences, paragraphs = SENTENCES.replace(SEG, _TURNS), C2.replace(SEG, _TURNS)
+    parts.append(f"SELECT seg_id, 'C-1', n_words > 40 FROM (WITH {sentences} SELECT seg_id, n_words FROM counted WHERE n_words > 30)")
+    parts.append(f"SELECT seg_id, 'C-2', {str('C-2' in hard).lower()} FROM ({paragraphs})")
+    return f"""SELECT split_part(split_part(seg_id, '#', 1), '-', -1) AS role, rule_id, CASE WHEN hard THEN 'hard' ELSE 'soft' END AS severity, count(*) AS n
+FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"""
+
+
+_HEDGES = "rather|quite|fairly|relatively|somewhat|perhaps|potentially|possibly|often|usually|generally|typically|should|could|might|may"
+_ABSTRACTS = "ism|hood|ship|ness|ity|ence|ance|ment|sion|tion"
+_LINKS = "accordingly|nonetheless|nevertheless|hence|thus|consequently|additionally|furthermore|moreover|therefore|however"
+
+
+def _overlap(column: str) -> str:
+    return f"list_distinct([lower(w) for w in string_split_regex(regexp_replace({column}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+') if regexp_full_match(w, '[A-Za-z]{{3,}}')])"
+
+
+_WHOLE = "[t for t in [regexp_replace(x, '^[^\\w(\\[\"''`%]+|[^\\w)\\]\"''`%]+$', '', 'g') for x in string_split_regex(regexp_replace(regexp_replace(m, '\\([^()]*\\)', ' paren ', 'g'), '\"[^\"]*\"|''[^'']{2,}''|`[^`]*`', ' quote ', 'g'), '\\s+')] if t != '']"
+FEATURES = f"""WITH {SENTENCES},
+per AS (SELECT seg_id, count(*) AS k, max(n_words) AS longest FROM counted GROUP BY seg_id),
+whole AS (SELECT *, {_WHOLE} AS tk FROM masked),
+merged AS (SELECT *, len([i for i in range(1, len(tk)) if regexp_full_match(tk[i], '[+-]?\\d[\\d,]*(\\.\\d+)?') AND rtrim(lower(tk[i + 1]), '.,') IN {listed(words('units'))}]) AS pairs FROM whole),
+base AS (SELECT *, greatest(len(tk) - pairs, 1)::DOUBLE AS n, coalesce(follows_code, '') != '' AS coded, len([w for w in string_split_regex(coalesce(follows_code, ''), '\\s+') if w != '']) AS code, {_overlap('text')} AS own, {_overlap("coalesce(follows_code, '')")} AS other FROM merged)
+SELECT b.seg_id, len(regexp_extract_all(m, '(?i)\\b\\w+(?:{_ABSTRACTS})\\b')) / n AS abstract_noun_rate,
+  CASE WHEN coded AND len(own) > 0 THEN len(list_intersect(own, other)) / len(own)::DOUBLE ELSE 0.0 END AS code_overlap,
+  (length(m) - length(replace(m, ',', ''))) / n AS comma_rate,
+  CASE WHEN coded AND code > 0 THEN n / code ELSE 0.0 END AS comment_to_code_ratio,
+  len(regexp_extract_all(m, '(?i)\\b(?:{_LINKS})\\b')) / n AS connective_rate,
+  len(regexp_extract_all(m, '(?i)\\b(?:{_HEDGES})\\b')) / n AS hedge_rate,
+  coalesce(longest, 0)::DOUBLE AS max_sentence_words, n / greatest(coalesce(k, 0), 1)::DOUBLE AS mean_sentence_words,
+  (coalesce(list_sum([length(x) for x in tk]), 0) + pairs) / n AS mean_word_length,
+  greatest(coalesce(k, 0), 1)::DOUBLE AS sentence_count, n AS word_count
+FROM base b LEFT JOIN per USING (seg_id)"""

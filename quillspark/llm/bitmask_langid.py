@@ -143,6 +143,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = DOCS_PER_LANG) -> LangM
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = ids.withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select("doc_id", F.col("lang").alias("_lang")).distinct()
+    picked = stored(picked, "picked")  # its size is known from here on, so Spark broadcasts it while it is small
     sample = docs.join(picked, (docs["doc_id"] == picked["doc_id"]) & (docs["lang"] == F.col("_lang"))).select("_lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = DOCS_PER_LANG) -> LangM
     for r in set_bits.groupBy("lang").agg(F.collect_list("word").alias("words"), F.collect_list("bits").alias("bits")).collect():
         mask = np.array(r.bits, np.int64).view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
         hits[r.lang].reshape(-1, 64)[np.array(r.words, np.int64)] = mask.astype(bool)
-    dropped(known)
+    dropped(known, picked)
     langs = sorted(counts)
     return build(langs, [hits[x] for x in langs], [counts[x] for x in langs], bits)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import math
 import shutil
 import tempfile
 import uuid
@@ -19,8 +20,7 @@ from . import textscan as ts
 
 HEAVY_MOST = 10_000  # most keys that can have over 1/HEAVY_MOST of all rows; bounds what is broadcast
 WAYS_MOST = 256
-MERGE_WAYS = 256  # groups in which the pages of all tasks are merged, before those are merged
-BITS_LEAST, BITS_MOST = 20, 30  # slots of a bitmap: 128 kB to 128 MB, eight a key in between
+BITS_LEAST, BITS_MOST = 23, 30  # slots of a bitmap: 1 MB to 128 MB, 32 a key in between
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -69,7 +69,7 @@ def release(spark: SparkSession) -> None:
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], copies: str, total: int, spread: Column) -> DataFrame:
-    """Inner join of ``big`` with ``small``, which has each key once and in ``copies`` how many rows of
+    """Inner join of ``big`` with ``small``, a stored table (it is read twice) which has each key once and in ``copies`` how many rows of
     ``big`` (``total`` in all) have it. Keys with over 1/HEAVY_MOST of all rows are split by
     ``spread``; there are at most HEAVY_MOST of them, and only those are broadcast."""
     limit = max(1000, total // HEAVY_MOST + 1)
@@ -108,7 +108,8 @@ def merged_pages(pages: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.n
             out = one.copy() if out is None else fold(out, one)
         return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    some = pages.withColumn("way", F.pmod(F.xxhash64("data"), F.lit(MERGE_WAYS)).cast("int")).groupBy("page", "way").applyInArrow(merge, "page int, data binary")
+    ways = math.isqrt(partitions(pages.sparkSession)) + 1
+    some = pages.withColumn("way", F.pmod(F.xxhash64("data"), F.lit(ways)).cast("int")).groupBy("page", "way").applyInArrow(merge, "page int, data binary")
     return some.groupBy("page").applyInArrow(merge, "page int, data binary")
 
 
@@ -120,7 +121,7 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """Packed bitmap of the values of a long column, sized by their number within the bounds. It only
     spares work: where it fills up, more rows than needed go on."""
     n = keys.count()
-    bits = min(BITS_MOST, max(BITS_LEAST, int(8 * n).bit_length()))
+    bits = min(BITS_MOST, max(BITS_LEAST, int(32 * n).bit_length()))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}

@@ -72,11 +72,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        low = stored(low, "low")
         large = salted_join(both.where("v > u"), low, ["u"], "n", n[0], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         small = salted_join(large, least, ["u"], "n", n[0], F.col("v")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         merged = small.unionByName(least.select("u", F.col("m").alias("v")))
         before, now = now, stored(merged.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-        dropped(before)
+        dropped(before, low, large, least)
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

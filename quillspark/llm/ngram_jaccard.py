@@ -59,7 +59,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "data"])
         if kind is not None:
-            pages = [(p, x) for p, x in enumerate(counts.astype("<i8").reshape(PAGES, -1)) if x.any()]
+            pages = [(p, x) for p, x in enumerate(counts.astype("<u4").reshape(PAGES, -1)) if x.any()]
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "data"])
 
@@ -73,11 +73,11 @@ def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
 
     def hot_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<i8") > least).tobytes() for x in batch.column(1)]
+            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u4") > least).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["page", "bits"])
 
     bits = np.zeros(1 << pe.HOT_BITS, bool).reshape(PAGES, -1)
-    counts = merged_pages(profile.where("page is not null").select("page", "data"), np.add, "<i8")
+    counts = merged_pages(profile.where("page is not null").select("page", "data"), np.add, "<u4")
     for r in counts.mapInArrow(hot_bits, "page int, bits binary").collect():  # 1 MB in all
         bits[r.page] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     return np.packbits(bits.reshape(-1))
@@ -352,6 +352,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     grouped = components(pairs)
     grouped = grouped.unionByName(alike.join(grouped, "node", "left_anti"))
     per_root = grouped.groupBy("root").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int"))
+    grouped, per_root = stored(grouped, "grouped"), stored(per_root, "roots")
     parted = salted_join(grouped, per_root, ["root"], "n", grouped.count(), F.col("node")).withColumn("part", F.when(F.col("parts") <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     parted = stored(parted.select(F.col("node").alias("id"), "root", "part"), "parted")
     # blocks that hold a candidate pair; a component of up to BLOCK sets is one block
@@ -368,7 +369,7 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     links = members.groupBy("root", "lo", "hi").applyInArrow(_check_block, "a1 long, a2 long, b1 long, b2 long")
     links = stored(links, "links")
     del sets, members
-    dropped(pairs, parted, places)
+    dropped(pairs, grouped, per_root, parted, places)
     release(spark)
     side = lambda x: keys.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("node").alias(x), F.col("copies").alias(f"{x}_copies"))
     joined = stored(links.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "a_copies", "b_copies"), "joined")
@@ -378,6 +379,8 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     full = keys.join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
     full = full.join(least, "root").select("k1", "k2", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
+    full = stored(full, "sets")
+    dropped(joined)
     out = salted_join(rows.where("n > 0"), full, ["k1", "k2"], "copies", size[0], F.col("rid")).select("own_id", "n", "n_similar", "component_id", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("set_key"), "rid")
     alone = rows.where("n = 0").select("own_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("own_id").alias("component_id"), F.lit(None).cast("string").alias("set_key"), "rid")
     both = out.unionByName(alone)

@@ -166,7 +166,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     full = nodes.join(degree, "node", "left").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
     full = full.join(least, "root").select("label", "vector", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    full = full.withColumnRenamed("n_links", "_links")
+    full = stored(full.withColumnRenamed("n_links", "_links"), "linked")
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     out = salted_join(usable, full, ["label", "vector"], "copies", total, F.col("rid")).select("own_id", F.col("_links").alias("n_links"), "component_id")
     alone = own.where("not good").select("own_id", F.lit(0).cast("long").alias("n_links"), F.col("own_id").alias("component_id"))

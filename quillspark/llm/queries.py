@@ -37,6 +37,48 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score(docs, model)
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op3 alone, which SQL can state."""
+    scored = line_quality.score(documents(spark, sf_dir), line_quality.DEFAULT)
+    return scored.select("doc_id", *line_quality.STATS, "base_failed")
+
+
+def pii_base_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op7 alone, as their texts, which SQL can state."""
+    docs = documents(spark, sf_dir).select(F.struct("doc_id", "text").alias("row"), "text")
+    found = semicrf_pii.find(docs, id_col="row").select("row.doc_id", F.col("row.text").alias("text"), "base")
+    shown = F.array_join(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.substr("text", (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "|")
+    return found.select("doc_id", F.size("base").cast("long").alias("n_base"), shown.alias("found"))
+
+
+QUALITY_BASE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS line FROM w),
+again AS (SELECT doc_id FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1),
+dup AS (SELECT doc_id, count(*) AS n FROM again GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+       coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)
+"""
+PII_BASE = r"""
+WITH m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+         regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS cards, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phones
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+good AS (
+  SELECT doc_id, ['email:' || x for x in emails] AS e,
+         ['ip:' || x for x in ips if len([p for p in string_split(x, '.') if length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) > 255]) = 0] AS i,
+         ['card:' || c[1] for c in [[x, regexp_replace(x, '[^0-9]', '', 'g')] for x in cards] if length(c[2]) BETWEEN 16 AND 19
+           AND list_sum([CASE WHEN (length(c[2]) - k) % 2 = 0 THEN c[2][k]::INTEGER WHEN c[2][k]::INTEGER > 4 THEN 2 * c[2][k]::INTEGER - 9 ELSE 2 * c[2][k]::INTEGER END for k in range(1, length(c[2]) + 1)]) % 10 = 0] AS c,
+         ['phone:' || x for x in phones if length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15] AS p
+  FROM m)
+SELECT doc_id, (len(e) + len(i) + len(c) + len(p))::BIGINT AS n_base, array_to_string(list_concat(list_concat(e, i), list_concat(c, p)), '|') AS found FROM good
+"""
+
+
 def op4_chunked_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return bpe_digests(chunked_bpe.encode(documents(spark, sf_dir), path or tokenizer_path()))
 
@@ -99,10 +141,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_crf": op3_line_crf,
     "op6_subword_quality": op6_subword_quality,
     "op8_bitmask_langid": op8_bitmask_langid,
+    "quality_base_counts": quality_base_counts,
+    "pii_base_matches": pii_base_matches,
 }
 ORACLES: dict[str, str] = {
     "op1_tool_calls": tool_calls.ORACLE,
     "op2_ngram_jaccard": ngram_jaccard.ORACLE,
     "op5_poisson_mix": poisson_mix.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "quality_base_counts": QUALITY_BASE,
+    "pii_base_matches": PII_BASE,
 }

@@ -97,20 +97,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def merged_pages(pages: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
-    """Rows (page, data), zlib of arrays of one ``kind`` and length, folded by page in two steps, so no
-    task gets a row of every task."""
+def merged_pages(pages: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str, wide: str) -> DataFrame:
+    """Rows (page, data), zlib of arrays of one ``kind`` and length, folded by page to arrays of kind
+    ``wide`` in two steps, so no task gets a row of every task."""
 
-    def merge(key, table):  # no hints: Spark reads them
-        out = None
-        for x in table["data"]:
-            one = np.frombuffer(zlib.decompress(x.as_py()), kind)
-            out = one.copy() if out is None else fold(out, one)
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+    def merge(read: str):
+        def run(key, table):  # no hints: Spark reads them
+            out = None
+            for x in table["data"]:
+                one = np.frombuffer(zlib.decompress(x.as_py()), read).astype(wide)
+                out = one if out is None else fold(out, one)
+            return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+        return run
 
     ways = math.isqrt(partitions(pages.sparkSession)) + 1
-    some = pages.withColumn("way", F.pmod(F.xxhash64("data"), F.lit(ways)).cast("int")).groupBy("page", "way").applyInArrow(merge, "page int, data binary")
-    return some.groupBy("page").applyInArrow(merge, "page int, data binary")
+    some = pages.withColumn("way", F.pmod(F.xxhash64("data"), F.lit(ways)).cast("int")).groupBy("page", "way").applyInArrow(merge(kind), "page int, data binary")
+    return some.groupBy("page").applyInArrow(merge(wide), "page int, data binary")
 
 
 def slots(values: np.ndarray, bits: int) -> np.ndarray:
@@ -134,7 +137,7 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     pages = keys.select(column).mapInArrow(fold, "page int, data binary")
-    for r in merged_pages(pages, np.bitwise_or, "u1").toLocalIterator():
+    for r in merged_pages(pages, np.bitwise_or, "u1", "u1").toLocalIterator():
         out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(zlib.decompress(r.data), np.uint8)
     return out
 

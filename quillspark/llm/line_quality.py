@@ -112,7 +112,7 @@ def analyse(b: ts.Block, known: np.ndarray = DEFAULT.known) -> Lines:
     cut[b.bounds] = True
     cut[np.flatnonzero(data == 10) + 1] = True
     starts = np.flatnonzero(cut)[:-1]
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], len(data))[: len(starts)]  # none where all texts are empty
     if len(ends):
         ends = ends - (data[ends - 1] == 10)
     line_words = np.searchsorted(b.starts, ends) - (first := np.searchsorted(b.starts, starts))

@@ -35,7 +35,7 @@ PAGES = 64
 HOT_EXTRA = 16  # a shingle is hot this far (and 4 standard deviations) above the mean of a slot
 BLOCK = 1024
 NO_SIZE = 65535
-_FLUSH = 3_000_000
+_FLUSH = 1_500_000
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def _profile(docs: DataFrame) -> DataFrame:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "data"])
         if kind is not None:
-            pages = [(p, x) for p, x in enumerate(counts.astype("<u4").reshape(PAGES, -1)) if x.any()]
+            small = np.minimum(counts, 255, out=counts).astype(np.uint8)  # of one task; sums over tasks are whole
+            pages = [(p, x) for p, x in enumerate(small.reshape(PAGES, -1)) if x.any()]
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "data"])
 
@@ -77,7 +78,7 @@ def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["page", "bits"])
 
     bits = np.zeros(1 << pe.HOT_BITS, bool).reshape(PAGES, -1)
-    counts = merged_pages(profile.where("page is not null").select("page", "data"), np.add, "<u4")
+    counts = merged_pages(profile.where("page is not null").select("page", "data"), np.add, "u1", "<u4")
     for r in counts.mapInArrow(hot_bits, "page int, bits binary").collect():  # 1 MB in all
         bits[r.page] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     return np.packbits(bits.reshape(-1))
@@ -298,7 +299,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     keep = many[column]
     column, owner = (np.cumsum(many) - 1)[column[keep]], owner[keep]
     out = np.zeros((n, n), np.float64)
-    step = 8192
+    step = 4096
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         x, y = np.searchsorted(column, [lo, lo + step])
         m = np.zeros((n, step), np.float32)
@@ -309,8 +310,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _check_block(key, table):  # no hints: Spark reads them
     """Exact links among the sets of one block pair; a pair within one part counts in one block."""
-    ordinal = np.array(table["part"].to_pylist())
-    k1, k2 = np.array(table["k1"].to_pylist(), np.int64), np.array(table["k2"].to_pylist(), np.int64)
+    ordinal, k1, k2 = (table[c].to_numpy() for c in ("part", "k1", "k2"))
     sets = [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
     lo, hi = key[1].as_py(), key[2].as_py()
     n = np.array([len(s) for s in sets])
@@ -342,7 +342,9 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     plain = lambda x: x.asDict(True) if isinstance(x, Row) else x  # noqa: E731  # as Arrow gives it
     heavy = {(r.k1, r.k2): plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "k2", "least_id").collect()}
     n = partitions(spark)
-    postings = _postings(own, _hot(profile, size[1] or 0), heavy, n)
+    hot = _hot(profile, size[1] or 0)
+    release(spark)
+    postings = _postings(own, hot, heavy, n)
     pairs = postings.repartitionById(n, "bucket").mapInArrow(_pairs_of_bucket, "a long, blob binary")
     pairs = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b long")
     pairs = stored(pairs.unionByName(same_short(keys)), "candidates")

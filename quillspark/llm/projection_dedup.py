@@ -94,10 +94,8 @@ def _block(x: np.ndarray, y: np.ndarray, same: bool, window: float, needed: int)
 def _cells(key, table):  # no hints: Spark reads them
     """Links within one block pair of a cell."""
     turn, lo, hi = key[2].as_py(), key[4].as_py(), key[5].as_py()
-    part = np.array(table["part"].to_pylist())
-    node = np.array(table["node"].to_pylist(), np.int64)
-    codes = np.array(table["codes"].to_pylist(), np.int64).reshape(len(node), -1)
-    raw = np.array(table["vector"].to_pylist(), np.float64).reshape(len(node), -1)
+    part, node, copies = (table[c].to_numpy() for c in ("part", "node", "copies"))
+    codes, raw = (table[c].combine_chunks().flatten().to_numpy().reshape(len(node), -1) for c in ("codes", "vector"))
     unit = raw / np.sqrt((raw * raw).sum(1))[:, None]
     window, needed = calibrate(raw.shape[1])
     left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
@@ -107,7 +105,6 @@ def _cells(key, table):  # no hints: Spark reads them
     i, j = i[new], j[new]
     cosine = (raw[i] * raw[j]).sum(1) / (np.sqrt((raw[i] * raw[i]).sum(1)) * np.sqrt((raw[j] * raw[j]).sum(1)))
     i, j = i[cosine >= THRESHOLD], j[cosine >= THRESHOLD]
-    copies = np.array(table["copies"].to_pylist(), np.int64)
     others = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
     near = np.flatnonzero(others > 0)
     if len(near):

@@ -226,7 +226,7 @@ def test_merged_pages(spark):
     rng = np.random.default_rng(2)
     parts = rng.integers(0, 9, (40, 3, 5)).astype("<i8")
     rows = [(p, bytearray(zlib.compress(x.tobytes()))) for task in parts for p, x in enumerate(task)]
-    got = common.merged_pages(spark.createDataFrame(rows, "page int, data binary").repartition(7), np.add, "<i8").collect()
+    got = common.merged_pages(spark.createDataFrame(rows, "page int, data binary").repartition(7), np.add, "<i8", "<i8").collect()
     assert {r.page: np.frombuffer(zlib.decompress(r.data), "<i8").tolist() for r in got} == {p: parts[:, p].sum(0).tolist() for p in range(3)}
     some = rng.integers(-(2**62), 2**62, 5000)
     bits = common.bitmap(spark.createDataFrame([(int(x),) for x in some], "k long"), "k")
@@ -749,6 +749,55 @@ def test_contract_columns(spark):
     assert zlib.crc32(b"12") % 4 == spark.range(12, 13).select(F.crc32(F.col("id").cast("string").cast("binary")) % 4).first()[0]
 
 
+def test_query_wrappers(spark):
+    """What the registered queries derive: folds, verdicts, counts and digests, for every document."""
+    from tokenizers import Tokenizer
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    fold = lambda i, m: zlib.crc32(str(i).encode()) % m
+    got = queries.op6_subword_quality(spark, SF).collect()
+    assert len(got) == len(rows) and all(r.held_out == (fold(r.doc_id, 4) == 2) and r.predicted == int(r.score >= 0.7) for r in got)
+    got = queries.op8_bitmask_langid(spark, SF).collect()
+    assert len(got) == len(rows) and all(r.held_out == (fold(r.doc_id, 5) == 0) and 0 <= r.score <= 1 for r in got)
+    got = queries.op3_line_crf(spark, SF).collect()
+    assert len(got) == len(rows) and all(tuple(r[1:6]) == base(rows[r.doc_id].text) and not (r.kept and r.base_failed) for r in got)
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    got = queries.op4_chunked_bpe(spark, SF).collect()
+    for r in got:
+        ids = t.encode(rows[r.doc_id].text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert len(got) == len(rows)
+    got = queries.op9_projection_dedup(spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/embeddings.parquet").count() and all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("name", ["quality_base_counts", "pii_base_matches"])
+def test_base_parts_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    names, want = [d[0] for d in found.description], found.fetchall()
+    got = [tuple(r) for r in queries.QUERIES[name](spark, SF).select(*names).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Empty tables, nulls, repeated rows and ids pass through every stage."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c " * 30, "en", None, 180), (3, LONG, "en", "s", len(LONG)), (3, LONG, "en", "s", len(LONG))]
+    for rows in ([], odd):
+        d = spark.createDataFrame(rows, schema)
+        for name, stage in cp.STAGES:
+            out = stage(spark, d, SF)
+            n = out.count()
+            assert (rows or n == 0) and (name == "BPE encoding" or out.columns == cp.COLUMNS), name
+
+
 def test_pipeline_against_plain_python(spark):
     """The five stages once more over the smallest table, without Spark where that is plain."""
     import corpus_pipeline as cp

@@ -1,6 +1,7 @@
 """Connected components of a graph given as pairs, by alternating star operations.
 
-Each round shuffles edges only; no node's neighbours are gathered in one task. Edges are first
+Each round shuffles edges only. The edges of a hub meet in one task, where adaptive skew handling
+doesn't split them, but pass through it one by one and are never held together. Edges are first
 contracted to a forest inside each partition, so most graphs need one or two rounds. Every round is
 written to the shared folder, so a lost executor costs no earlier round.
 """

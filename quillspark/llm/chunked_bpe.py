@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import bitmap, dropped, in_bitmap, stored
+from .common import bitmap, dropped, in_bitmap, stored, trimmed
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CUT_BITS = 10
 MIN_CHUNK, MAX_CHUNK = 256, 16_384
 HEAVY_MOST = 4096  # digests that can be heavy, hence bound of what is broadcast about them
+FLUSH_BYTES = 4 << 20  # of text whose pieces a worker holds
 LONG_SPACE = 100_000  # runs of more white-space characters are matched here, not by the engine
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # \s of the pattern; Python's has more
 _LONG_RUN = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{{LONG_SPACE},}}")
@@ -190,7 +191,7 @@ def _repeated(docs: DataFrame, text: str) -> tuple[np.ndarray, dict[bytes, int]]
             seen = Counter(digest(data[x:y]) for _, data, own in _texts(batch.column(0)) for x, y in zip(own, own[1:], strict=False))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["digest", "n"])
 
-    chunks = docs.select(text).mapInArrow(count, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+    chunks = docs.select(text).mapInArrow(trimmed(count), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
     chunks = stored(chunks, "chunks")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +206,55 @@ def _repeated(docs: DataFrame, text: str) -> tuple[np.ndarray, dict[bytes, int]]
     return packed, heavy
 
 
+def flagged(data: bytes, bounds: list[int], bits: np.ndarray, c: Codec) -> list[bytes] | None:
+    """Digests of the chunks (empty where not repeated), or None if none is."""
+    found = [digest(data[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+    marks = in_bitmap(bits, keys(found)).tolist()
+    if not any(marks) or c.has_special(data):
+        return None
+    return [d if m else b"" for d, m in zip(found, marks, strict=True)]
+
+
+def cut_pieces(batch: pa.RecordBatch, c: Codec, bits: np.ndarray, ways: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the texts of a batch (own_id, text, uid) that have a repeated chunk, and each such chunk once,
+    in batches of the pieces of about FLUSH_BYTES of text."""
+    uids = batch.column(2).to_pylist()
+    sent: set[bytes] = set()
+    out: list[tuple] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        columns = [pa.array([x[n + 1] for x in out], t) for n, t in enumerate(kinds)]
+        rows = pa.array([x[0] for x in out], pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], names=["own_id", "uid", "pos", "digest", "salt", "ids", "before", "after", "chunk"])
+
+    for i, data, bounds in _texts(batch.column(1)):
+        marks = flagged(data, bounds, bits, c)
+        if marks is None:
+            continue
+        k = 0
+        while k < len(marks):
+            if marks[k]:
+                out.append((i, uids[i], k, marks[k], uids[i] % ways.get(marks[k], 1), None, None, None, None))
+                if marks[k] not in sent:
+                    sent.add(marks[k])
+                    out.append((None, None, None, marks[k], 0, None, None, None, data[bounds[k] : bounds[k + 1]]))
+                k += 1
+                continue
+            j = k
+            while j < len(marks) and not marks[j]:
+                j += 1
+            ids, before, after = encoded_piece(c, data[bounds[k] : bounds[j]])
+            out.append((i, uids[i], k, None, 0, ids, before, after, None))
+            k = j
+        held += len(data)
+        if held > FLUSH_BYTES:
+            yield flush()
+            out, held = [], 0
+    yield flush()
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``."""
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text).alias("text"))
@@ -213,14 +263,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((packed, heavy))
 
-    def flagged(data: bytes, bounds: list[int], bits: np.ndarray, c: Codec) -> list[bytes] | None:
-        """Digests of the chunks (empty where not repeated), or None if none is."""
-        found = [digest(data[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
-        marks = in_bitmap(bits, keys(found)).tolist()
-        if not any(marks) or c.has_special(data):
-            return None
-        return [d if m else b"" for d, m in zip(found, marks, strict=True)]
-
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, (bits, _) = codec(path), shared.value
         for batch in batches:
@@ -232,7 +274,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
                     ids.append(x.tobytes())
                     back.append(c.decode(x).decode("utf-8", "replace"))
                     held += len(data)
-                    if held > 8 << 20:
+                    if held > FLUSH_BYTES:
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["own_id", "ids", "decoded"])
                         rows, ids, back, held = [], [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["own_id", "ids", "decoded"])
@@ -240,34 +282,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, (bits, ways) = codec(path), shared.value
         for batch in batches:
-            uids = batch.column(2).to_pylist()
-            out: list[tuple] = []
-            texts: dict[bytes, bytes] = {}
-            for i, data, bounds in _texts(batch.column(1)):
-                marks = flagged(data, bounds, bits, c)
-                if marks is None:
-                    continue
-                k = 0
-                while k < len(marks):
-                    if marks[k]:
-                        piece = data[bounds[k] : bounds[k + 1]]
-                        texts.setdefault(marks[k], piece)
-                        out.append((i, uids[i], k, marks[k], uids[i] % ways.get(marks[k], 1), None, None, None, None))
-                        k += 1
-                        continue
-                    j = k
-                    while j < len(marks) and not marks[j]:
-                        j += 1
-                    ids, before, after = encoded_piece(c, data[bounds[k] : bounds[j]])
-                    out.append((i, uids[i], k, None, 0, ids, before, after, None))
-                    k = j
-            rows = pa.array([x[0] for x in out] + [None] * len(texts), pa.int32())
-            out += [(None, None, None, d, 0, None, None, None, x) for d, x in texts.items()]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            columns = [pa.array([x[n + 1] for x in out], t) for n, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], names=["own_id", "uid", "pos", "digest", "salt", "ids", "before", "after", "chunk"])
-
-    pieces = own.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(cut_up, f"own_id {id_type}, uid long, pos int, digest binary, salt int, ids binary, before binary, after binary, chunk binary")
+            yield from cut_pieces(batch, c, bits, ways)
+
+    pieces = own.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(trimmed(cut_up), f"own_id {id_type}, uid long, pos int, digest binary, salt int, ids binary, before binary, after binary, chunk binary")
     pieces = stored(pieces, "pieces")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +293,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
             done = [encoded_piece(c, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[k] for d in done], pa.binary()) for k in range(3))], names=["digest", "ids", "before", "after"])
 
-    table = pieces.where("chunk is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")).mapInArrow(once, "digest binary, ids binary, before binary, after binary")
+    table = pieces.where("chunk is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")).mapInArrow(trimmed(once), "digest binary, ids binary, before binary, after binary")
     if heavy:
         ways = docs.sparkSession.createDataFrame([(bytearray(d), n) for d, n in heavy.items()], "digest binary, ways int")
         table = table.join(F.broadcast(ways), "digest", "left").select(*table.columns, F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("salt"))
@@ -311,7 +328,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
                         close()
                     uid, owner, parts = u[k], o[k], []
                 parts.append((i[k], x[k], y[k], bool(i[k] or y[k])))
-            if size > 8 << 20:
+            if size > 2 * FLUSH_BYTES:
                 yield flush()
                 rows, size = [], 0
         if parts:
@@ -321,5 +338,5 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
 
     joined = placed.select(*cols).unionByName(local.select(*cols)).repartition("uid").sortWithinPartitions("uid", "pos")
     out = f"own_id {id_type}, ids binary, decoded string"
-    both = own.mapInArrow(alone, out).unionByName(joined.mapInArrow(join_up, out))
+    both = own.mapInArrow(trimmed(alone), out).unionByName(joined.mapInArrow(trimmed(join_up), out))
     return both.withColumnRenamed("own_id", id_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import shutil
@@ -68,6 +69,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that is free in this process back to the system: allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, trimmed after each batch out and at the end. Spark keeps the workers of
+    an executor for later tasks, four and more for two cores, and what each holds counts."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            trim()
+        trim()
+
+    return go
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], copies: str, total: int, spread: Column) -> DataFrame:
     """Inner join of ``big`` with ``small``, a stored table (it is read twice) which has each key once and in ``copies`` how many rows of
     ``big`` (``total`` in all) have it. Keys with over 1/HEAVY_MOST of all rows are split by

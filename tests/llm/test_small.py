@@ -297,6 +297,46 @@ def test_bpe_round_trip(spark):
     assert chunked_bpe.encode(empty(spark), path).count() == 0
 
 
+def test_pieces_come_in_small_batches():
+    """A worker doesn't hold the pieces of a whole batch, and gives free memory back after its task."""
+    import pyarrow as pa
+
+    c = chunked_bpe.codec(queries.tokenizer_path())
+    texts = [f"{k} {LONG[5_000 * k % 90_000 :][:60_000]} {k}" for k in range(250)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array(texts), pa.array(range(250))], names=["own_id", "text", "uid"])
+    out = list(chunked_bpe.cut_pieces(batch, c, np.full(1 << 20, 255, np.uint8), {}))
+    assert len(out) > 2 and max(b.nbytes for b in out) < 3 * chunked_bpe.FLUSH_BYTES
+    rows = pa.Table.from_batches(out).to_pylist()
+    chunks = {r["digest"]: r["chunk"] for r in rows if r["chunk"] is not None}
+    assert len(chunks) == sum(r["chunk"] is not None for r in rows)
+    back = collections.defaultdict(bytes)
+    for r in rows:
+        if r["uid"] is not None:
+            back[r["uid"]] += chunks[r["digest"]]
+    assert [back[k].decode() for k in range(250)] == texts
+
+
+def test_memory_of_workers_is_given_back():
+    import os
+
+    import pyarrow as pa
+
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            some = [bytes(60_000) for _ in range(5000)]
+            pins.append(some[-1])
+            del some
+            yield batch
+
+    one = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    before = rss()
+    assert len(list(common.trimmed(run)(iter([one, one])))) == 2
+    assert rss() - before < 60
+
+
 def test_every_cut_splices_exactly():
     """Joins at every place of a text give the ids of the whole, also where a cut parts a word."""
     c = chunked_bpe.codec(queries.tokenizer_path())

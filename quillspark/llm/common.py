@@ -64,9 +64,13 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more."""
+    """Let Spark delete the shuffle files of tables that nothing refers to any more. Spark refers to the
+    last query it ran, so another runs first."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def trim() -> None:

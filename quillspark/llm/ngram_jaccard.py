@@ -4,10 +4,12 @@
    bits; documents with equal sets are one set from there on.
 2. A second scan sends PartEnum signatures (``partenum``) of each set, packed by signature bucket.
    Each bucket counts common signatures per pair of sets; pairs that have as many as similar sets
-   must have are candidates.
+   must have are candidates. A signature of over ``GROUP_MOST`` sets isn't expanded into pairs: its
+   sets are tied to one of them, and all pairs of tied sets whose sizes fit are checked.
 3. A third scan brings the sets of candidates together, in blocks of at most ``BLOCK`` sets, and
    Jaccard is checked exactly as products of 0/1 matrices.
-4. Links between sets are weighed by their documents; components come from ``components``.
+   A block gives each set's number of linked documents and a set that it is connected to, not the links.
+4. Those numbers are summed; components come from ``components``.
 
 Copies are never expanded into pairs; each pair of different sets is counted once. Cases: null,
 empty and blank texts have no set, link with nothing and are components of their own; texts of one
@@ -23,18 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from . import partenum as pe
 from . import textscan as ts
-from .common import HEAVY_MOST, partitions, release, salted_join, stored
+from .common import HEAVY_MOST, partitions, release, salted_join, stored, trimmed
 from .components import components
+from .components import roots as local_roots
 
 PAGES = 64
 HOT_EXTRA = 16  # a shingle is hot this far (and 4 standard deviations) above the mean of a slot
 SLOT_BITS = 23  # bitmap of candidate sets: 1 MB
 BLOCK = 1024
+GROUP_MOST = 64  # sets of one signature in a bucket that are expanded into pairs
 NO_SIZE = 65535
 _FLUSH = 1_500_000
 
@@ -65,7 +69,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
 
-    return docs.mapInArrow(run, f"own_id {id_type}, n long, k1 long, k2 long, page int, counts binary")
+    return docs.mapInArrow(trimmed(run), f"own_id {id_type}, n long, k1 long, k2 long, page int, counts binary")
 
 
 def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
@@ -142,7 +146,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[tuple[int, int], obj
         if sigs:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, blob binary")
+    return docs.mapInArrow(trimmed(run), "bucket int, blob binary")
 
 
 def six_bytes(ids: np.ndarray) -> np.ndarray:
@@ -176,7 +180,8 @@ def short_ids(k1: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blobs of one bucket: pairs of sets with the number of signatures they share in it."""
+    """All blobs of one bucket: pairs of sets with the number of signatures they share in it. The sets of a signature
+    that has many are paired with the first of them only, with a need of 0, which ties them."""
     parts = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
     if not parts:
         return
@@ -195,17 +200,18 @@ def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     size_of, short_of = (ids & ts.U(0xFFFF)).astype(np.int64), (ids >> ts.U(16)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, int)
     made: list[np.ndarray] = []
-    held = 0
+    ties: list[np.ndarray] = []
+    held = tied = 0
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sizes that similar sets can have; the largest code stands for all larger sizes."""
         x, y = size_of[a], size_of[b]
         return (pe.DEN * np.minimum(x, y) >= pe.NUM * np.maximum(x, y)) | (np.maximum(x, y) == NO_SIZE)
 
-    def out() -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(made), return_counts=True)
+    def out(codes: list[np.ndarray], tie: bool = False) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(codes), return_counts=True)
         a, b = pair // len(ids), pair % len(ids)
-        need = np.minimum(need_of[a], need_of[b])
+        need = np.zeros(len(pair), np.uint8) if tie else np.minimum(need_of[a], need_of[b])
         x, y = short_of[a], short_of[b]
         x, y = np.minimum(x, y), np.maximum(x, y)
         order = np.lexsort((y, x))
@@ -223,24 +229,35 @@ def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         made.append(np.minimum(a, b)[ok] * len(ids) + np.maximum(a, b)[ok])
     for k in np.flatnonzero(np.diff(cut) > 2).tolist():
         group = np.unique(local[cut[k] : cut[k + 1]])
+        if len(group) > GROUP_MOST:
+            ties.append(group[0] * len(ids) + group[1:])
+            tied += len(group)
+            if tied > 4_000_000:
+                ties = [np.unique(np.concatenate(ties))]
+                tied = len(ties[0]) // 2  # so that folding them costs no more than making them
+            continue
         for i in range(len(group) - 1):
             rest = group[i + 1 :]
             rest = rest[fits(np.full(len(rest), group[i]), rest)]
             made.append(group[i] * len(ids) + rest)
             held += len(rest)
             if held > 4_000_000:
-                yield out()
+                yield out(made)
                 made, held = [], 0
     if made:
-        yield out()
+        yield out(made)
+    if ties:
+        yield out(ties, True)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a partition's counts, sorted by ``a``; pairs that share as many signatures as they must."""
+    """Sums of a partition's counts, sorted by ``a``; pairs that share as many signatures as they must,
+    and tied ones."""
     now: int | None = None
     held: list[tuple[np.ndarray, ...]] = []
     found_a: list[np.ndarray] = []
     found_b: list[np.ndarray] = []
+    found_tie: list[np.ndarray] = []
 
     def close() -> None:
         b, n, need = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -250,6 +267,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = np.bincount(at, n) >= least
         found_a.append(np.full(ok.sum(), now, np.int64))
         found_b.append(ids[ok].astype(np.int64))
+        found_tie.append(least[ok] == 0)
 
     for batch in batches:
         for a, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -262,7 +280,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         close()
     if found_a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b)), pa.array(np.concatenate(found_tie))], names=["a", "b", "tie"])
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
@@ -315,7 +333,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             k1 = np.array([k[0] for k in found], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(short_ids(k1)), pa.array(k1), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "k1", "k2", "features"])
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, features binary")
+    return docs.mapInArrow(trimmed(run), "id long, k1 long, k2 long, features binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -341,18 +359,26 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _check_block(key, table):  # no hints: Spark reads them
-    """Exact links among the sets of one block pair; a pair within one part counts in one block."""
-    ordinal = np.array(table["part"].to_pylist())
-    k1, k2 = np.array(table["k1"].to_pylist(), np.int64), np.array(table["k2"].to_pylist(), np.int64)
+    """Exact links among the sets of one block pair, as (node, documents of linked sets, a node it is connected to). A pair
+    within one part counts in one block, and one of sets that are tied together only in a block of tied sets."""
+    ordinal, tied = np.array(table["part"].to_pylist()), np.array(table["tied"].to_pylist(), bool)
+    node, copies = np.array(table["node"].to_pylist(), np.int64), np.array(table["copies"].to_pylist(), np.int64)
+    owner = np.array(table["owner"].to_pylist(), np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
-    lo, hi = key[1].as_py(), key[2].as_py()
+    lo, hi, every = (key[k].as_py() for k in (1, 2, 3))
     n = np.array([len(s) for s in sets])
     both = shared_counts(sets)
     similar = pe.DEN * both >= pe.NUM * (n[:, None] + n[None, :] - both)
     if lo != hi:
         similar &= ordinal[:, None] != ordinal[None, :]
+    if not every:
+        similar &= ~tied[:, None] | ~tied[None, :] | (owner[:, None] != owner[None, :])
+    np.fill_diagonal(similar, False)
     a, b = np.nonzero(np.triu(similar, 1))
-    return pa.table({"a1": pa.array(k1[a]), "a2": pa.array(k2[a]), "b1": pa.array(k1[b]), "b2": pa.array(k2[b])})
+    if not len(a):
+        return pa.table({"node": pa.array([], pa.int64()), "others": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    at, root = local_roots(a, b)
+    return pa.table({"node": pa.array(node[at]), "others": pa.array((similar @ copies)[at]), "root": pa.array(node[root])})
 
 
 def same_short(keys: DataFrame) -> DataFrame:
@@ -369,23 +395,29 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     profile = stored(_profile(own), "profile").withColumn("rid", F.monotonically_increasing_id())
     rows = profile.where("page is null").select("own_id", "n", "k1", "k2", "rid")
     size = rows.agg(F.count("*"), F.sum("n")).first()
-    keys = rows.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("node"), F.min("own_id").alias("least_id"))
+    keys = rows.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("rid").alias("node"), F.min("own_id").alias("least_id"), F.first("n").alias("n"))
     keys = stored(keys, "keys")
     often = max(100, size[0] // HEAVY_MOST + 1)
     plain = lambda x: x.asDict(True) if isinstance(x, Row) else x  # noqa: E731  # as Arrow gives it
     heavy = {(r.k1, r.k2): plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "k2", "least_id").collect()}
     n = partitions(spark)
     postings = _postings(own, _hot(profile, size[1] or 0), heavy, n)
-    pairs = postings.repartitionById(n, "bucket").mapInArrow(_pairs_of_bucket, "a long, blob binary")
-    pairs = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b long")
+    pairs = postings.repartitionById(n, "bucket").mapInArrow(trimmed(_pairs_of_bucket), "a long, blob binary")
+    pairs = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(trimmed(_candidates), "a long, b long, tie boolean")
     pairs = stored(pairs, "candidates")
     del postings
     release(spark)
-    same = stored(same_short(keys), "same")
-    pairs = pairs.unionByName(same)
+    ties = components(pairs.where("tie"))
+    tied = stored(ties.select(F.col("node").alias("id"), F.col("root").alias("owner")), "tied")
+    loose = pairs.where("not tie").select("a", "b")
+    for x in ("a", "b"):
+        loose = loose.join(tied.select(F.col("id").alias(x), F.col("owner").alias(f"{x}_owner")), x, "left")
+    loose = stored(loose.where("a_owner is null or b_owner is null or a_owner != b_owner").select("a", "b"), "loose")
+    pairs = loose.unionByName(stored(same_short(keys), "same"))
     alike = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     grouped = components(pairs)
     grouped = grouped.unionByName(alike.join(grouped, "node", "left_anti"))
+
     per_root = grouped.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("parts"))
     parted = grouped.join(per_root, "root").withColumn("part", F.when(F.col("parts") <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     parted = stored(parted.select(F.col("node").alias("id"), "root", "part"), "parted")
@@ -396,18 +428,30 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
         .select("root", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")).distinct()
     )
     ends = blocks.select("root", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("part"))
-    places = stored(parted.join(ends, ["root", "part"]).select("id", "root", "part", "lo", "hi"), "places")
+    names = keys.select(F.shiftrightunsigned("k1", 16).alias("id"), F.col("k1").alias("own_k1"), F.col("k2").alias("own_k2"), "node", "copies", "n")
+    places = parted.join(ends, ["root", "part"]).select("id", "root", "part", "lo", "hi", F.lit(False).alias("every"))
+    places = places.join(tied, "id", "left").join(names, "id").drop("n")
+    # tied sets are cut up by size; a block is any two parts whose sizes similar sets can have
+    own_root = Window.partitionBy("owner")
+    rank, many = F.row_number().over(own_root.orderBy("n", "node")), F.count("*").over(own_root)
+    ranked = tied.join(names, "id").withColumn("part", F.when(many <= BLOCK, 0).otherwise(F.floor((rank - 1) / F.lit(BLOCK // 2))).cast("int"))
+    ranked = stored(ranked, "ranked")
+    span = ranked.groupBy("owner", F.col("part").alias("lo")).agg(F.max("n").alias("most"))
+    spans = span.join(ranked.groupBy("owner", F.col("part").alias("hi")).agg(F.min("n").alias("least")), "owner")
+    fit = spans.where((F.col("lo") <= F.col("hi")) & (pe.NUM * F.col("least") <= pe.DEN * F.col("most")))
+    both_ends = fit.select("owner", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("part"))
+    other = ranked.drop("n").join(both_ends, ["owner", "part"]).withColumn("root", F.col("owner")).withColumn("every", F.lit(True))
+    places = stored(places.unionByName(other), "places")
     # features move twice: to the places of their set, and from there to its blocks
-    sets = _sets(own, bitmap(parted, "id")).repartition(n, "id").groupBy("id", "k1", "k2").agg(F.first("features").alias("features"))
-    members = sets.join(places, "id")
-    links = members.groupBy("root", "lo", "hi").applyInArrow(_check_block, "a1 long, a2 long, b1 long, b2 long")
+    sets = _sets(own, bitmap(places, "id")).repartition(n, "id").groupBy("id", "k1", "k2").agg(F.first("features").alias("features"))
+    members = sets.join(places, "id").where("(k1 ^ own_k1) = 0 and (k2 ^ own_k2) = 0")  # no keys of the join, which would move the features once more
+    members = members.select("root", "lo", "hi", "every", "part", F.col("owner").isNotNull().alias("tied"), F.coalesce("owner", F.lit(0)).alias("owner"), "node", "copies", "features")
+    links = members.groupBy("root", "lo", "hi", "every").applyInArrow(_check_block, "node long, others long, root long")
     links = stored(links, "links")
     del sets, members
     release(spark)
-    side = lambda x: keys.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("node").alias(x), F.col("copies").alias(f"{x}_copies"))
-    joined = stored(links.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "a_copies", "b_copies"), "joined")
-    degree = joined.select(F.col("a").alias("node"), F.col("b_copies").alias("n")).unionByName(joined.select(F.col("b").alias("node"), F.col("a_copies").alias("n"))).groupBy("node").agg(F.sum("n").alias("others"))
-    roots = components(joined.select("a", "b"))
+    degree = links.groupBy("node").agg(F.sum("others").alias("others"))
+    roots = components(links, "node", "root")
     full = keys.join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
     full = full.join(least, "root").select("k1", "k2", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))

@@ -201,6 +201,68 @@ def test_jaccard_join(spark):
     assert ngram_jaccard.link(empty(spark)).count() == 0
 
 
+def changed_copies(n):
+    """One text with one or two words changed, n times, among others."""
+    rng = np.random.default_rng(21)
+    words = [f"c{k}" for k in range(40)]
+    made = []
+    for k in range(n):
+        own = list(words)
+        for at in rng.integers(0, 40, 1 + k % 2):
+            own[at] = f"z{k}"
+        made.append(" ".join(own))
+    return made + [" ".join(f"q{x}" for x in rng.integers(0, 999, 30)) for _ in range(50)] + made[:30]
+
+
+def test_large_clusters_lose_no_link(spark):
+    """Over a thousand different near copies, more than a block holds and than a signature lists as pairs."""
+    texts = changed_copies(1100)
+    got = {r.doc_id: r for r in ngram_jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    split = [t.split() for t in texts]
+    grams = [set(zip(w, w[1:], w[2:])) for w in split]
+    place = {g: i for i, g in enumerate(set().union(*grams))}
+    m = np.zeros((len(texts), len(place)), np.float32)
+    for k, g in enumerate(grams):
+        m[k, [place[x] for x in g]] = 1
+    both, n = (m @ m.T).astype(np.int64), m.sum(1).astype(np.int64)
+    linked = 100 * both >= 70 * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(linked, False)
+    assert [got[k].n_similar for k in range(len(texts))] == linked.sum(1).tolist()
+    a, b = np.nonzero(np.triu(linked))
+    nodes, root = roots(a, b)
+    least = dict(zip(nodes.tolist(), root.tolist()))
+    assert [got[k].component_id for k in range(len(texts))] == [least.get(k, k) for k in range(len(texts))]
+    assert 0.1 < linked[:1100, :1100].mean() < 0.9
+
+
+def test_pairs_of_large_clusters_grow_with_the_sets(spark):
+    """What goes from the buckets to the counts follows the number of near copies, not its square."""
+    size = {}
+    for n in (200, 800):
+        d = spark.createDataFrame(list(enumerate(changed_copies(n)[:n])), "own_id long, text string").coalesce(1)
+        blobs = ngram_jaccard._postings(d, np.zeros(1 << 20, np.uint8), {}, 1).toArrow()
+        size[n] = sum(len(x) for out in ngram_jaccard._pairs_of_bucket(iter(blobs.to_batches())) for x in out.column(1).to_pylist())
+    assert 0 < size[800] < 6 * size[200] and size[800] < 800 * 40 * 9
+
+
+def test_spent_shuffles_are_deleted(spark):
+    """A stored table's shuffle files, also of the last query that ran, go with the release."""
+    import time
+    from pathlib import Path
+
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    before = files()
+    kept = common.stored(spark.range(50_000).repartition(5, "id"), "kept")
+    own = files() - before
+    common.release(spark)
+    for _ in range(40):
+        if not own & files():
+            break
+        time.sleep(0.25)
+    assert own and not own & files() and kept.count() == 50_000
+
+
 def test_short_ids_lose_no_pair(spark, monkeypatch):
     """Different sets of one short id are compared all the same."""
     ids = np.array([0, 1, (1 << 48) - 1, 123456789012345], np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import chunked_bpe, line_quality, ngram_jaccard, poisson_mix, queries, semicrf_pii
-from quillspark.llm.common import bitmap, documents, dropped, in_bitmap, stored
+from quillspark.llm.common import bitmap, documents, dropped, in_bitmap, stored, trimmed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,7 +48,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                 yield batch.filter(pa.array(in_bitmap(bits.value, np.asarray(batch.column(len(COLUMNS)))) == flag))
 
         hashed = docs.withColumn("h", key[1])
-        return hashed.mapInArrow(run, hashed.schema)
+        return hashed.mapInArrow(trimmed(run), hashed.schema)
 
     near = rows(True).join(touched.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "keep"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     near = near.select(*COLUMNS, "h", "keep")

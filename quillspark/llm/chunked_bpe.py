@@ -194,11 +194,7 @@ def _repeated(docs: DataFrame, text: str) -> tuple[np.ndarray, dict[bytes, int]]
     chunks = docs.select(text).mapInArrow(trimmed(count), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
     chunks = stored(chunks, "chunks")
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(keys(batch.column(0).to_pylist()))], names=["key"])
-
-    packed = bitmap(chunks.select("digest").mapInArrow(key, "key long"), "key")
+    packed = bitmap(chunks, "digest", lambda column: keys(column.to_pylist()))
     total = chunks.agg(F.sum("n")).first()[0] or 0
     limit = max(1000, total // HEAVY_MOST + 1)
     heavy = {bytes(r.digest): min(256, -(-r.n // limit)) for r in chunks.where(F.col("n") > limit).collect()}

@@ -148,23 +148,24 @@ def slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (ts.mix(values.astype(np.int64).view(np.uint64)) >> ts.U(64 - bits)).astype(np.int64)
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Packed bitmap of the values of a long column, sized by their number within the bounds. It only
-    spares work: where it fills up, more rows than needed go on."""
+def bitmap(keys: DataFrame, column: str, number: Callable[[pa.Array], np.ndarray] = np.asarray) -> np.ndarray:
+    """Packed bitmap of the values of a long column, or of those that ``number`` makes of another, sized by
+    their number within the bounds. It only spares work: where it fills up, more rows than needed go on.
+    ``number`` runs in the task that fills pages: a Python node below would hold workers of its own."""
     n = keys.count()
     bits = min(BITS_MOST, max(BITS_LEAST, int(32 * n).bit_length()))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            s = slots(np.asarray(batch.column(0)), bits)
+            s = slots(number(batch.column(0)), bits)
             for page in np.unique(s >> 16).tolist():
                 found.setdefault(page, np.zeros(1 << 16, bool))[s[(s >> 16) == page] & 0xFFFF] = True
         packed = [zlib.compress(np.packbits(v).tobytes(), 1) for v in found.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], names=["page", "data"])
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    pages = keys.select(column).mapInArrow(fold, "page int, data binary")
+    pages = keys.select(column).mapInArrow(trimmed(fold), "page int, data binary")
     for r in merged_pages(pages, np.bitwise_or, "u1", "u1").toLocalIterator():
         out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(zlib.decompress(r.data), np.uint8)
     return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textscan as ts
-from .common import labelled
+from .common import labelled, trimmed
 
 N_FEATURES = 13
 KNOWN_DOCS = 3  # unlike texts of the sample that make a line known boilerplate
@@ -331,7 +331,7 @@ def keep(docs: DataFrame, model: LineModel, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scored(batch.column(at), model)["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 600) -> LineModel:

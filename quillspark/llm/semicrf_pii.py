@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import trimmed
 from .textscan import text_buffers
 
 BASE = ("email", "ip", "card", "phone")
@@ -550,4 +551,4 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
                     columns[size] = pa.array(sizes, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -934,3 +934,49 @@ def test_jaccard_stage_keeps_one_of_each(spark):
     out = cp.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
     assert out.columns == cp.COLUMNS
     assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted([("1", rows[0][1]), ("1", rows[3][1]), ("None", rows[4][1]), ("5", ""), ("5", ""), ("6", "")])
+
+
+def python_nodes(plan):
+    """Most Python nodes that one task of a plan runs: each holds a worker of its own, which the executor keeps."""
+    most, path = 0, []
+    for line in plan.splitlines():
+        depth = len(re.match(r"[ :]*(?:[+:]- )?", line).group())
+        name = re.sub(r"^\*\(\d+\) ", "", line[depth:])
+        while path and path[-1][0] >= depth:
+            path.pop()
+        n = 0 if re.match(r"\w*Exchange\b", name) else (path[-1][1] if path else 0) + bool(re.match("MapInArrow|FlatMapGroupsInArrow|ArrowEvalPython", name))
+        path.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_pipeline_tasks_hold_one_worker(spark, monkeypatch):
+    """A task with two Python nodes takes two workers, so an executor of two cores keeps four from there on."""
+    import corpus_pipeline as cp
+
+    plans = []
+    kind = type(spark.range(1))
+    for name in ("mapInArrow", "join", "unionByName"):
+
+        def call(self, *args, _own=getattr(kind, name), **more):
+            out = _own(self, *args, **more)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        monkeypatch.setattr(kind, name, call)
+    chained = spark.range(9).mapInArrow(lambda x: x, "id long")
+    assert python_nodes(chained.mapInArrow(lambda x: x, "id long")._jdf.queryExecution().executedPlan().toString()) == 2
+    assert python_nodes(chained.repartition(2).mapInArrow(lambda x: x, "id long")._jdf.queryExecution().executedPlan().toString()) == 1
+    plans.clear()
+    cp.run(spark, SF)
+    assert len(plans) > 20 and max(map(python_nodes, plans)) == 1, next(p for p in plans if python_nodes(p) > 1)
+
+
+def test_bitmap_of_numbered_values(spark):
+    """A bitmap of what ``number`` makes of a column is that of the numbers themselves, for an empty table too."""
+    rows = [(bytearray(hashlib.md5(str(k).encode()).digest()),) for k in range(500)]
+    for some in (rows, []):
+        d = spark.createDataFrame(some, "digest binary")
+        own = spark.createDataFrame([(int(x),) for x in chunked_bpe.keys([bytes(r[0]) for r in some])], "key long")
+        got = common.bitmap(d, "digest", lambda column: chunked_bpe.keys(column.to_pylist()))
+        assert (got == common.bitmap(own, "key")).all() and bool(got.any()) == bool(some)

@@ -39,6 +39,7 @@ CUT_BITS = 10
 MIN_CHUNK, MAX_CHUNK = 256, 16_384
 HEAVY_MOST = 4096  # digests that can be heavy, hence bound of what is broadcast about them
 FLUSH_BYTES = 4 << 20  # of text whose pieces a worker holds
+SLICE_ROWS = 500  # of chunks or pieces that are Python objects at once
 LONG_SPACE = 100_000  # runs of more white-space characters are matched here, not by the engine
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # \s of the pattern; Python's has more
 _LONG_RUN = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{{LONG_SPACE},}}")
@@ -251,6 +252,54 @@ def cut_pieces(batch: pa.RecordBatch, c: Codec, bits: np.ndarray, ways: dict[byt
     yield flush()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE_ROWS rows, so Python objects are made of some rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def encoded_chunks(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
+    """Of each row (digest, chunk) the digest and the encoded piece, a batch for each slice."""
+    for part in _slices(batches):
+        done = [encoded_piece(c, x) for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([d[k] for d in done], pa.binary()) for k in range(3))], names=["digest", "ids", "before", "after"])
+
+
+def joined_rows(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
+    """Rows (own_id, ids, decoded) of pieces (uid, pos, own_id, ids, before, after) that come by uid and pos, in
+    batches of about 2 * FLUSH_BYTES of ids, also where one batch of pieces holds more."""
+    uid, owner, parts = None, None, []
+    rows: list[tuple] = []
+    size, id_kind = 0, pa.int64()
+
+    def close() -> None:
+        nonlocal size
+        x = splice(c, parts)
+        rows.append((owner, x.tobytes(), c.decode(x).decode("utf-8", "replace")))
+        size += len(rows[-1][1])
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_kind), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())], names=["own_id", "ids", "decoded"])
+
+    for part in _slices(batches):
+        id_kind = part.schema.field("own_id").type
+        u, o, i, x, y = (part.column(n).to_pylist() for n in (0, 2, 3, 4, 5))
+        for k in range(len(u)):
+            if u[k] != uid:
+                if parts:
+                    close()
+                    if size > 2 * FLUSH_BYTES:
+                        yield flush()
+                        rows, size = [], 0
+                uid, owner, parts = u[k], o[k], []
+            parts.append((i[k], x[k], y[k], bool(i[k] or y[k])))
+    if parts:
+        close()
+    if rows:
+        yield flush()
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``."""
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text).alias("text"))
@@ -284,14 +333,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
     pieces = stored(pieces, "pieces")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            done = [encoded_piece(c, x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[k] for d in done], pa.binary()) for k in range(3))], names=["digest", "ids", "before", "after"])
+        yield from encoded_chunks(batches, codec(path))
 
     table = pieces.where("chunk is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")).mapInArrow(trimmed(once), "digest binary, ids binary, before binary, after binary")
     if heavy:
-        ways = docs.sparkSession.createDataFrame([(bytearray(d), n) for d, n in heavy.items()], "digest binary, ways int")
+        # from Arrow, as rows of Python objects would start Python workers of another kind, which the executors keep
+        ways = docs.sparkSession.createDataFrame(pa.table({"digest": pa.array(list(heavy), pa.binary()), "ways": pa.array(list(heavy.values()), pa.int32())}))
         table = table.join(F.broadcast(ways), "digest", "left").select(*table.columns, F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("salt"))
     else:
         table = table.withColumn("salt", F.lit(0))
@@ -300,37 +347,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
     cols = ["uid", "pos", "own_id", "ids", "before", "after"]
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        uid, owner, parts = None, None, []
-        rows: list[tuple] = []
-        size = 0
-
-        def close() -> None:
-            nonlocal size
-            x = splice(c, parts)
-            rows.append((owner, x.tobytes(), c.decode(x).decode("utf-8", "replace")))
-            size += len(rows[-1][1])
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_kind), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())], names=["own_id", "ids", "decoded"])
-
-        id_kind = pa.int64()
-        for batch in batches:
-            id_kind = batch.schema.field("own_id").type
-            u, o, i, x, y = (batch.column(n).to_pylist() for n in (0, 2, 3, 4, 5))
-            for k in range(len(u)):
-                if u[k] != uid:
-                    if parts:
-                        close()
-                    uid, owner, parts = u[k], o[k], []
-                parts.append((i[k], x[k], y[k], bool(i[k] or y[k])))
-            if size > 2 * FLUSH_BYTES:
-                yield flush()
-                rows, size = [], 0
-        if parts:
-            close()
-        if rows:
-            yield flush()
+        yield from joined_rows(batches, codec(path))
 
     joined = placed.select(*cols).unionByName(local.select(*cols)).repartition("uid").sortWithinPartitions("uid", "pos")
     out = f"own_id {id_type}, ids binary, decoded string"

@@ -55,12 +55,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Free the disk of stored tables that nothing reads any more: an empty table takes their place."""
+    """Free the disk of stored tables that nothing reads any more: an empty table takes their place. It is made
+    without Python rows: those start a second daemon and workers of its own, which each executor keeps."""
     for t in tables:
         kept = _paths.pop(id(t), None)
         if kept is not None:
             spark = t.sparkSession
-            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(kept[1])
+            spark.range(0).select(F.lit(0).alias("gone")).coalesce(1).write.mode("overwrite").parquet(kept[1])
 
 
 def release(spark: SparkSession) -> None:

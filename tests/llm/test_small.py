@@ -378,6 +378,55 @@ def test_pieces_come_in_small_batches():
     assert [back[k].decode() for k in range(250)] == texts
 
 
+def test_joined_rows_come_in_small_batches():
+    """The texts joined of one batch of pieces leave in batches of about 2 * FLUSH_BYTES of ids, not all at the end of it,
+    and repeated chunks leave some at a time."""
+    import pyarrow as pa
+
+    c = chunked_bpe.codec(queries.tokenizer_path())
+    texts = [f"{k} {LONG[5_000 * k % 90_000 :][:30_000]} {k}" for k in range(400)]
+    pieces = [(k, n, k, *chunked_bpe.encoded_piece(c, part.encode())) for k, t in enumerate(texts) for n, part in enumerate((t[:15_000], t[15_000:]))]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[n] for p in pieces], kind) for n, kind in enumerate(kinds)], names=["uid", "pos", "own_id", "ids", "before", "after"])
+    for size in (len(pieces), 7):  # a text may be parted by the bound of two batches
+        out = list(chunked_bpe.joined_rows(iter([batch.slice(at, size) for at in range(0, len(pieces), size)]), c))
+        assert len(out) > 2 and max(b.column(1).nbytes for b in out) < 3 * chunked_bpe.FLUSH_BYTES
+        rows = pa.Table.from_batches(out).to_pylist()
+        assert [(r["own_id"], r["decoded"]) for r in rows] == list(enumerate(texts))
+        assert all(np.frombuffer(r["ids"], "<u4").tolist() == c.encode(t.encode()).tolist() for r, t in zip(rows, texts))
+    chunks = pa.RecordBatch.from_arrays([pa.array([str(k).encode() for k in range(1200)]), pa.array([f"a b {k} c d".encode() for k in range(1200)])], names=["digest", "chunk"])
+    out = list(chunked_bpe.encoded_chunks(iter([chunks, chunks.slice(0, 0)]), c))
+    assert max(b.num_rows for b in out) <= chunked_bpe.SLICE_ROWS
+    assert [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()] == [(str(k).encode(), *chunked_bpe.encoded_piece(c, f"a b {k} c d".encode())) for k in range(1200)]
+    assert list(chunked_bpe.joined_rows(iter([]), c)) == [] == list(chunked_bpe.joined_rows(iter([batch.slice(0, 0)]), c))
+
+
+def test_hot_chunk_without_python_rows(spark, monkeypatch):
+    """A chunk with more copies than one key may have keeps its rows and ids; no table is made of Python rows, as those
+    start a second daemon with workers of its own on each executor."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    texts = [f"{k} {LONG[:4_000]} {k % 3}" for k in range(1_100)]
+    d = docs(spark, texts).persist()
+    rows = d.collect()
+    calls, kind = [], type(spark)
+    own = kind.createDataFrame
+    monkeypatch.setattr(kind, "createDataFrame", lambda self, data, *args, **more: (calls.append(data), own(self, data, *args, **more))[1])
+    packed, heavy = chunked_bpe._repeated(d, "text")
+    assert heavy and max(heavy.values()) > 1
+    got = collections.Counter((r.doc_id, bytes(r.ids), r.decoded) for r in chunked_bpe.encode(d, path).collect())
+    assert got == collections.Counter((r.doc_id, np.array(t.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes(), r.text or "") for r in rows)
+    assert calls and all(isinstance(x, pa.Table) for x in calls)
+    kept = common.stored(spark.range(100), "gone")
+    at = common._paths[id(kept)][1]
+    common.dropped(kept)
+    assert spark.read.parquet(at).count() == 0 and all(isinstance(x, pa.Table) for x in calls)
+    d.unpersist()
+
+
 def test_memory_of_workers_is_given_back():
     import os
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from . import textscan as ts
 HEAVY_MOST = 10_000  # most keys that can have over 1/HEAVY_MOST of all rows; bounds what is broadcast
 WAYS_MOST = 256
 BITS_LEAST, BITS_MOST = 23, 30  # slots of a bitmap: 1 MB to 128 MB, 32 a key in between
+BATCH_BYTES = 4 << 20  # of an Arrow batch to a worker, or one row where that is larger
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -97,6 +99,25 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return go
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches to workers hold about BATCH_BYTES while this is open: by default 10,000 rows of texts, which the
+    JVM holds outside its heap, with room to grow, and the worker once more. Rows and results stay the same; a
+    smaller bound of the session counts. For queries that run within; those that run later aren't bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, own)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], copies: str, total: int, spread: Column) -> DataFrame:
     """Inner join of ``big`` with ``small``, a stored table (it is read twice) which has each key once and in ``copies`` how many rows of
     ``big`` (``total`` in all) have it. Keys with over 1/HEAVY_MOST of all rows are split by

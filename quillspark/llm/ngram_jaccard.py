@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import partenum as pe
 from . import textscan as ts
-from .common import HEAVY_MOST, partitions, release, salted_join, stored, trimmed
+from .common import HEAVY_MOST, partitions, release, salted_join, small_batches, stored, trimmed
 from .components import components
 from .components import roots as local_roots
 
@@ -40,36 +40,43 @@ SLOT_BITS = 23  # bitmap of candidate sets: 1 MB
 BLOCK = 1024
 GROUP_MOST = 64  # sets of one signature in a bucket that are expanded into pairs
 NO_SIZE = 65535
+SEEN_MOST = 50_000  # sets that a task keeps in mind so that a copy doesn't go out again
 _FLUSH = 1_500_000
 
 
+def _count(counts: np.ndarray, slots: np.ndarray) -> None:
+    """Add to counts that stop at 255. Sixteen bits hold them and those of one slice."""
+    for at in range(0, len(slots), 65_000):
+        some = slots[at : at + 65_000]
+        np.add.at(counts, some, np.uint16(1))
+        counts[some] = np.minimum(counts[some], 255)
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, kind = np.zeros(1 << pe.HOT_BITS, np.uint16), None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        sizes, keys = [], []
+        for b in ts.blocks(batch.column(1)):
+            s, bounds = pe.shingles(b)
+            _count(counts, pe.hot_slots(s))
+            for i in range(b.n_docs):
+                x = s[bounds[i] : bounds[i + 1]]
+                sizes.append(len(x))
+                keys.append(pe.set_key(x) if len(x) else (None, None))
+        n = len(sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
+    if kind is not None:
+        # of one task; sums over tasks are whole
+        pages = [(p, zlib.compress(x.astype(np.uint8).tobytes(), 1)) for p, x in enumerate(counts.reshape(PAGES, -1)) if x.any()]
+        n = len(pages)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([x for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
+
+
 def _profile(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's set (own_id, n, k1, k2), or a page of shingle counts."""
     id_type = docs.schema["own_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, kind = np.zeros(1 << pe.HOT_BITS, np.int32), None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            sizes, keys = [], []
-            for b in ts.blocks(batch.column(1)):
-                s, bounds = pe.shingles(b)
-                counts += np.bincount(pe.hot_slots(s), minlength=len(counts)).astype(np.int32) if len(s) > 1 << 19 else 0
-                if len(s) <= 1 << 19:
-                    np.add.at(counts, pe.hot_slots(s), 1)
-                for i in range(b.n_docs):
-                    x = s[bounds[i] : bounds[i + 1]]
-                    sizes.append(len(x))
-                    keys.append(pe.set_key(x) if len(x) else (None, None))
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
-        if kind is not None:
-            small = np.minimum(counts, 255).astype(np.uint8)  # of one task; sums over tasks are whole
-            pages = [(p, x) for p, x in enumerate(small.reshape(PAGES, -1)) if x.any()]
-            n = len(pages)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p for p, _ in pages], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pages], pa.binary())], names=["own_id", "n", "k1", "k2", "page", "counts"])
-
-    return docs.mapInArrow(trimmed(run), f"own_id {id_type}, n long, k1 long, k2 long, page int, counts binary")
+    return docs.mapInArrow(trimmed(_profiled), f"own_id {id_type}, n long, k1 long, k2 long, page int, counts binary")
 
 
 def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
@@ -93,7 +100,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[tuple[int, int], obj
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, skip = shared.value
-        is_hot = np.unpackbits(packed).astype(bool)
+        is_hot = np.unpackbits(packed).view(bool)
         sigs: list[np.ndarray] = []
         names: list[int] = []
         needs: list[int] = []
@@ -319,7 +326,8 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        bits = np.unpackbits(shared.value).view(bool)
+        seen: set[tuple[int, int]] = set()  # sets that went out with an earlier batch
         for batch in batches:
             found: dict[tuple[int, int], bytes] = {}
             for b in ts.blocks(batch.column(1)):
@@ -328,8 +336,11 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     x = s[bounds[i] : bounds[i + 1]]
                     if len(x):
                         key = pe.set_key(x)
-                        if key not in found and bits[_slot(short_ids(np.array(key[:1])))[0]]:
+                        if key not in found and key not in seen and bits[_slot(short_ids(np.array(key[:1])))[0]]:
                             found[key] = x.tobytes()
+            if len(seen) > SEEN_MOST:
+                seen.clear()
+            seen.update(found)
             k1 = np.array([k[0] for k in found], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(short_ids(k1)), pa.array(k1), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "k1", "k2", "features"])
 
@@ -390,6 +401,11 @@ def same_short(keys: DataFrame) -> DataFrame:
 def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``n_similar``, ``component_id`` and
     ``set_key`` (hex; null without a set)."""
+    with small_batches(docs.sparkSession):  # all that runs in Python runs in here
+        return _link(docs, text, id_col)
+
+
+def _link(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text).alias("text"))
     profile = stored(_profile(own), "profile").withColumn("rid", F.monotonically_increasing_id())

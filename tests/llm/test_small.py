@@ -214,6 +214,75 @@ def changed_copies(n):
     return made + [" ".join(f"q{x}" for x in rng.integers(0, 999, 30)) for _ in range(50)] + made[:30]
 
 
+def test_shingle_counts_take_little_memory():
+    """The first scan's table of counts stops at 255 and takes 16 MB, also when its pages go out."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["a b c"] * 70_000 + [f"w{k} x{k % 300} y{k % 300} z{k % 300}" for k in range(2_000)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["own_id", "text"])
+    list(ngram_jaccard._profiled(iter([batch.slice(0, 10)])))  # makes the tables of powers
+    tracemalloc.start()
+    out = list(ngram_jaccard._profiled(iter([batch.slice(at, 4_000) for at in range(0, len(texts), 4_000)])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 60 and sum(b.num_rows for b in out[:-1]) == len(texts)
+    counts = np.zeros((ngram_jaccard.PAGES, (1 << partenum.HOT_BITS) // ngram_jaccard.PAGES), np.uint8)
+    for r in out[-1].to_pylist():
+        counts[r["page"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    want = np.zeros(1 << partenum.HOT_BITS, np.int64)
+    for b in ngram_jaccard.ts.blocks(batch.column(1)):
+        np.add.at(want, partenum.hot_slots(partenum.shingles(b)[0]), 1)
+    assert want.max() >= 70_000 and (np.minimum(want, 255) == counts.reshape(-1)).all()
+    long = np.zeros(1 << partenum.HOT_BITS, np.uint16)
+    ngram_jaccard._count(long, np.full(200_000, 7))  # more than sixteen bits count
+    assert long[7] == 255 and long.sum() == 255
+
+
+def test_jaccard_join_takes_small_batches(spark, monkeypatch):
+    """What the Jaccard join sends to workers is bound by bytes, not only by rows, in each query that it runs; the
+    session has its own bound again afterwards, also after an error, and keeps a smaller one."""
+    import pyarrow as pa
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    usual = spark.conf.get(name)
+
+    def largest():
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+        return spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id as string), 1000) as t").mapInArrow(run, "n long").agg({"n": "max"}).first()[0]
+
+    own = ngram_jaccard.stored
+    monkeypatch.setattr(ngram_jaccard, "stored", lambda df, what: (seen.append((what, largest() if what == "profile" else 0, spark.conf.get(name))), own(df, what))[1])
+    d = docs(spark, near_texts()[:40])
+    got = ngram_jaccard.link(d)
+    assert {what for what, _, _ in seen} >= {"profile", "candidates", "links"} and seen[0][1] < 5 << 20
+    assert {x for _, _, x in seen} == {str(common.BATCH_BYTES)} and spark.conf.get(name) == usual
+    assert "InArrow" not in got._jdf.queryExecution().executedPlan().toString()  # nothing in Python runs after it
+    with pytest.raises(Exception):
+        ngram_jaccard.link(d, "no_such_column")
+    assert spark.conf.get(name) == usual and spark.conf.get(name, None) is None
+    spark.conf.set(name, "1m")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(name) == "1m"
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_features_of_copies_go_out_once(spark):
+    """Copies of a set in one task give its features once, however small the batches are."""
+    texts = [f"{'word ' * 3000} {k % 3} end of it" for k in range(900)]
+    d = spark.createDataFrame(list(enumerate(texts)), "own_id long, text string").coalesce(1)
+    with common.small_batches(spark):
+        rows = ngram_jaccard._sets(d, np.full(1 << (ngram_jaccard.SLOT_BITS - 3), 255, np.uint8)).collect()
+    assert len(rows) == len({(r.k1, r.k2) for r in rows}) == 3
+
+
 def test_large_clusters_lose_no_link(spark):
     """Over a thousand different near copies, more than a block holds and than a signature lists as pairs."""
     texts = changed_copies(1100)

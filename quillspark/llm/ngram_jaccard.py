@@ -4,10 +4,12 @@
    bits; documents with equal sets are one set from there on.
 2. A second scan sends PartEnum signatures (``partenum``) of each set, packed by signature bucket.
    Each bucket counts common signatures per pair of sets; pairs that have as many as similar sets
-   must have are candidates. A signature of over ``GROUP_MOST`` sets isn't expanded into pairs: its
-   sets are tied to one of them, and all pairs of tied sets whose sizes fit are checked.
-3. A third scan brings the sets of candidates together, in blocks of at most ``BLOCK`` sets, and
-   Jaccard is checked exactly as products of 0/1 matrices.
+   must have are candidates. A signature of over ``GROUP_MOST`` sets, or over twice as many as a shingle
+   has that isn't hot, isn't expanded into pairs: its sets are tied to one of them, and all pairs of tied
+   sets whose sizes fit are checked.
+3. A third scan brings the sets of candidates together, in blocks of at most ``BLOCK`` sets (twice as
+   many if tied), and Jaccard is checked exactly as products of 0/1 matrices. Where linked candidates fill
+   several blocks, only the sets of a block's own candidate pairs go there.
    A block gives each set's number of linked documents and a set that it is connected to, not the links.
 4. Those numbers are summed; components come from ``components``.
 
@@ -20,8 +22,10 @@ columns are read, so other columns may have any name; an empty table gives an em
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +39,12 @@ from .components import components
 from .components import roots as local_roots
 
 PAGES = 64
+WARM_EXTRA = 2  # above a standard deviation over the mean
 HOT_EXTRA = 16  # a shingle is hot this far (and 4 standard deviations) above the mean of a slot
 SLOT_BITS = 23  # bitmap of candidate sets: 1 MB
+BUCKET_SHINGLES = 6_000_000  # of all, to a bucket; in more buckets than it takes a set's name and a pair go out more often
 BLOCK = 1024
+PART_WEIGHT = 1 << 20  # shingles of a part of tied sets, each set counted as BLOCK at least
 GROUP_MOST = 64  # sets of one signature in a bucket that are expanded into pairs
 NO_SIZE = 65535
 SEEN_MOST = 50_000  # sets that a task keeps in mind so that a copy doesn't go out again
@@ -79,28 +86,35 @@ def _profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(trimmed(_profiled), f"own_id {id_type}, n long, k1 long, k2 long, page int, counts binary")
 
 
+def _beyond(shingles: int) -> float:
+    """How far above the mean of a slot a shingle is hot."""
+    return 4 * (shingles / (1 << pe.HOT_BITS)) ** 0.5 + HOT_EXTRA
+
+
 def _hot(profile: DataFrame, shingles: int) -> np.ndarray:
-    """Packed bitmap of hot slots."""
+    """A packed bitmap of slots for each level: those with shingles of that level or above."""
     mean = shingles / (1 << pe.HOT_BITS)
-    least = mean + 4 * mean**0.5 + HOT_EXTRA
+    least = [mean + mean**0.5 + WARM_EXTRA, *(mean + _beyond(shingles) * 4**k for k in range(pe.LEVELS - 1))]
 
     def total(key, table):  # no hints: Spark reads them
         parts = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(parts > least).tobytes()], pa.binary())})
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([b"".join(np.packbits(parts > x).tobytes() for x in least)], pa.binary())})
 
-    bits = np.zeros(1 << pe.HOT_BITS, bool).reshape(PAGES, -1)
+    bits = np.zeros((pe.LEVELS, PAGES, (1 << pe.HOT_BITS) // PAGES // 8), np.uint8)
     for r in profile.where("page is not null").select("page", "counts").groupBy("page").applyInArrow(total, "page int, bits binary").collect():
-        bits[r.page] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return np.packbits(bits.reshape(-1))
+        bits[:, r.page] = np.frombuffer(r.bits, np.uint8).reshape(pe.LEVELS, -1)
+    return bits.reshape(pe.LEVELS, -1)
 
 
 def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[tuple[int, int], object], buckets: int) -> DataFrame:
-    """Rows (bucket, blob) of packed signatures."""
+    """Rows (bucket, blob) of packed signatures. ``hot`` is a packed bitmap, or one for each level."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, skip = shared.value
-        is_hot = np.unpackbits(packed).view(bool)
+        levels = np.zeros(1 << pe.HOT_BITS, np.uint8)
+        for bits in packed.reshape(-1, (1 << pe.HOT_BITS) // 8):
+            levels += np.unpackbits(bits)
         sigs: list[np.ndarray] = []
         names: list[int] = []
         needs: list[int] = []
@@ -123,7 +137,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[tuple[int, int], obj
                 first = np.concatenate([[True], own[1:] != own[:-1]])
                 ids = own[first]
                 runs = np.diff(np.append(np.flatnonzero(first), y - x))
-                width = 2 if runs.max() < 65536 else 4
+                width = 1 if runs.max() < 256 else 2 if runs.max() < 65536 else 4
                 parts = (np.array([len(ids), y - x, width], "<u4"), short[ids], need[ids], size[ids], runs.astype(f"<u{width}"), (s[x:y] >> ts.U(32)).astype("<u4"))
                 blobs.append(b"".join(p.tobytes() for p in parts))
             return pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -132,7 +146,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, heavy: dict[tuple[int, int], obj
             owners = batch.column(0)
             for b in ts.blocks(batch.column(1)):
                 s, bounds = pe.shingles(b)
-                h = is_hot[pe.hot_slots(s)]
+                h = levels[pe.hot_slots(s)]
                 for i in range(b.n_docs):
                     x, y = bounds[i], bounds[i + 1]
                     if x == y:
@@ -168,16 +182,15 @@ def from_six(data: bytes | np.ndarray, n: int, at: int = 0) -> np.ndarray:
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Of each posting in a blob: short id, need, size and the high half of the signature. The low
-    half chose the bucket, so within a bucket about 32 bits and the bucket's own tell signatures
+    """Short id, need, size and number of postings of each set in a blob, and the high half of the signature
+    of each posting. The low half chose the bucket, so within a bucket about 32 bits and the bucket's own tell signatures
     apart; a chance match only adds to a count."""
     docs, n, width = (int(x) for x in np.frombuffer(blob, "<u4", 3))
     at, out = 12 + 6 * docs, [from_six(blob, docs, 12)]
     for kind in ("u1", "<u2", f"<u{width}"):
         out.append(np.frombuffer(blob, kind, docs, at))
         at += docs * np.dtype(kind).itemsize
-    runs = out.pop()
-    return (*(np.repeat(x, runs) for x in out), np.frombuffer(blob, "<u4", n, at))
+    return (*out, np.frombuffer(blob, "<u4", n, at))
 
 
 def short_ids(k1: np.ndarray) -> np.ndarray:
@@ -186,20 +199,22 @@ def short_ids(k1: np.ndarray) -> np.ndarray:
     return k1.astype(np.int64) >> np.int64(16) & np.int64((1 << 48) - 1)
 
 
-def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_of_bucket(batches: Iterator[pa.RecordBatch], most: int = GROUP_MOST) -> Iterator[pa.RecordBatch]:
     """All blobs of one bucket: pairs of sets with the number of signatures they share in it. The sets of a signature
-    that has many are paired with the first of them only, with a need of 0, which ties them."""
+    that has over ``most`` are paired with the first of them only, with a need of 0, which ties them."""
     parts = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
     if not parts:
         return
-    names, needs, sizes, sig = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    names, needs, sizes, runs, sig = (np.concatenate([p[k] for p in parts]) for k in range(5))
     del parts
+    own = np.repeat(np.arange(len(names), dtype=np.uint32), runs)
     order = np.argsort(sig)
     sig = sig[order]
     alone = np.concatenate([[True], sig[1:] != sig[:-1], [True]])
     keep = ~(alone[1:] & alone[:-1])
-    sig, order = sig[keep], order[keep]
-    names, needs, sizes = names[order], needs[order], sizes[order]
+    sig, own = sig[keep], own[order[keep]]
+    del order
+    names, needs, sizes = names[own], needs[own], sizes[own]
     # sets that share a short id but not a size are told apart here
     ids, local = np.unique(names << ts.U(16) | sizes.astype(np.uint64), return_inverse=True)
     need_of = np.full(len(ids), 255, np.uint8)
@@ -236,7 +251,7 @@ def _pairs_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         made.append(np.minimum(a, b)[ok] * len(ids) + np.maximum(a, b)[ok])
     for k in np.flatnonzero(np.diff(cut) > 2).tolist():
         group = np.unique(local[cut[k] : cut[k + 1]])
-        if len(group) > GROUP_MOST:
+        if len(group) > most:
             ties.append(group[0] * len(ids) + group[1:])
             tied += len(group)
             if tied > 4_000_000:
@@ -359,14 +374,14 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     many = np.bincount(column) > 1
     keep = many[column]
     column, owner = (np.cumsum(many) - 1)[column[keep]], owner[keep]
-    out = np.zeros((n, n), np.float64)
-    step = 4096
+    out = np.zeros((n, n), np.float32)  # whole numbers up to 2^24, which no text of Spark's size limits exceeds
+    step = 2048
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         x, y = np.searchsorted(column, [lo, lo + step])
         m = np.zeros((n, step), np.float32)
         m[owner[x:y], column[x:y] - lo] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out
 
 
 def _check_block(key, table):  # no hints: Spark reads them
@@ -378,8 +393,13 @@ def _check_block(key, table):  # no hints: Spark reads them
     sets = [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
     lo, hi, every = (key[k].as_py() for k in (1, 2, 3))
     n = np.array([len(s) for s in sets])
-    both = shared_counts(sets)
-    similar = pe.DEN * both >= pe.NUM * (n[:, None] + n[None, :] - both)
+    shared = shared_counts(sets)
+    del sets
+    similar = np.zeros(shared.shape, bool)
+    for at in range(0, len(n), 128):  # rows by rows, which takes little memory
+        both = shared[at : at + 128].astype(np.int64)
+        similar[at : at + 128] = pe.DEN * both >= pe.NUM * (n[at : at + 128, None] + n[None, :] - both)
+    del shared
     if lo != hi:
         similar &= ordinal[:, None] != ordinal[None, :]
     if not every:
@@ -389,7 +409,8 @@ def _check_block(key, table):  # no hints: Spark reads them
     if not len(a):
         return pa.table({"node": pa.array([], pa.int64()), "others": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     at, root = local_roots(a, b)
-    return pa.table({"node": pa.array(node[at]), "others": pa.array((similar @ copies)[at]), "root": pa.array(node[root])})
+    others = np.concatenate([similar[k : k + 128] @ copies for k in range(0, len(n), 128)])
+    return pa.table({"node": pa.array(node[at]), "others": pa.array(others[at]), "root": pa.array(node[root])})
 
 
 def same_short(keys: DataFrame) -> DataFrame:
@@ -417,8 +438,10 @@ def _link(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     plain = lambda x: x.asDict(True) if isinstance(x, Row) else x  # noqa: E731  # as Arrow gives it
     heavy = {(r.k1, r.k2): plain(r.least_id) for r in keys.where((F.col("copies") > often) & F.col("least_id").isNotNull()).select("k1", "k2", "least_id").collect()}
     n = partitions(spark)
-    postings = _postings(own, _hot(profile, size[1] or 0), heavy, n)
-    pairs = postings.repartitionById(n, "bucket").mapInArrow(trimmed(_pairs_of_bucket), "a long, blob binary")
+    buckets = min(n, max(12, (size[1] or 0) // BUCKET_SHINGLES))
+    postings = _postings(own, _hot(profile, size[1] or 0), heavy, buckets)
+    most = max(GROUP_MOST, 2 * math.ceil(_beyond(size[1] or 0)))
+    pairs = postings.repartitionById(buckets, "bucket").mapInArrow(trimmed(partial(_pairs_of_bucket, most=most)), "a long, blob binary")
     pairs = pairs.repartition(n, "a").sortWithinPartitions("a").mapInArrow(trimmed(_candidates), "a long, b long, tie boolean")
     pairs = stored(pairs, "candidates")
     del postings
@@ -436,21 +459,20 @@ def _link(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
     per_root = grouped.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("parts"))
     parted = grouped.join(per_root, "root").withColumn("part", F.when(F.col("parts") <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
-    parted = stored(parted.select(F.col("node").alias("id"), "root", "part"), "parted")
-    # blocks that hold a candidate pair; a component of up to BLOCK sets is one block
-    blocks = (
-        pairs.join(parted.select(F.col("id").alias("a"), "root", F.col("part").alias("pa")), "a")
-        .join(parted.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
-        .select("root", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")).distinct()
-    )
-    ends = blocks.select("root", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("part"))
+    parted = stored(parted.select(F.col("node").alias("id"), "root", "part", "parts"), "parted")
+    # a component of up to BLOCK sets is one block; of a larger one the sets of each candidate pair meet in the block of their parts
+    several = parted.where("parts > 2")
+    apart = pairs.join(several.select(F.col("id").alias("a"), "root", F.col("part").alias("pa")), "a").join(several.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("pa").alias("part")), F.struct(F.col("b").alias("id"), F.col("pb").alias("part")))).alias("end")
+    apart = apart.select("root", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi"), ends).select("end.id", "root", "end.part", "lo", "hi").distinct()
+    whole = parted.where("parts <= 2").select("id", "root", "part", F.col("part").alias("lo"), F.col("part").alias("hi"))
     names = keys.select(F.shiftrightunsigned("k1", 16).alias("id"), F.col("k1").alias("own_k1"), F.col("k2").alias("own_k2"), "node", "copies", "n")
-    places = parted.join(ends, ["root", "part"]).select("id", "root", "part", "lo", "hi", F.lit(False).alias("every"))
+    places = whole.unionByName(apart).withColumn("every", F.lit(False))
     places = places.join(tied, "id", "left").join(names, "id").drop("n")
     # tied sets are cut up by size; a block is any two parts whose sizes similar sets can have
-    own_root = Window.partitionBy("owner")
-    rank, many = F.row_number().over(own_root.orderBy("n", "node")), F.count("*").over(own_root)
-    ranked = tied.join(names, "id").withColumn("part", F.when(many <= BLOCK, 0).otherwise(F.floor((rank - 1) / F.lit(BLOCK // 2))).cast("int"))
+    weight = F.greatest("n", F.lit(BLOCK))
+    before = F.sum(weight).over(Window.partitionBy("owner").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)) - weight
+    ranked = tied.join(names, "id").withColumn("part", F.floor(before / F.lit(PART_WEIGHT)).cast("int"))
     ranked = stored(ranked, "ranked")
     span = ranked.groupBy("owner", F.col("part").alias("lo")).agg(F.max("n").alias("most"))
     spans = span.join(ranked.groupBy("owner", F.col("part").alias("hi")).agg(F.min("n").alias("least")), "owner")

@@ -7,9 +7,11 @@ Hamming distance k differ in at most k partitions, so of the partitions with a f
 order, the i-th that is equal in both is among the first k + i of each. Each set therefore shows its
 first k + m partitions as signatures, and similar sets have m of them in common: that is the same
 as one common subset out of the enumeration of all subsets of m partitions, counted instead of
-listed. m grows with the size (``shared``), so that a passage in common doesn't make a candidate. The order puts partitions of common features last ("hot", by one corpus-wide
-bitmap), which keeps signatures selective without losing a pair. A set with at most k partitions
-filled adds its first features themselves, by the prefix bound, and needs one in common.
+listed. m grows with the size (``shared``), so that a passage in common doesn't make a candidate. The order goes by levels: partitions of common
+features ("hot", by one corpus-wide table) come last, the more common the later, which keeps signatures
+selective without losing a pair. Warm partitions are shown as the rarest are. Hot partitions are shown only up to the first level with which a set
+has more than k, as then it has one in common with any similar set; it needs so many fewer. A set with
+at most k partitions filled adds its first features themselves, by the prefix bound, and needs one in common.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from . import textscan as ts
 
 NUM, DEN = 70, 100  # Jaccard threshold
 HOT_BITS = 23
+LEVELS = 6  # above the rarest features: one of warm ones, then of hot ones, each four times as common as the one before
 _U32 = ts.U(32)
 
 
@@ -76,21 +79,21 @@ def hot_slots(s: np.ndarray) -> np.ndarray:
     return (s & ts.U((1 << HOT_BITS) - 1)).astype(np.int64)
 
 
-def signatures(s: np.ndarray, hot: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+def signatures(s: np.ndarray, level: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     """64-bit signatures of one sorted set in one band, and how many of them any similar set of the
     band has too (of the two sets' numbers, the least holds)."""
     n = len(s)
     far = farthest(n, band)
     want = far + shared(n)
     out, have = [], 0
-    for flag in (False, True):
-        part = s[hot == flag]
-        if not len(part) or have >= want:
-            continue
+    for flag in np.unique(level).tolist():
+        if have >= want or flag > 1 and have > far:
+            break
+        part = s[level == flag]
         index = ((part >> _U32) * ts.U(1 << band)) >> _U32
         first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
         sums = np.add.reduceat(part, first)[: want - have]
-        salt = ts.U((2 * band + flag + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        salt = ts.U(((LEVELS + 1) * band + flag + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
         out.append(ts.mix(sums * ts.M1 + index[first[: want - have]] * ts.M2 + salt))
         have += len(out[-1])
     if have <= far:

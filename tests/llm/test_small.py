@@ -399,6 +399,23 @@ def test_signatures_share_enough():
                 assert len(np.intersect1d(*shown)) >= need >= 1
 
 
+def test_common_features_are_shown_last():
+    """Hot features are in no signature where rarer ones are enough, and the less common go before the more common."""
+    rng = np.random.default_rng(8)
+
+    def shown(s, kinds):
+        order = np.argsort(s)
+        return partenum.signatures(s[order], kinds[order], 7)
+
+    for kinds in (np.repeat([0, 0, 0, 0, 2], 40), np.repeat([0, 2, 2, 2, 5], 40)):
+        for _ in range(20):
+            s = rng.integers(0, 2**64, 200, dtype=np.uint64)
+            others = np.where(kinds < max(kinds), s, rng.integers(0, 2**64, 200, dtype=np.uint64))
+            some, need = shown(s, kinds.astype(np.uint8))
+            assert need >= 1 and partenum.farthest(200, 7) < len(some)
+            assert some.tolist() == shown(others, kinds.astype(np.uint8))[0].tolist()
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(5001, 5400)]

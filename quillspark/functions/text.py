@@ -17,8 +17,10 @@ OPEN, CLOSE, DOT = "\u0001", "\u0002", "\u0003"
 _SPACE, _LEAD = r"(?U)\s+", r"(?U)^\s+"
 _EDGES = r"(?U)^\s+|\s+\z"
 _BRACKETS, _QUOTES = r"\([^()]*\)", "\"[^\"]*\"|'[^']{2,}'|`[^`]*`"
-_RIM = r"(?U)^[^\w(\[\"'`%]+|[^\w)\]\"'`%]+\z"
+# of all words of a text at once; possessive, as a word may be long
+_RIMS = r"(?U)(?<!\S)[^\s\w(\[\"'`%]++|[^\s\w)\]\"'`%]++(?!\S)"
 _NUMBER, _STOPS = r"^[+-]?\d[\d,]*(\.\d+)?$", r"[.,]+\z"
+_NUMBERS = r"(?U)(?<!\S)[+-]?[0-9][0-9,]*(\.[0-9]+)?(?!\S)"
 _APART = r"(?U)[^\w'-]+"
 _ENDS = r"(?U)([.!?]+[*_`~]*)(?=\s|\z)"
 _BLANK = r"(?U)\n\s*\n"
@@ -49,7 +51,8 @@ def parted(text: str, regex: str) -> str:
 
 
 def clean(text: Column) -> Column:
-    return F.translate(text, OPEN + CLOSE + DOT, "   ")
+    some = text.contains(OPEN) | text.contains(CLOSE) | text.contains(DOT)
+    return F.when(some, F.translate(text, OPEN + CLOSE + DOT, "   ")).otherwise(text)  # translating takes longer than looking
 
 
 def trim(text: Column) -> Column:
@@ -84,10 +87,22 @@ def running(lengths: str) -> str:
     return let("v_", lengths, f"CASE WHEN size(v_) <= 64 THEN {_sums('v_')} ELSE {let('p_', cut, let('t_', totals, joined))} END")
 
 
-def ste_words(sentence: str) -> str:
-    """Counted words before a number is merged with its unit: brackets and quotes count as one."""
+def rimmed(sentence: str) -> str:
+    """A text whose words are those counted before a number is merged with its unit: brackets and quotes count
+    as one, and a word is without the signs around it. In three passes over the text, not over each word."""
     masked = sub(sub(sentence, _BRACKETS, " paren "), _QUOTES, " quote ")
-    return f"filter(transform({parted(masked, _SPACE)}, w_ -> {sub('w_', _RIM)}), w_ -> w_ != '')"
+    return sub(masked, _RIMS)
+
+
+def ste_words(text: str) -> str:
+    """Words of a rimmed text."""
+    return f"filter({parted(text, _SPACE)}, w_ -> w_ != '')"
+
+
+def n_words(text: str) -> str:
+    """How many words a rimmed text has, a number and its unit as one."""
+    words_ = let("j_", ste_words(text), f"size(j_) - ({unit_pairs('j_')})")
+    return f"cast(CASE WHEN {text} RLIKE {quoted(_NUMBERS)} THEN {words_} ELSE size({ste_words(text)}) END AS int)"
 
 
 def unit_pairs(tokens: str) -> str:
@@ -98,7 +113,7 @@ def unit_pairs(tokens: str) -> str:
 
 def count_words(sentence: str) -> str:
     """Words of a text as the controlled-language standard counts them."""
-    return let("k_", ste_words(sentence), f"cast(size(k_) - ({unit_pairs('k_')}) AS int)")
+    return let("k_", rimmed(sentence), n_words("k_"))
 
 
 def register(sentence: str, default: str = "'descriptive'") -> str:
@@ -109,7 +124,8 @@ def register(sentence: str, default: str = "'descriptive'") -> str:
         WHEN {first} NOT IN {among(words('imperatives'))} THEN {default}
         WHEN coalesce({second} IN {among(words('command_determiners'))}, false) THEN 'procedural'
         WHEN exists(slice(r_, 2, 3), x_ -> x_ IN {among(words('followers'))}) THEN {default} ELSE 'procedural' END"""
-    return let("r_", f"filter({parted(f'lower({sentence})', _APART)}, x_ -> x_ != '')", decided)
+    # no more than four words count: with an empty part before them and one for the rest, seven parts are enough
+    return let("r_", f"filter(split(lower({sentence}), {quoted(_APART)}, 7), x_ -> x_ != '')", decided)
 
 
 def pieces(text: str) -> str:
@@ -124,7 +140,7 @@ def sentences(text: str, default: str | None = None, over: str | None = None) ->
     bracket or quote up to two."""
     fallback = "'descriptive'" if default is None else f"coalesce({default}, 'descriptive')"
     lead = f"(length(p_) - length({sub('p_', _LEAD)}))"
-    one = f"named_struct('text', translate({trimmed('p_')}, {quoted(DOT)}, '.'), 'start', h_[i_] + {lead}, 'breaks', l_[i_] + {breaks(f'substr(p_, 1, {lead})')})"
+    one = f"named_struct('text', replace({trimmed('p_')}, {quoted(DOT)}, '.'), 'start', h_[i_] + {lead}, 'breaks', l_[i_] + {breaks(f'substr(p_, 1, {lead})')})"
     most = "" if over is None else f" AND regexp_count(s_.text, {quoted(_SPACE)}) + 2 * regexp_count(s_.text, {quoted(chr(91) + '(' + chr(34) + chr(39) + '`]')}) + 1 > {over}"
     placed = f"filter(transform(g_, (p_, i_) -> {one}), s_ -> s_.text != ''{most})"
     found = let("g_", pieces(text), let("h_", running("transform(g_, p_ -> length(p_))"), let("l_", running(f"transform(g_, p_ -> {breaks('p_')})"), placed)))

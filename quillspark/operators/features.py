@@ -20,13 +20,14 @@ def _overlap_words(text: Column) -> Column:
 
 def features(segments: DataFrame) -> DataFrame:
     """Segment id and the eleven features, columns in the fixed order of ``NAMES``."""
-    rows = segments.withColumn("_t", tx.clean(F.col("text"))).withColumn("_s", F.expr(tx.sentences("_t"))).withColumn("_w", F.expr(tx.ste_words("_t"))).withColumn("_u", F.expr(tx.unit_pairs("_w")))
+    rows = segments.withColumn("_t", tx.clean(F.col("text"))).withColumn("_s", F.expr(tx.sentences("_t"))).withColumn("_r", F.expr(tx.rimmed("_t")))
+    rows = rows.withColumn("_w", F.expr(tx.ste_words("_r"))).withColumn("_u", F.expr(f"size(_w) - {tx.n_words('_r')}"))
     rows = rows.withColumn("_n", F.greatest(F.size("_w") - F.col("_u"), F.lit(1)).cast("double")).withColumn("_c", F.greatest(F.size("_s"), F.lit(1)).cast("double"))
     code = F.size(F.filter(F.split("follows_code", r"(?U)\s+"), lambda w: w != ""))
     prose, other = _overlap_words(F.col("_t")), _overlap_words(F.col("follows_code"))
     some = F.coalesce("follows_code", F.lit("")) != ""
     # a number merged with its unit is one word, of both lengths and the space between
-    letters = F.aggregate("_w", F.lit(0), lambda s, w: s + F.length(w)) + F.col("_u")
+    letters = F.length(F.array_join("_w", "")) + F.col("_u")
     values = {
         "word_count": F.col("_n"),
         "sentence_count": F.col("_c"),

@@ -2,7 +2,7 @@
 
 All rules of a run make one array of findings per segment, which is exploded once; the text itself
 stays behind. A pattern is tried only where one of the literals that it cannot do without stands in the
-text in lower case, and its hits are marked in a copy of the text only where it matches; positions,
+text in lower case (one pass finds those of all patterns), and its hits are marked in a copy of the text only where it matches; positions,
 lines and excerpts come from the pieces between marks, in time linear in the text.
 """
 
@@ -29,6 +29,32 @@ _FOLDS = ("\u017f", "\u0130", "\u0131")  # characters that match s or i though t
 Limits = Callable[[str], str]
 
 
+def _branches(terms: Iterable[str]) -> str:
+    """Regex of the longest of some terms at a place, by common beginnings."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[:1], []).append(t[1:])
+    ends = by.pop("", None) is not None
+    made = "|".join(_plain(c) + (_branches(rest) if any(rest) else "") for c, rest in sorted(by.items()))
+    return f"(?:{made}){'?' if ends else ''}"
+
+
+def _plain(sign: str) -> str:
+    return sign if sign.isalnum() else f"\\x{{{ord(sign):x}}}"
+
+
+def present(terms: list[str]) -> str:
+    """SQL array of the terms that stand in ``_low``: the longest one at each place, all found in one pass."""
+    first = "".join(sorted({_plain(t[0]) for t in terms}))
+    return f"array_distinct(regexp_extract_all(_low, {tx.quoted(f'(?=[{first}])(?=({_branches(terms)}))')}, 1))"
+
+
+def _needed(wanted: set[str]) -> list[str]:
+    """What the wanted rules look for."""
+    some = [n for key, r in rules().items() if r.rule_id in wanted for need in needles(key) for n in need or ()]
+    return sorted(set(some))
+
+
 def _marked(rule: Rule) -> list[tuple[str, str]]:
     """Of each pattern, as SQL, whether a text holds it and the text with its hits marked."""
     out = []
@@ -82,6 +108,7 @@ def _tried(wanted: set[str]) -> Column:
     hits marked, or for rules without a pattern the text; rules with nothing to find are left out. One
     SQL text, as building it node by node takes longer than to run it."""
     made = []
+    every = _needed(wanted)
 
     def add(key: str, tests: list[str], m: str) -> None:
         made.append(f"named_struct('key', {tx.quoted(key)}, 'm', CASE WHEN {' AND '.join(tests) or 'true'} THEN {m} END)")
@@ -94,7 +121,9 @@ def _tried(wanted: set[str]) -> Column:
             add(key, ["contains(text, ';')"], "text")
             continue
         for (test, m), need in zip(_marked(rule), needles(key), strict=True):
-            some = [f"(_folds OR {' OR '.join(f'contains(_low, {tx.quoted(n)})' for n in need)})"] if need else []
+            # where a longer term stands at a place it is listed in place of a shorter one
+            listed = [t for t in every if t.startswith(tuple(need or ()))]
+            some = [f"(_folds OR arrays_overlap(_found, array({', '.join(map(tx.quoted, listed))})))"] if need else []
             dated = [f"NOT text RLIKE {tx.quoted(_DATED)}"] if key == "S-4#1" else []
             add(key, [*kinds(rule.kinds), *some, test, *dated], m)
     near = kinds(NEAR_CODE)
@@ -223,11 +252,12 @@ def findings(segments: DataFrame, wanted: Iterable[str] | None = None, limits: L
     numbers and code, then rule_id, start, stop, hit, message, suggestion, excerpt, over_fail, n, note,
     line and ``shown`` (the whole text where it is short, else null)."""
     wanted = set(ALL_RULES if wanted is None else wanted)
-    segments = segments.withColumn("text", tx.clean(F.col("text"))).where(F.col("text").isNotNull() & F.col("kind").isin(*KINDS))
+    segments = segments.where(F.col("text").isNotNull() & F.col("kind").isin(*KINDS)).withColumn("text", tx.clean(F.col("text")))
     text = F.col("text")
     kept = [c for c in segments.columns if c not in ("text", "line_offsets", "follows_code")]
     folds = reduce(lambda a, c: a | text.contains(c), _FOLDS, F.lit(False))
-    rows = segments.withColumn("_low", F.lower(text)).withColumn("_folds", folds)
+    terms = _needed(wanted)
+    rows = segments.withColumn("_low", F.lower(text)).withColumn("_folds", folds).withColumn("_found", F.expr(present(terms) if terms else "array('')"))
     tried = F.explode(_tried(wanted))
     # from here on the marked copy stands for the text
     rows = rows.select(*kept, "line_offsets", "follows_code", F.when(F.length(text) <= SHOWN, text).alias("shown"), tried.alias("_e"))

@@ -70,3 +70,14 @@ def test_unicode_word_bounds(spark):
     """Both must hold at all times: NBSP is white space and U+0130 folds under (?U)."""
     assert column(spark, ["a\u00a0b", "\u0130"], lambda t: F.col(t).rlike(r"(?U)a\sb|(?iU)^i")) [0] is True
     assert re.search(r"a\sb", "a\u00a0b")
+
+
+def test_needles_in_one_pass(spark):
+    """The terms found in one pass are those that stand in the text, also where they overlap or begin alike."""
+    from quillspark.operators import scan
+
+    terms = scan._needed(set(scan.ALL_RULES))
+    texts = ["", *terms, *(f"x{a}{b[1:]}" for a, b in zip(terms, terms[1:])), *(a + b for a, b in zip(terms, terms[5:]))]
+    rows = spark.createDataFrame([(t,) for t in texts], "_low string").selectExpr("_low", f"{scan.present(terms)} AS f").collect()
+    for r in rows:
+        assert {t for t in terms if t in r._low} == {t for t in terms if any(f.startswith(t) for f in r.f)}, r._low

@@ -81,3 +81,20 @@ def test_needles_in_one_pass(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "_low string").selectExpr("_low", f"{scan.present(terms)} AS f").collect()
     for r in rows:
         assert {t for t in terms if t in r._low} == {t for t in terms if any(f.startswith(t) for f in r.f)}, r._low
+
+
+def test_segments_leave_in_small_batches():
+    """A large batch of files gives its segments piece by piece, all of them in order; texts of any size, none and null too."""
+    import pyarrow as pa
+
+    from quillspark.functions.batches import SLICE_BYTES, slices
+    from quillspark.sources import extract
+
+    body = "Some words stand in this line here.\n\nAnd some others stand in that one.\n"
+    sources = [body * 300, None, "", body] * 200 + [body * 40_000, body]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{k}.md" for k in range(len(sources))]), pa.array(sources)], names=["path", "source"])
+    out = list(extract.extracted(iter([batch]), ("markdown",), False))
+    want = [(f"f{k}.md#{n}", r[2]) for k, s in enumerate(sources) if s for n, r in enumerate(extract.markdown(s))]
+    assert [(r["seg_id"], r["text"]) for b in out for r in b.select(["seg_id", "text"]).to_pylist()] == want
+    assert len(out) > 4 and max(b.num_rows for b in out[:-2]) < 2 * SLICE_BYTES // len(body) * 3
+    assert [x.num_rows for x in slices(batch.slice(0, 0), 1)] == [0] and sum(x.num_rows for x in slices(batch.slice(3, 500), 1)) == 500

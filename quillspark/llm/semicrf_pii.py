@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..functions.batches import slices
 from .common import trimmed
 from .textscan import text_buffers
 
@@ -506,13 +507,13 @@ def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     w = model()  # trained once, on the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hot = _suspect(batch.column(1))
-            got = [spans(batch.column(1)[i].as_py(), w) if h else ([], []) for i, h in enumerate(hot.tolist())]
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            hot = _suspect(part.column(1))
+            got = [spans(part.column(1)[i].as_py(), w) if h else ([], []) for i, h in enumerate(hot.tolist())]
             arrays = [pa.array([[dict(zip(("kind", "start", "stop"), s, strict=True)) for s in g[k]] for g in got], arrow) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, "base", "added"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[id_col, "base", "added"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, base {span}, added {span}")
+    return docs.select(id_col, text).mapInArrow(trimmed(run), f"`{id_col}` {kind}, base {span}, added {span}")
 
 
 def redacted(text: str, found: list[Span]) -> str:
